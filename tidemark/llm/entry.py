@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, mixing, quality
+from tidemark.llm import chat, decontaminate, html_main, linededup, mixing, neardup, pii, quality, secrets, warc
 
 
 def queries() -> dict:
     return {
+        "op1_pii_spans": pii.op1,
+        "op2_warc_round_trip": warc.op2,
+        "op3_preference_format": chat.op3,
         "op4_decontaminate": decontaminate.op4,
         "op5_mix_sources": mixing.op5,
+        "op6_near_duplicates": neardup.op6,
+        "op7_main_text": html_main.op7,
+        "op8_secret_scan": secrets.op8,
+        "op9_line_dedup": linededup.op9,
         "op10_quality_forest": quality.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc_round_trip": warc.OP2_SQL,
+        "op3_preference_format": chat.OP3_SQL,
         "op4_decontaminate": decontaminate.OP4_SQL,
         "op5_mix_sources": mixing.OP5_SQL,
+        "op6_near_duplicates": neardup.OP6_SQL,
+        "op9_line_dedup": linededup.OP9_SQL,
     }
