@@ -373,6 +373,10 @@ def redact(docs: DataFrame, cfg: FieldConfig | None = None) -> DataFrame:
     return out.select(*cols)
 
 
+def count_kind(spans, kind: str):
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def joined(spans):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -383,6 +387,6 @@ def op1(spark, sf_dir: str) -> DataFrame:
     base = F.filter("_pii", lambda x: x["base"])
     return out.select(
         "doc_id",
-        *[F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[count_kind(base, k).alias(f"n_{k}") for k in KINDS],
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("_pii")).alias("spans"),
     )

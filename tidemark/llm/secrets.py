@@ -182,6 +182,10 @@ def find_secrets(docs: DataFrame, rate: float = RATE, least_p: float = LEAST_P,
     return marked.withColumn(into, F.transform(F.array_sort(every), lambda x: F.struct(F.get(names, x["k"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))).drop("_base", "_runs")
 
 
+def count_kind(spans, kind: str):
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def joined(spans):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -192,6 +196,6 @@ def op8(spark, sf_dir: str) -> DataFrame:
     base = F.filter("_secrets", lambda x: x["kind"] != "random")
     return out.select(
         "doc_id",
-        *[F.size(F.filter("_secrets", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
+        *[count_kind("_secrets", k).alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("_secrets")).alias("spans"),
     )
