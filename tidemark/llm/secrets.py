@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import materialise, shared_dir, table
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -62,80 +62,108 @@ def spans_of(text: Column, pattern: str, kind: str, group: int = 0, least: int =
     return F.when(text.rlike(pattern), spans).otherwise(empty)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def neighbours(values: Column, f) -> Column:
+    """``f`` of each value and the next one."""
+    return F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), f)
+
+
 def _tail(z: Column) -> Column:
     """Two-sided tail of the normal distribution (a polynomial, error below 2e-7)."""
-    x = F.abs(z) / F.lit(2.0**0.5)
-    t = 1 / (1 + 0.3275911 * x)
-    poly = reduce(lambda acc, a: (acc + a) * t, (-1.453152027, 1.421413741, -0.284496736, 0.254829592), 1.061405429 * t)
-    return F.greatest(F.lit(1e-300), F.least(F.lit(1.0), poly * F.exp(-x * x)))
+
+    def of(x):
+        t = 1 / (1 + 0.3275911 * x)
+        return let(t, lambda t: F.greatest(F.lit(1e-300), F.least(F.lit(1.0), reduce(lambda acc, a: (acc + a) * t, (-1.453152027, 1.421413741, -0.284496736, 0.254829592), 1.061405429 * t) * F.exp(-x * x))))
+
+    return let(F.abs(z) / F.lit(2.0**0.5), of)
+
+
+def _uniformity(x: Column) -> Column:
+    """p of the chi-squared test over BINS ranges of the alphabet, one-sided: only too uneven counts against it."""
+    width, n = F.length(x["alphabet"]), x["n"]
+    share = lambda b: F.ceil((b + 1) * width / BINS) - F.ceil(b * width / BINS)
+    ranks = F.transform(x["codes"], lambda c: F.floor(c * BINS / width))
+
+    def part(r, b):
+        return let(F.struct(F.size(F.filter(r, lambda v: v == b)).alias("seen"), (n * share(b) / width).alias("due")), lambda e: F.pow(e["seen"] - e["due"], 2) / e["due"])
+
+    chi = let(ranks, lambda r: total(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: part(r, b))))
+    k = float(BINS - 1)
+    z = (F.pow(chi / k, F.lit(1 / 3)) - (1 - 2 / (9 * k))) / ((2 / (9 * k)) ** 0.5)
+    return let(z, lambda z: let(_tail(z) / 2, lambda t: F.when(z > 0, t).otherwise(1 - t)))
+
+
+def _runs(x: Column) -> Column:
+    """p of the runs test: how often the sequence changes between the halves of the alphabet."""
+    high = F.transform(x["codes"], lambda c: (2 * c >= F.length(x["alphabet"])).cast("int"))
+    counts = let(high, lambda h: F.struct(total(h).alias("ones"), (total(neighbours(h, lambda p, q: (p != q).cast("int"))) + 1).alias("runs")))
+
+    def of(c):
+        return let(2 * c["ones"] * (x["n"] - c["ones"]) / x["n"] + 1, lambda mean: let(
+            (mean - 1) * (mean - 2) / (x["n"] - 1), lambda var: F.when(var > 0, _tail((c["runs"] - mean) / F.sqrt(var))).otherwise(F.lit(1e-12))))
+
+    return let(counts, of)
+
+
+def _serial(x: Column) -> Column:
+    """p of the correlation of each character with the next."""
+    dev = let(total(x["codes"]) / x["n"], lambda avg: F.transform(x["codes"], lambda c: c - avg))
+    sums = let(dev, lambda d: F.struct(total(F.transform(d, lambda c: c * c)).alias("square"), total(neighbours(d, lambda p, q: p * q)).alias("cross")))
+    return let(sums, lambda s: F.when(s["square"] > 0, _tail((s["cross"] / s["square"] * x["n"] + 1) / F.sqrt(x["n"]))).otherwise(F.lit(1e-12)))
 
 
 def battery(run: Column) -> Column:
-    """Struct (encoding, n, chi, runs, serial, p) of a run of characters.
+    """Struct (encoding, n, p) of a run of ASCII characters; null where no encoding fits.
 
-    ``run`` holds ASCII characters only. ``p`` is null where no encoding fits
-    or where letters and digits aren't mixed (a word or a plain number).
+    ``p`` joins the three tests by Fisher's method: small means not random.
     """
-    body = F.regexp_replace(run, "=+$", "")
-    size = F.length(body)
-    encoding = F.coalesce(*[F.when(body.rlike(rx), F.lit(name)) for name, rx, _ in ENCODINGS])
-    alphabet = F.coalesce(*[F.when(body.rlike(rx), F.lit(letters)) for name, rx, letters in ENCODINGS])
-    mixed = body.rlike("[0-9]") & body.rlike("[A-Za-z]")
-
-    def tests(x):  # x: struct(a: alphabet, v: numbers)
-        width, n = F.length(x["a"]), F.size(x["v"]).cast("double")
-        v = x["v"]
-        # chi-squared over BINS ranges of the alphabet, each with its true share
-        ranks = F.transform(v, lambda c: F.floor(c * BINS / width))
-        chi = F.aggregate(
-            F.sequence(F.lit(0), F.lit(BINS - 1)), F.lit(0.0),
-            lambda s, b: s + F.pow(F.size(F.filter(ranks, lambda r: r == b)) - n * (F.ceil((b + 1) * width / BINS) - F.ceil(b * width / BINS)) / width, 2)
-            / (n * (F.ceil((b + 1) * width / BINS) - F.ceil(b * width / BINS)) / width),
-        )
-        k = float(BINS - 1)
-        chi_z = (F.pow(chi / k, F.lit(1 / 3)) - (1 - 2 / (9 * k))) / ((2 / (9 * k)) ** 0.5)
-        # one-sided: only too uneven counts against it
-        chi_p = F.when(chi_z > 0, _tail(chi_z) / 2).otherwise(1 - _tail(chi_z) / 2)
-        high = F.transform(v, lambda c: (2 * c >= width).cast("int"))
-        ones = F.aggregate(high, F.lit(0), lambda s, c: s + c).cast("double")
-        zeros = n - ones
-        changes = F.aggregate(F.zip_with(F.slice(high, 1, F.size(high) - 1), F.slice(high, 2, F.size(high) - 1), lambda p, q: (p != q).cast("int")), F.lit(1), lambda s, c: s + c).cast("double")
-        mean = 2 * ones * zeros / n + 1
-        var = (mean - 1) * (mean - 2) / (n - 1)
-        runs_p = F.when(var > 0, _tail((changes - mean) / F.sqrt(var))).otherwise(F.lit(1e-12))
-        avg = F.aggregate(v, F.lit(0.0), lambda s, c: s + c) / n
-        dev = F.transform(v, lambda c: c - avg)
-        square = F.aggregate(dev, F.lit(0.0), lambda s, c: s + c * c)
-        cross = F.aggregate(F.zip_with(F.slice(dev, 1, F.size(dev) - 1), F.slice(dev, 2, F.size(dev) - 1), lambda p, q: p * q), F.lit(0.0), lambda s, c: s + c)
-        serial_p = F.when(square > 0, _tail((cross / square * n + 1) / F.sqrt(n))).otherwise(F.lit(1e-12))
-        return F.struct(chi_p.alias("chi"), runs_p.alias("runs"), serial_p.alias("serial"))
-
-    numbers = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: F.position(c, alphabet) - 1)
-    one = F.array(F.struct(alphabet.alias("a"), numbers.alias("v")))
-    p = F.get(F.transform(one, tests), F.lit(0))
-    half = -(F.ln(p["chi"]) + F.ln(p["runs"]) + F.ln(p["serial"]))
-    joint = F.exp(-half) * (1 + half + half * half / 2)  # chi-squared with 6 degrees of freedom
-    ok = mixed & encoding.isNotNull() & (size >= LENGTHS[0])
-    return F.struct(encoding.alias("encoding"), size.alias("n"), F.when(ok, joint).alias("p"))
+
+    def tests(x):  # alphabet, encoding, codes, n
+        p = F.struct(_uniformity(x).alias("a"), _runs(x).alias("b"), _serial(x).alias("c"))
+        half = let(p, lambda p: -(F.ln(p["a"]) + F.ln(p["b"]) + F.ln(p["c"])))
+        joint = let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))  # chi-squared with 6 degrees of freedom
+        return F.struct(x["encoding"].alias("encoding"), x["n"].cast("int").alias("n"), joint.alias("p"))
+
+    def coded(x):  # body, encoding, alphabet
+        codes = F.transform(F.filter(F.split(x["body"], ""), lambda c: c != ""), lambda c: (F.position(c, x["alphabet"]) - 1).cast("double"))
+        return let(F.struct(x["encoding"].alias("encoding"), x["alphabet"].alias("alphabet"), codes.alias("codes"), F.length(x["body"]).cast("double").alias("n")), tests)
+
+    def kind(body):
+        encoding = F.coalesce(*[F.when(body.rlike(rx), F.struct(body.alias("body"), F.lit(name).alias("encoding"), F.lit(letters).alias("alphabet"))) for name, rx, letters in ENCODINGS])
+        return let(encoding, lambda x: F.when(x.isNotNull() & (F.length(body) >= LENGTHS[0]), coded(x)))
+
+    return let(F.regexp_replace(run, "=+$", ""), kind)
 
 
 def _stratum(e: Column, n: Column) -> Column:
     return F.concat_ws(":", e, reduce(lambda acc, x: F.when(n >= x, F.lit(str(x))).otherwise(acc), LENGTHS[1:], F.lit(str(LENGTHS[0]))))
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_base`` (spans) and ``_runs`` (start, end, stratum, p) of runs outside them."""
+RUNS = "array<struct<start:int,end:int,stratum:string,p:double>>"
+
+
+def scanned(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs`` with ``_base`` (spans) and ``_runs`` (start, end, stratum, p) of runs outside them."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(spans_of(text, ASSIGN, "assign", 2, 6), spans_of(text, ACCESS, "access"), spans_of(text, HEX, "hex"))
-    out = docs.withColumn("_base", base).withColumn("_cand", spans_of(text, RUN, "random"))
-    free = F.filter("_cand", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    out = docs.select(*columns, base.alias("_base"), spans_of(text, RUN, "random").alias("_cand"))
+    # Letters and digits must be mixed: a word or a plain number is no secret.
+    mixed = F.filter("_cand", lambda c: c["value"].rlike("[0-9]") & c["value"].rlike("[A-Za-z]"))
+    free = let(F.struct(mixed.alias("m"), F.col("_base").alias("b")), lambda x: F.filter(x["m"], lambda c: ~F.exists(x["b"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
 
     def measured(c):
-        m = battery(c["value"])
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), m["encoding"].alias("encoding"), m["n"].alias("n"), m["p"].alias("p"))
+        return let(battery(c["value"]), lambda m: F.struct(c["start"].alias("start"), c["end"].alias("end"), _stratum(m["encoding"], m["n"]).alias("stratum"), m["p"].alias("p")))
 
-    # Runs are short next to the texts; those of texts without any cost nothing.
-    return out.withColumn("_runs", F.filter(F.transform(free, measured), lambda r: r["p"].isNotNull())).drop("_cand")
+    runs = F.filter(F.transform(free, measured), lambda r: r["p"].isNotNull())
+    return out.select(*columns, "_base", F.when(F.size("_cand") > 0, runs).otherwise(F.array().cast(RUNS)).alias("_runs"))
 
 
 def thresholds(marked: DataFrame, rate: float = RATE) -> dict[str, float]:
@@ -144,9 +172,8 @@ def thresholds(marked: DataFrame, rate: float = RATE) -> dict[str, float]:
     p-values are counted in bins of their logarithm; the counts of all tasks
     are summed, and the procedure runs over the bins (a bounded table).
     """
-    p = F.col("r.p")
-    bin_ = F.least(F.lit(LOG_BINS), F.greatest(F.lit(0), F.floor(-20 * F.log10(F.greatest(p, F.lit(1e-30))))))
-    counts = marked.select(F.explode("_runs").alias("r")).groupBy(_stratum(F.col("r.encoding"), F.col("r.n")).alias("s"), bin_.alias("b")).count()
+    bin_ = F.least(F.lit(LOG_BINS), F.greatest(F.lit(0), F.floor(-20 * F.log10(F.greatest(F.col("r.p"), F.lit(1e-30))))))
+    counts = marked.select(F.explode("_runs").alias("r")).groupBy(F.col("r.stratum").alias("s"), bin_.alias("b")).count()
     table_: dict[str, dict[int, int]] = {}
     for row in counts.collect():  # at most strata x LOG_BINS rows
         table_.setdefault(row["s"], {})[int(row["b"])] = row["count"]
@@ -162,24 +189,30 @@ def thresholds(marked: DataFrame, rate: float = RATE) -> dict[str, float]:
     return out
 
 
-def find_secrets(docs: DataFrame, rate: float = RATE, least_p: float = LEAST_P, into: str = "_secrets") -> DataFrame:
-    """``docs`` with ``into``: array of (kind, start, end), by start, then kind as listed.
+def find_secrets(docs: DataFrame, rate: float = RATE, least_p: float = LEAST_P, into: str = "_secrets", columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (or ``columns`` of it) with ``into``: array of (kind, start, end), by start, then kind as listed.
 
-    Every whole text is scanned; a null text has no spans. Base spans (assign,
-    access, hex) always stay, random ones lie outside them. Other columns stay
-    as they are; repeated rows stay repeated.
+    Every whole text is scanned, once; what the scan finds is written down
+    before the rates are counted over all documents. A null text has no spans.
+    Base spans (assign, access, hex) always stay, random ones lie outside
+    them. Other columns stay as they are, whatever their names, but for
+    ``into``, ``_base``, ``_cand`` and ``_runs``; repeated rows stay repeated;
+    an empty table gives an empty table.
     """
-    marked = scanned(docs)
-    cuts = thresholds(scanned(docs.select("text")), rate)
-    level = F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv]) if cuts else F.create_map().cast("map<string,double>")
-    order = lambda k: reduce(lambda acc, i: F.when(k == KINDS[i], F.lit(i)).otherwise(acc), range(3), F.lit(3))
-    random_ = F.filter("_runs", lambda r: r["p"] > F.greatest(F.lit(least_p), F.coalesce(F.try_element_at(level, _stratum(r["encoding"], r["n"])), F.lit(0.0))))
+    own = {into, "_base", "_cand", "_runs"}
+    columns = [c for c in columns or docs.columns if c not in own]
+    marked = materialise(scanned(docs, columns), shared_dir(docs.sparkSession), "scanned")
+    cuts = thresholds(marked, rate)
+    level = F.create_map(*[F.lit(x) for kv in sorted(cuts.items()) for x in kv]) if cuts else F.create_map().cast("map<string,double>")
+    order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
+    random_ = F.filter("_runs", lambda r: r["p"] > F.greatest(F.lit(least_p), F.coalesce(F.try_element_at(level, r["stratum"]), F.lit(0.0))))
     every = F.concat(
-        F.transform("_base", lambda b: F.struct(b["start"].alias("start"), order(b["kind"]).alias("k"), b["end"].alias("end"))),
-        F.transform(random_, lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("k"), r["end"].alias("end"))),
+        F.transform("_base", lambda b: F.struct(b["start"].alias("start"), F.try_element_at(order, b["kind"]).alias("k"), b["end"].alias("end"))),
+        F.transform(random_, lambda r: F.struct(r["start"].alias("start"), F.lit(KINDS.index("random")).alias("k"), r["end"].alias("end"))),
     )
     names = F.array(*[F.lit(k) for k in KINDS])
-    return marked.withColumn(into, F.transform(F.array_sort(every), lambda x: F.struct(F.get(names, x["k"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))).drop("_base", "_runs")
+    spans = F.transform(F.array_sort(every), lambda x: F.struct(F.get(names, x["k"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return marked.select(*columns, spans.alias(into))
 
 
 def count_kind(spans, kind: str):
@@ -192,7 +225,7 @@ def joined(spans):
 
 def op8(spark, sf_dir: str) -> DataFrame:
     """Counts, digest and spans of every row of ``documents``."""
-    out = find_secrets(table(spark, sf_dir, "documents"))
+    out = find_secrets(table(spark, sf_dir, "documents"), columns=["doc_id"])
     base = F.filter("_secrets", lambda x: x["kind"] != "random")
     return out.select(
         "doc_id",
