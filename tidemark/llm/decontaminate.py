@@ -1,120 +1,194 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is partitioned by document: each task builds, for each block of
-documents that it reads, the postings (term, position) of the terms that occur
-in the test set, and answers the test windows from it. A window starts from
-the postings of its rarest term, shifted to the window's start, and goes on
-intersecting with the shifted lists of its next rarest terms. Postings never
-cross the network; only the test set travels, in blocks of bounded size.
+Indexing stores token postings: each task turns the documents that it reads
+into blocks of bounded size and writes, for each block, the positions of every
+term (by a 64-bit hash) as sorted lists. The index is partitioned by document,
+so postings never cross the network, and it serves any number of test sets.
+
+A search reads the stored blocks. A test window starts from the postings of
+its rarest term in the block, shifted to the window's start, and goes on
+intersecting with the shifted lists of its next rarest terms. Only the test
+set travels, in blocks of bounded size.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ALNUM, table
+from tidemark.llm.common import ALNUM, materialise, shared_dir, table
 
 WINDOW = 10
 #: Test words in one block, which a task holds; larger test sets take several passes.
 BLOCK_WORDS = 2_000_000
-#: Words of training text in one block's index, which bounds a task's memory.
+#: Words of training text in one block of the index, which bounds a task's memory.
 INDEX_WORDS = 1_000_000
+#: Contaminated ids are broadcast up to this number (16 bytes each), else joined by shuffle.
+BROADCAST_IDS = 500_000
+#: One row is one block: its documents, its terms in order, where each term's list begins, the positions.
+INDEX = "block string, ids array<long>, keys array<long>, ends array<int>, terms array<long>, first array<int>, positions array<int>"
+FOUND = "block string, at int, doc_id long, key long, n_words long, spans array<int>, items array<string>"
+
+
+def term_hash(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+
+
+def _arrow(schema: str, columns: list) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+def build_index(docs: DataFrame, base: str, *, block_words: int = INDEX_WORDS) -> DataFrame:
+    """The stored index of ``docs`` (doc_id, text): every word of every text is a posting.
+
+    A document is never split over blocks; ``key`` is a hash of its text, by
+    which rows of one doc_id are told apart.
+    """
+
+    def blocks(batches):
+        ids, keys, ends, codes, numbers, held = [], [], [], [], {}, 0
+
+        def block():
+            code = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+            terms = np.fromiter(map(term_hash, numbers), np.int64, len(numbers))
+            order = np.argsort(terms, kind="stable")
+            rank = np.empty(len(terms), np.int32)
+            rank[order] = np.arange(len(terms), dtype=np.int32)
+            code = rank[code]
+            counts = np.bincount(code, minlength=len(terms))
+            first = np.concatenate([[0], np.cumsum(counts)])
+            return _arrow(INDEX, [[uuid.uuid4().hex], [ids], [keys], [ends], [terms[order]], [first], [np.argsort(code, kind="stable").astype(np.int32)]])
+
+        for batch in batches:
+            for i, k, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = (text or b"").translate(ALNUM).split()
+                for w in words:
+                    if w not in numbers:
+                        numbers[w] = len(numbers)
+                codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                held += len(words)
+                ids.append(i)
+                keys.append(k)
+                ends.append(held)
+                if held >= block_words or len(ids) >= 50_000:
+                    yield block()
+                    ids, keys, ends, codes, numbers, held = [], [], [], [], {}, 0
+        if ids:
+            yield block()
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.encode("text", "UTF-8").alias("text"))
+    return materialise(slim.mapInArrow(blocks, INDEX), base, f"postings-{uuid.uuid4().hex}")
 
 
 class TestWindows:
     """The windows of one block of test items as term numbers, grouped by length."""
 
+    __test__ = False
+
     def __init__(self, items: list[tuple[str, bytes]], window: int):
-        self.terms: dict[bytes, int] = {}
-        self.items: list[str] = []
+        number: dict[bytes, int] = {}
+        item_number: dict[str, int] = {}
         by_length: dict[int, dict[tuple[int, ...], set[int]]] = {}
-        number: dict[str, int] = {}
         for item, text in items:
-            ids = [self.terms.setdefault(w, len(self.terms) + 1) for w in text.translate(ALNUM).split()]
+            ids = [number.setdefault(w, len(number)) for w in text.translate(ALNUM).split()]
             if not ids:
                 continue
-            k = number.setdefault(item, len(number))
+            k = item_number.setdefault(item, len(item_number))
             size = min(window, len(ids))
             for i in range(len(ids) - size + 1):
                 by_length.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), set()).add(k)
-        self.items = list(number)
-        self.groups = []
-        for size, windows in sorted(by_length.items()):
-            rows = list(windows)
-            owners = [sorted(windows[r]) for r in rows]
-            self.groups.append((size, np.array(rows, np.int32).reshape(len(rows), size), owners))
-
+        self.items = list(item_number)
+        self.terms = np.fromiter(map(term_hash, number), np.int64, len(number))
+        self.groups = [
+            (size, np.array(list(windows), np.int32).reshape(len(windows), size), [sorted(x) for x in windows.values()])
+            for size, windows in sorted(by_length.items())
+        ]
 
-def _postings(code: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions sorted by term, and where each term's list starts."""
-    at = np.flatnonzero(code)
-    order = np.argsort(code[at], kind="stable")
-    counts = np.bincount(code[at], minlength=n_terms + 2)
-    return at[order], np.concatenate([[0], np.cumsum(counts)])
 
-
-def _occurrences(code: np.ndarray, lists: np.ndarray, first: np.ndarray, windows: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def occurrences(code: np.ndarray, positions: np.ndarray, begin: np.ndarray, df: np.ndarray, windows: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(window, start) of each occurrence, by intersecting shifted lists from the rarest term on.
 
-    ``slop`` allows each term to stand up to that many words from its place
-    (proximity); 0 asks for the exact phrase.
+    ``begin`` and ``df`` say where in ``positions`` the list of each test term
+    lies; ``code`` has the test term at each position (-1: another word), which
+    answers whether a shifted position is in a term's list. With ``slop`` every
+    term may stand up to that many words from its place (proximity); 0 asks for
+    the exact phrase.
     """
     size = windows.shape[1]
-    df = (first[windows + 1] - first[windows]).astype(np.int64)
-    rank = np.argsort(df, axis=1, kind="stable")  # offsets by rarity
-    rows = np.arange(len(windows))
-    live = df.min(1) > 0
-    seed_offset = rank[:, 0]
-    seed_term = windows[rows, seed_offset]
-    n = np.where(live, df[rows, seed_offset], 0)
-    total = int(n.sum())
-    if not total:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    which = np.repeat(rows, n)
-    begin = np.repeat(np.cumsum(n) - n, n)
-    start = lists[first[seed_term][which] + np.arange(total) - begin] - seed_offset[which]
+    counts = df[windows]
+    rank = np.argsort(counts, axis=1, kind="stable")  # offsets by rarity
+    live = np.flatnonzero(counts.min(1) > 0) if len(windows) else np.zeros(0, np.int64)
+    seed = rank[live, 0]
+    term = windows[live, seed]
+    n = df[term].astype(np.int64)
+    which = np.repeat(live, n)
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    start = positions[np.repeat(begin[term].astype(np.int64), n) + step].astype(np.int64) - np.repeat(seed, n)
+    if slop:
+        shift = np.arange(-slop, slop + 1)
+        which, start = np.repeat(which, len(shift)), (start[:, None] + shift[None, :]).ravel()
     keep = (start >= 0) & (start + size <= len(code))
     which, start = which[keep], start[keep]
-    for k in range(1, size):
+    for k in range(0 if slop else 1, size):
         if not len(which):
             break
         offset = rank[which, k]
-        term = windows[which, offset]
-        ok = code[start + offset] == term  # is the shifted position in the term's list?
+        wanted, place = windows[which, offset], start + offset
+        ok = code[place] == wanted
         for d in range(1, slop + 1):
-            for p in (start + offset - d, start + offset + d):
-                ok |= (p >= 0) & (p < len(code)) & (code[np.clip(p, 0, len(code) - 1)] == term)
+            ok |= (code[np.minimum(place + d, len(code) - 1)] == wanted) | (code[np.maximum(place - d, 0)] == wanted)
         which, start = which[ok], start[ok]
+    if slop:
+        both = np.unique(np.stack([which, start]), axis=1)
+        which, start = both[0], both[1]
     return which, start
 
 
-class _Index:
-    """One block of documents: term numbers in document order, 0 between documents."""
-
-    def __init__(self, tests: TestWindows, slop: int):
-        self.tests, self.slop = tests, slop
-
-    def search(self, docs: list[np.ndarray]) -> list[tuple[np.ndarray, set[int]]]:
-        """For each document the words hit and the numbers of the items found."""
-        sizes = np.array([len(d) + 1 for d in docs], np.int64)
-        ends = np.cumsum(sizes)
-        code = np.zeros(int(ends[-1]) if len(docs) else 0, np.int32)
-        for d, e in zip(docs, ends, strict=True):
-            code[e - 1 - len(d) : e - 1] = d
-        lists, first = _postings(code, len(self.tests.terms))
-        hit = np.zeros(len(code) + 1, np.int32)
-        found: list[set[int]] = [set() for _ in docs]
-        for size, windows, owners in self.tests.groups:
-            which, start = _occurrences(code, lists, first, windows, self.slop)
-            np.add.at(hit, start, 1)
-            np.add.at(hit, start + size, -1)
-            for w, d in set(zip(which.tolist(), np.searchsorted(ends, start, side="right").tolist(), strict=True)):
-                found[d].update(owners[w])
-        covered = np.cumsum(hit[:-1]) > 0
-        return [(covered[e - 1 - len(d) : e - 1], f) for d, e, f in zip(docs, ends, found, strict=True)]
+def _search_block(row: dict, tests: TestWindows, slop: int):
+    """For each document of a stored block its words hit, as flat (start, end) pairs, and the items found."""
+    terms, first = row["terms"], row["first"]
+    positions = row["positions"]
+    at = np.minimum(np.searchsorted(terms, tests.terms), max(0, len(terms) - 1))
+    known = terms[at] == tests.terms if len(terms) else np.zeros(len(tests.terms), bool)
+    begin = np.where(known, first[at], 0) if len(terms) else np.zeros(len(tests.terms), np.int64)
+    df = np.where(known, first[at + 1] - first[at], 0) if len(terms) else np.zeros(len(tests.terms), np.int64)
+    # positions of the whole block with a gap of the slop's width after each document
+    ends = row["ends"].astype(np.int64)
+    starts = np.concatenate([[0], ends[:-1]])
+    pad = slop + 1
+    moved = positions + pad * np.searchsorted(ends, positions, side="right")
+    code = np.full(int(ends[-1]) + pad * len(ends), -1, np.int32)
+    listed = np.repeat(np.arange(len(tests.terms), dtype=np.int32), df)
+    inside = np.repeat(begin, df) + np.arange(int(df.sum())) - np.repeat(np.cumsum(df) - df, df)
+    code[moved[inside]] = listed
+    new_starts = starts + pad * np.arange(len(ends))
+    new_ends = ends + pad * np.arange(len(ends))
+    hit = np.zeros(len(code) + 1, np.int32)
+    found: dict[int, set[int]] = {}
+    for size, windows, owners in tests.groups:
+        which, start = occurrences(code, moved, begin, df, windows, slop)
+        doc = np.searchsorted(new_ends, start, side="right")
+        ok = start + size <= new_ends[np.minimum(doc, len(ends) - 1)]
+        which, start, doc = which[ok], start[ok], doc[ok]
+        np.add.at(hit, start, 1)
+        np.add.at(hit, start + size, -1)
+        for w, d in set(zip(which.tolist(), doc.tolist(), strict=True)):
+            found.setdefault(d, set()).update(owners[w])
+    covered = np.cumsum(hit[:-1]) > 0
+    for d in range(len(ends)):
+        spans: list[int] = []
+        if d in found:
+            own = covered[new_starts[d] : new_ends[d]]
+            spans = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]]))).tolist()
+        yield d, int(ends[d] - starts[d]), spans, sorted(tests.items[i] for i in found.get(d, ()))
 
 
 def _blocks(benchmark: DataFrame, block_words: int):
@@ -130,80 +204,73 @@ def _blocks(benchmark: DataFrame, block_words: int):
     yield block
 
 
-def _searcher(tests, slop: int):
-    """An Arrow function over texts that answers the windows of the broadcast ``tests``."""
-
-    @F.arrow_udf("struct<n_words:long,spans:array<int>,items:array<string>>")
-    def search(texts: pa.Array) -> pa.Array:
-        own = tests.value
-        index, get = _Index(own, slop), own.terms.get
-        out: list[tuple] = []
-        pending: list[np.ndarray] = []
-        held = 0
-
-        def flush() -> None:
-            for covered, found in index.search(pending):
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
-                out.append((len(covered), edge.astype(np.int32).tolist(), sorted(own.items[i] for i in found)))
-            pending.clear()
-
-        for text in texts.to_pylist():
-            words = (text or b"").translate(ALNUM).split()
-            pending.append(np.fromiter((get(w, 0) for w in words), np.int32, len(words)))
-            held += len(words) + 1
-            if held >= INDEX_WORDS:
-                flush()
-                held = 0
-        flush()
-        n, spans, items = zip(*out, strict=True) if out else ((), (), ())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
+def _searched(index: DataFrame, tests, slop: int) -> DataFrame:
+    def search(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                get = lambda name: batch.column(name)[k].values.to_numpy(zero_copy_only=False)  # noqa: B023,E731
+                row = {name: get(name) for name in ("ends", "terms", "first", "positions")}
+                ids, keys = batch.column("ids")[k].as_py(), batch.column("keys")[k].as_py()
+                name = batch.column("block")[k].as_py()
+                out = [(name, d, ids[d], keys[d], n, spans, items) for d, n, spans, items in _search_block(row, tests.value, slop)]
+                for i in range(0, len(out), 5000):
+                    yield _arrow(FOUND, list(zip(*out[i : i + 5000], strict=True)))
 
-    return search.asNondeterministic()
+    return index.mapInArrow(search, FOUND)
 
 
-def find_test_text(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS, into: str = "_test") -> DataFrame:
-    """``docs`` with a struct ``into``: n_words, n_hit and the sorted ids of the items found.
+def search_index(index: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, key, n_words, n_hit, spans, items) for every indexed row.
 
     A window is ``window`` consecutive words of an item (all of them if the
-    item has fewer); a word inside an occurrence of a window is hit. With
-    ``slop`` over 0 a window's words may each stand that far from their
-    places. Null texts have no words and no hits; items that are null or have
-    no words are never found; rows of one item_id count as one item. Other
-    columns of ``docs`` stay as they are, repeated rows stay repeated.
+    item has fewer); a word inside an occurrence of a window is hit. ``spans``
+    has the words hit as (start, end) pairs, ``items`` the sorted ids of the
+    items found. With ``slop`` over 0 every word of a window may stand that far
+    from its place. Null texts have no words; items that are null or have no
+    words are never found; rows of one item_id count as one item. Repeated
+    rows stay repeated.
     """
-    spark = docs.sparkSession
-    parts = []
-    for k, block in enumerate(_blocks(benchmark, block_words)):
-        tests = spark.sparkContext.broadcast(TestWindows(block, window))
-        docs = docs.withColumn(f"_found{k}", _searcher(tests, slop)(F.encode("text", "UTF-8")))
-        parts.append(f"_found{k}")
-    spans = F.concat(*[F.col(f"{p}.spans") for p in parts])
-    items = F.array_sort(F.array_distinct(F.concat(*[F.col(f"{p}.items") for p in parts])))
-    if len(parts) > 1:  # overlapping spans of several blocks: count each word once
-        pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(spans) / 2 - 1), lambda i: F.struct(F.get(spans, (2 * i).cast("int")).alias("a"), F.get(spans, (2 * i + 1).cast("int")).alias("b"))))
-        n_hit = F.when(F.size(spans) > 0, F.aggregate(pairs, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["end"]))).alias("n"), F.greatest(s["end"], x["b"]).alias("end")))["n"]).otherwise(0)
-    else:
-        n_hit = F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0), lambda s, x: s + x)
-    return docs.withColumn(into, F.struct(F.col(f"{parts[0]}.n_words").alias("n_words"), n_hit.cast("long").alias("n_hit"), items.alias("items"))).drop(*parts)
+    spark = index.sparkSession
+    parts = [_searched(index, spark.sparkContext.broadcast(TestWindows(block, window)), slop) for block in _blocks(benchmark, block_words)]
+    out = parts[0]
+    if len(parts) > 1:  # spans of several blocks of tests overlap: join them
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        out = out.groupBy("block", "at").agg(
+            F.first("doc_id").alias("doc_id"), F.first("key").alias("key"), F.first("n_words").alias("n_words"),
+            F.flatten(F.collect_list("spans")).alias("flat"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        )
+        pairs = F.array_sort(F.filter(F.transform("flat", lambda x, i: F.when(i % 2 == 0, F.struct(x.alias("a"), F.get("flat", i + 1).alias("b")))), lambda x: x.isNotNull()))
+
+        def join(s, x):
+            more = (F.size(s) > 0) & (F.element_at(s, -1) >= x["a"])
+            return F.when(more, F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.greatest(F.element_at(s, -1), x["b"])))).otherwise(F.concat(s, F.array(x["a"], x["b"])))
+
+        out = out.withColumn("spans", F.when(F.size("flat") > 0, F.aggregate(pairs, F.array().cast("array<int>"), join)).otherwise(F.array().cast("array<int>")))
+    n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0), lambda s, x: s + x)
+    return out.select("doc_id", "key", "n_words", n_hit.cast("long").alias("n_hit"), "spans", "items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """The rows of ``docs`` in which no test window occurs."""
-    return find_test_text(docs, benchmark, **kw).where(F.col("_test.n_hit") == 0).select(*docs.columns)
+    """The rows of ``docs`` in which no test window occurs, with their own columns."""
+    base = shared_dir(docs.sparkSession)
+    found = search_index(build_index(docs, base), benchmark, **kw)
+    gone = materialise(found.where("n_hit > 0").select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct(), base, "contaminated")
+    small = gone.count() <= BROADCAST_IDS
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_key"))
+    return docs.join(F.broadcast(gone) if small else gone, same, "left_anti")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     """Words hit and items found for each row of ``documents``, held against all of ``benchmark``."""
-    out = find_test_text(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select(
-        "doc_id", F.col("_test.n_words").alias("n_words"), F.col("_test.n_hit").alias("n_hit"),
-        F.size("_test.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_test.items", ","), 256).alias("items_sha256"),
-        (F.col("_test.n_hit") > 0).alias("contaminated"),
+    index = build_index(table(spark, sf_dir, "documents"), shared_dir(spark))
+    return search_index(index, table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
-__all__ = ["WINDOW", "BLOCK_WORDS", "TestWindows", "drop_contaminated", "find_test_text"]
+__all__ = ["BLOCK_WORDS", "WINDOW", "TestWindows", "build_index", "drop_contaminated", "search_index"]
 
 OP4_SQL = r"""
 WITH d AS (
