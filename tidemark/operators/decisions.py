@@ -127,6 +127,7 @@ def evaluate(x: DataFrame, cfg: Config = C) -> DataFrame:
     cooldown_until. Gates come in order: validity, freshness, warm-up,
     cooldown; then long and short candidates are weighed.
     """
+    asked = x.columns
     if "cooldown_until" not in x.columns:
         x = x.withColumn("cooldown_until", F.lit(None).cast("long"))
     yes = lambda c: F.coalesce(c, F.lit(False))
@@ -179,7 +180,7 @@ def evaluate(x: DataFrame, cfg: Config = C) -> DataFrame:
         .otherwise(waiting("No active signal triggers", both))
     )
     out = x.withColumn("_d", decided).drop("_long", "_short", "_long_gates", "_short_gates")
-    return out.select(*[c for c in x.columns if not c.startswith("_")], "_d.*")
+    return out.select(*asked, "_d.*")
 
 
 def decision_inputs(trades: DataFrame, alerts: DataFrame, book: DataFrame, scored: DataFrame, grid: int, cfg: Config = C, windows: dict[str, int] = WINDOWS) -> DataFrame:

@@ -6,18 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sync_start(snapshots: DataFrame, diffs: DataFrame) -> DataFrame:
+def sync_start(snapshots: DataFrame, diffs: DataFrame, width: int = 1_000_000) -> DataFrame:
     """(symbol, last_id, first_u, state): where each snapshot (symbol, last_id) joins the buffered differences (symbol, first_u, u).
 
     Differences up to the snapshot are dropped. The first of the rest must
     span last_id + 1 (HEALTHY); if it begins later there is a GAP; without any
-    the book is still SYNCING.
+    the book is still SYNCING. Ids are cut into blocks of ``width``: the next
+    difference is in the snapshot's block or heads the next block that has any.
     """
-    rest = snapshots.join(diffs, "symbol", "left").where(F.col("u").isNull() | (F.col("u") > F.col("last_id")))
-    first = rest.groupBy("symbol", "last_id").agg(F.min(F.when(F.col("u").isNotNull(), F.struct("u", "first_u"))).alias("f"))
-    every = snapshots.join(first, ["symbol", "last_id"], "left")
-    ok = (F.col("f.first_u") <= F.col("last_id") + 1) & (F.col("last_id") + 1 <= F.col("f.u"))
-    return every.select("symbol", "last_id", F.col("f.first_u").alias("first_u"), F.when(F.col("f").isNull(), "SYNCING").when(ok, "HEALTHY").otherwise("GAP").alias("state"))
+    d = diffs.select("symbol", F.col("u").alias("id"), F.lit(1).alias("kind"), F.struct("u", "first_u").alias("d"))
+    s = snapshots.select("symbol", F.col("last_id").alias("id"), F.lit(0).alias("kind"), F.lit(None).cast("struct<u:bigint,first_u:bigint>").alias("d"))
+    rows = s.unionByName(d).withColumn("_block", F.floor(F.col("id") / width))
+    heads = rows.groupBy("symbol", "_block").agg(F.min("d").alias("_head"))
+    later = Window.partitionBy("symbol").orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    heads = heads.select("symbol", "_block", F.first("_head", ignorenulls=True).over(later).alias("_next"))
+    down = Window.partitionBy("symbol", "_block").orderBy(F.desc("id"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    near = rows.withColumn("_near", F.min("d").over(down)).where("kind = 0").join(heads, ["symbol", "_block"])
+    first = F.coalesce("_near", "_next")
+    at = F.col("last_id") + 1
+    state = F.when(F.col("f").isNull(), "SYNCING").when((F.col("f.first_u") <= at) & (at <= F.col("f.u")), "HEALTHY").otherwise("GAP")
+    return near.select("symbol", F.col("id").alias("last_id"), first.alias("f")).select("symbol", "last_id", F.col("f.first_u").alias("first_u"), state.alias("state"))
 
 
 def book_at_end(changes: DataFrame) -> DataFrame:

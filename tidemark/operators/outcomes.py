@@ -39,7 +39,7 @@ def forward_excursion(signals: DataFrame, trades: DataFrame, horizons: dict[str,
     out = s.join(found, "signal_id", "left")
     for h in horizons:
         for c in ("best", "worst", "final"):
-            out = out.withColumn(f"{c}_{h}", F.round(F.coalesce(f"{c}_{h}", F.lit(0.0)), 4))
+            out = out.withColumn(f"{c}_{h}", F.round(F.coalesce(f"{c}_{h}", F.lit(0.0)), 4) + 0.0)
         out = out.withColumn(f"win_{h}", F.col(f"final_{h}") > 0)
     return out
 
