@@ -30,10 +30,10 @@ def price_bucket(price: Column, size: float) -> Column:
 
 
 def compact_usdt(v: Column) -> Column:
-    """$1.50M, $2.3K, $45; the sign stands first."""
-    a = F.abs(v)
-    body = F.when(a >= 1e6, F.format_string("$%.2fM", a / 1e6)).when(a >= 1e3, F.format_string("$%.1fK", a / 1e3)).otherwise(F.format_string("$%.0f", a.cast("double")))
-    return F.concat(F.when(v < 0, "-").otherwise(""), body)
+    """+$1.50M, -$2.3K, +$45.0."""
+    a = F.abs(v).cast("double")
+    body = F.when(a >= 1e6, F.format_string("$%.2fM", a / 1e6)).when(a >= 1e3, F.format_string("$%.1fK", a / 1e3)).otherwise(F.format_string("$%.1f", a))
+    return F.concat(F.when(v < 0, "-").otherwise("+"), body)
 
 
 def compact_or_na(v: Column) -> Column:
@@ -54,13 +54,13 @@ def age_text(seconds: Column) -> Column:
         seconds < 3600, F.format_string("%dm ago", F.floor(seconds / 60).cast("int"))).otherwise(F.format_string("%dh ago", F.floor(seconds / 3600).cast("int")))
 
 
-#: Fixed patterns of credentials in messages.
+#: Patterns of credentials in messages, and what replaces them.
 SENSITIVE = (
-    (r"(?i)(authorization\s*[:=]\s*bearer\s+)\S+", "$1[REDACTED]"),
-    (r"(?i)((?:api[_-]?key|key|token)=)[^&\s\"']+", "$1[REDACTED]"),
-    (r"sk-[A-Za-z0-9_-]{8,}", "[REDACTED]"),
-    (r"AIza[A-Za-z0-9_-]{20,}", "[REDACTED]"),
-    (r"(?i)(x-api-key\s*[:=]\s*)\S+", "$1[REDACTED]"),
+    (r"""(?i)(authorization['"]?\s*[:=]\s*['"]?(?:bearer\s+)?)[^'"\s,}]+""", "$1[REDACTED]"),
+    (r"""(?i)(x-api-key['"]?\s*[:=]\s*['"]?)[^'"\s,}]+""", "$1[REDACTED]"),
+    (r"""(?i)([?&]key=)[^&\s'"]+""", "$1[REDACTED]"),
+    (r"sk-(?:proj-|ant-)?[A-Za-z0-9_\-]{8,}", "[REDACTED]"),
+    (r"AIzaSy[A-Za-z0-9_\-]{10,}", "[REDACTED]"),
 )
 
 
@@ -71,7 +71,7 @@ def redact_credentials(text: Column, literals: tuple[str, ...] = ()) -> Column:
 
 def strip_fence(text: Column) -> Column:
     """The body of a Markdown code fence, or the trimmed text."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(json)?\s*", ""), r"\s*```$", ""))
 
 
 def symbol_key(c: Column) -> Column:

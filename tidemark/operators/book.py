@@ -167,7 +167,7 @@ def icebergs(trades: DataFrame, levels: DataFrame, bucket: float, cfg: Config =
     last = levels.groupBy("symbol").agg(F.max("snap_ms").alias("snap_ms"))
     shown = levels.join(last, list(KEYS)).groupBy("symbol", price_bucket(F.col("price").cast("double"), bucket).alias("bucket")).agg(F.sum("notional").cast("double").alias("displayed"))
     out = executed_by_price(trades, bucket).join(shown, ["symbol", "bucket"])
-    return out.withColumn("iceberg", F.col("executed") > cfg.iceberg_multiple * F.col("displayed"))
+    return out.withColumn("iceberg", (F.col("displayed") > 0) & (F.col("executed") > cfg.iceberg_multiple * F.col("displayed")))
 
 
 def spoofs(walls_: DataFrame, executed: DataFrame, bucket: float, cfg: Config = C) -> DataFrame:

@@ -136,8 +136,8 @@ def p22(spark, d):
     return src.trades(spark, d).select("agg_id", price_bucket(F.col("price"), 10.0).alias("bucket"), (F.col("price") >= 100).alias("dear"))
 
 
-@query("f1_compact_format", f"""WITH {TRADES}, s AS (SELECT symbol, CAST(sum(signed) AS DOUBLE) AS v FROM trades GROUP BY symbol) SELECT symbol, CASE WHEN v < 0 THEN '-' ELSE '' END ||
-  CASE WHEN abs(v) >= 1000000 THEN printf('$%.2fM', abs(v) / 1000000) WHEN abs(v) >= 1000 THEN printf('$%.1fK', abs(v) / 1000) ELSE printf('$%.0f', abs(v)) END AS shown FROM s""")
+@query("f1_compact_format", f"""WITH {TRADES}, s AS (SELECT symbol, CAST(sum(signed) AS DOUBLE) AS v FROM trades GROUP BY symbol) SELECT symbol, CASE WHEN v < 0 THEN '-' ELSE '+' END ||
+  CASE WHEN abs(v) >= 1000000 THEN printf('$%.2fM', abs(v) / 1000000) WHEN abs(v) >= 1000 THEN printf('$%.1fK', abs(v) / 1000) ELSE printf('$%.1f', abs(v)) END AS shown FROM s""")
 def f1(spark, d):
     x = src.trades(spark, d).groupBy("symbol").agg(F.sum(F.when(F.col("side") == "BUY", F.col("notional")).otherwise(-F.col("notional"))).cast("double").alias("v"))
     return x.select("symbol", compact_usdt(F.col("v")).alias("shown"))

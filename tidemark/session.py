@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
+#: Texts in one Arrow batch: bounds what a Python worker and the JVM's buffers hold at once.
+BATCH_ROWS = 1000
 
 
 def session(app: str = "tidemark", **more: str) -> SparkSession:
@@ -25,7 +27,14 @@ def session(app: str = "tidemark", **more: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once for each context, so that Python workers can import it."""
+    """Make a session ready for the operators.
+
+    Arrow batches get at most ``BATCH_ROWS`` rows. The package is sent to the
+    executors, once for each context, so that Python workers can import it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_tidemark_shipped", False):
         return
