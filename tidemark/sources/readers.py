@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 RECORDING = "stream string, data string, receive_time double, exchange_time double"
 TRADE_FIELDS = "struct<e:string,p:string,q:string,T:bigint,m:boolean,a:bigint,s:string,price:double,quantity:double,side:string,timestamp:double>"
-DEPTH_FIELDS = "struct<e:string,E:bigint,T:bigint,U:bigint,u:bigint,pu:bigint,b:array<array<string>>,a:array<array<string>>>"
-SNAPSHOT_FIELDS = "struct<lastUpdateId:bigint,bids:array<array<string>>,asks:array<array<string>>>"
-SWEEPS_V1 = "timestamp string, symbol string, type string, sweep_level string, sweep_id string"
 #: States of sweeps that a restart takes up again.
 LIVE_STATES = ("RAW_SWEEP", "MSS_PENDING", "VALID_ENTRY_READY")
 FLOW_EVENTS = (
@@ -46,8 +43,11 @@ def parse_trade(json: Column) -> Column:
 
 
 def parse_depth(json: Column) -> Column:
-    x = F.from_json(json, DEPTH_FIELDS, {"mode": "PERMISSIVE"})
-    return F.when((x["e"] == "depthUpdate") & x["u"].isNotNull(), F.struct(x["E"].alias("ms"), x["U"].alias("first_u"), x["u"].alias("u"), x["pu"].alias("pu"), x["b"].alias("bids"), x["a"].alias("asks")))
+    """A depth message; names differ in case only (e and E, u and U), so fields are taken by path."""
+    get = lambda name, kind: F.get_json_object(json, f"$.{name}").try_cast(kind)
+    side = lambda name: F.from_json(F.get_json_object(json, f"$.{name}"), "array<array<string>>")
+    fields = F.struct(get("E", "long").alias("ms"), get("U", "long").alias("first_u"), get("u", "long").alias("u"), get("pu", "long").alias("pu"), side("b").alias("bids"), side("a").alias("asks"))
+    return F.when((get("e", "string") == "depthUpdate") & get("u", "long").isNotNull(), fields)
 
 
 def recordings(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
