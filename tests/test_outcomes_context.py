@@ -69,3 +69,14 @@ def test_status_rollups(spark):
     events = spark.createDataFrame([("a", "X_BURST", "mock_1"), ("a", "BULLISH_DIVERGENCE", None), ("b", "BULLISH_DIVERGENCE", "swp_mock_2")], "symbol string, type string, sweep_id string")
     assert reports.real_events(events).count() == 2
     assert [(r.category, r.symbol) for r in reports.category_hotspots(events, 1).orderBy("category").collect()] == [("BURST", "a"), ("DIVERGENCE", "a")]
+
+
+def test_ask_keeps_failures_as_rows(spark):
+    def call(prompt):
+        if "bad" in prompt:
+            raise RuntimeError("key sk-proj-abcdefghij refused")
+        return "```json\n{}\n```"
+
+    rows = spark.createDataFrame([("a", "good"), ("b", "bad")], "scope string, prompt string")
+    got = {r.scope: (r.ok, r.raw_text, r.error) for r in interpret.ask(rows, call, "p", "m").collect()}
+    assert got == {"a": (True, "{}", None), "b": (False, None, "key [REDACTED] refused")}

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import redact_credentials, strip_fence
+
 #: Fixed values of the response format.
 RISKS = ("low", "medium", "high")
 REGIMES = ("trending", "choppy", "absorbing", "sweep-heavy", "mixed")
@@ -123,3 +128,27 @@ def rate_limited(calls: DataFrame, gap_ms: int = 30_000) -> DataFrame:
     """Manual calls (scope, ms) with whether the gap to the one before is long enough."""
     before = F.lag("ms").over(Window.partitionBy("scope").orderBy("ms"))
     return calls.withColumn("allowed", F.coalesce(F.col("ms") - before >= gap_ms, F.lit(True)))
+
+
+ANSWER = "scope string, provider string, model string, ok boolean, raw_text string, latency_ms long, error string"
+
+
+def ask(requests: DataFrame, call: Callable[[str], str], provider: str, model: str) -> DataFrame:
+    """Rows (scope, prompt) answered by ``call``, which runs on the executors; a failure is a row with its error."""
+
+    def answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+
+        for batch in batches:
+            rows = []
+            for scope, prompt in zip(batch["scope"], batch["prompt"], strict=True):
+                began, text, error = time.monotonic(), None, None
+                try:
+                    text = call(prompt)
+                except Exception as e:  # noqa: BLE001  whatever a provider raises is an answer that failed
+                    error = str(e)
+                rows.append((scope, provider, model, error is None, text, int((time.monotonic() - began) * 1000), error))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in ANSWER.split(", ")])
+
+    out = requests.select("scope", "prompt").mapInPandas(answers, ANSWER)
+    return out.withColumn("raw_text", strip_fence(F.col("raw_text"))).withColumn("error", redact_credentials(F.col("error")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import decision_queries, trade_queries  # noqa: F401  both register
+from tidemark.plans import decision_queries, source_queries, trade_queries  # noqa: F401  all register
 from tidemark.plans.registry import QUERIES, SQL
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -26,6 +27,22 @@ def session(app: str = "tidemark", **more: str) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where the setting is absent only a ``local`` master may go on, in a folder
+    of this machine, as tests do.
+    """
+    key = "spark.checkpoint.dir"
+    root = spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {key} to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set(key, root)
+    return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Make a session ready for the operators.
 

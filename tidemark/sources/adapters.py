@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def timed(events: DataFrame) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
-    return e.withColumn("ts", ts).withColumn("ms", F.expr("unix_micros(ts) div 60000")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return events.withColumn("ts", ts).withColumn("ms", F.expr("unix_micros(ts) div 60000")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timed(table(spark, sf_dir, "events"))
 
 
 def _symbol(n):
@@ -33,9 +36,13 @@ def _symbol(n):
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(symbol, agg_id, ms, day, price, quantity, side, notional); notional is exact."""
+    return trades_from(table(spark, sf_dir, "events"))
+
+
+def trades_from(events: DataFrame) -> DataFrame:
+    """(symbol, agg_id, ms, day, price, quantity, side, notional) of a table or stream of events; notional is exact."""
     quantity = F.col("k") % 10 + 1
-    return _timed(spark, sf_dir).select(
+    return timed(events).select(
         F.col("event_type").alias("symbol"), F.col("event_id").alias("agg_id"), "ms", F.to_date("ts").alias("day"), F.col("value").alias("price"),
         quantity.cast("double").alias("quantity"), F.when(F.col("k") % 2 == 0, "BUY").otherwise("SELL").alias("side"),
         dec(F.col("value").cast("decimal(18,6)") * quantity).alias("notional"),
