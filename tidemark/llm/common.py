@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import shared_dir
+
 #: Bytes that end a word under ``[^\x20\x09-\x0D]+``; ``bytes.split()`` splits on the same six.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A-Z to a-z, and every ASCII byte that is neither a letter nor a digit to a blank.
@@ -21,25 +20,11 @@ BLANK_WORD = r"[^\x20\x09-\x0D]+"
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["ALNUM", "BLANK_WORD", "LOWER", "lower_az", "materialise", "shared_dir", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent only a ``local`` master may go on, in a folder
-    of this machine, as tests do.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def materialise(df: DataFrame, base: str, name: str) -> DataFrame:
