@@ -212,7 +212,7 @@ def auto_trader(ticks: DataFrame, cash: float = 10_000.0, leverage: float = 5.0,
             if profit >= take or profit <= -stop or r["action"] in OPPOSITE[held["side"]]:
                 closed = "TAKE" if profit >= take else "STOP" if profit <= -stop else "OPPOSITE"
                 _, gain = _fill(s, symbol, "SELL" if held["side"] == "BUY" else "BUY", held["qty"], price)
-        if symbol not in s["held"] and r["entry"] in ("BUY", "SELL"):
+        if symbol not in s["held"] and r["entry"] in ("BUY", "SELL") and price > 0:
             open_ = sum(h["qty"] * (s["marks"].get(k, h["entry"]) - h["entry"]) * (1 if h["side"] == "BUY" else -1) for k, h in s["held"].items())
             kind, _ = _fill(s, symbol, r["entry"], (s["cash"] + open_) * share * leverage / price, price)
             opened = r["entry"] if kind == "OPEN" else None

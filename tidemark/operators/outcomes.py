@@ -14,8 +14,8 @@ HORIZONS = {"5m": 300_000, "15m": 900_000, "1h": 3_600_000}
 
 
 def _moves(entry: Column, price: Column, side: Column) -> Column:
-    """Percentage in the signal's favour."""
-    return (price - entry) / entry * 100 * F.when(side == "LONG", 1).otherwise(-1)
+    """Percentage in the signal's favour; null for an entry at 0."""
+    return F.try_divide(price - entry, entry) * 100 * F.when(side == "LONG", 1).otherwise(-1)
 
 
 def forward_excursion(signals: DataFrame, trades: DataFrame, horizons: dict[str, int] = HORIZONS, cfg: Config = C) -> DataFrame:

@@ -108,9 +108,9 @@ def absorption(trades: DataFrame, window: int, grid: int, cfg: Config = C) -> Da
     total = F.col("buy") + F.col("sell")
     delta = (F.col("buy") - F.col("sell")).cast("double")
     limit = cfg.absorption_short if window <= 60_000 else cfg.absorption_long
-    change = (F.col("close") - F.col("open")) / F.col("open") * 100
-    bounced = (F.col("close") - F.col("low")) / F.col("low") * 100 >= cfg.flat_pct * 2
-    rejected = (F.col("high") - F.col("close")) / F.col("high") * 100 >= cfg.flat_pct * 2
+    change = F.try_divide(F.col("close") - F.col("open"), F.col("open")) * 100  # null at a price of 0: no event by it
+    bounced = F.try_divide(F.col("close") - F.col("low"), F.col("low")) * 100 >= cfg.flat_pct * 2
+    rejected = F.try_divide(F.col("high") - F.col("close"), F.col("high")) * 100 >= cfg.flat_pct * 2
     bull = (delta < -limit) & (ratio(F.col("sell"), total, 0.0) >= cfg.absorption_ratio) & ((change >= -cfg.flat_pct) | bounced)
     bear = (delta > limit) & (ratio(F.col("buy"), total, 0.0) >= cfg.absorption_ratio) & ((change <= cfg.flat_pct) | rejected)
     event = F.when(total == 0, None).when(bull, "BULLISH_ABSORPTION").when(bear, "BEARISH_ABSORPTION")

@@ -248,7 +248,7 @@ def t14(spark, d):
 
 
 _H = (("5m", 300000), ("15m", 900000), ("1h", 3600000))
-_OUT = f"{TRADES}, {SIGNALS}, mv AS (SELECT s.signal_id, t.ms - s.ms AS gap, t.seq, (t.price - s.price) / s.price * 100 * CASE WHEN direction = 'LONG' THEN 1 ELSE -1 END AS m FROM signals s JOIN trades t ON t.symbol = s.symbol AND t.ms > s.ms AND t.ms <= s.ms + 3600000), ma AS (SELECT signal_id, " + ", ".join(
+_OUT = f"{TRADES}, {SIGNALS}, mv AS (SELECT s.signal_id, t.ms - s.ms AS gap, t.seq, (t.price - s.price) / nullif(s.price, 0) * 100 * CASE WHEN direction = 'LONG' THEN 1 ELSE -1 END AS m FROM signals s JOIN trades t ON t.symbol = s.symbol AND t.ms > s.ms AND t.ms <= s.ms + 3600000), ma AS (SELECT signal_id, " + ", ".join(
     f"max(m) FILTER (WHERE gap <= {ms}) AS b_{h}, min(m) FILTER (WHERE gap <= {ms}) AS w_{h}, arg_max(m, seq) FILTER (WHERE gap <= {ms}) AS f_{h}" for h, ms in _H) + " FROM mv GROUP BY signal_id), outc AS (SELECT signal_id, symbol, direction, " + ", ".join(
     f"round(coalesce(b_{h}, 0), 4) + 0.0 AS best_{h}, round(coalesce(w_{h}, 0), 4) + 0.0 AS worst_{h}, round(coalesce(f_{h}, 0), 4) + 0.0 AS final_{h}, round(coalesce(f_{h}, 0), 4) > 0 AS win_{h}" for h, _ in _H) + " FROM signals LEFT JOIN ma USING (signal_id))"
 

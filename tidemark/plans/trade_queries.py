@@ -86,9 +86,9 @@ def a4(spark, d):
 @query("a5_absorption", f"""WITH {TRADES}, t AS (SELECT trades.*, unnest(range(ms // 60000 + 1, ms // 60000 + 6)) * 60000 AS tick FROM trades),
 g AS (SELECT symbol, tick, arg_min(price, seq) AS open, arg_max(price, seq) AS close, max(price) AS high, min(price) AS low, count(*) AS n,
   coalesce(sum(notional) FILTER (WHERE side = 'BUY'), 0) AS buy, coalesce(sum(notional) FILTER (WHERE side = 'SELL'), 0) AS sell FROM t GROUP BY ALL HAVING count(*) >= 5),
-m AS (SELECT *, CAST(buy - sell AS DOUBLE) AS delta, (close - open) / open * 100 AS chg, CAST(buy AS DOUBLE) / CAST(buy + sell AS DOUBLE) AS br, CAST(sell AS DOUBLE) / CAST(buy + sell AS DOUBLE) AS sr FROM g)
-SELECT symbol, tick, open, close, high, low, n, round(delta, 6) AS delta, CASE WHEN delta < -800 AND sr >= 0.6 AND (chg >= -0.02 OR (close - low) / low * 100 >= 0.04) THEN 'BULLISH_ABSORPTION'
-  WHEN delta > 800 AND br >= 0.6 AND (chg <= 0.02 OR (high - close) / high * 100 >= 0.04) THEN 'BEARISH_ABSORPTION' END AS event FROM m""")
+m AS (SELECT *, CAST(buy - sell AS DOUBLE) AS delta, (close - open) / nullif(open, 0) * 100 AS chg, CAST(buy AS DOUBLE) / CAST(buy + sell AS DOUBLE) AS br, CAST(sell AS DOUBLE) / CAST(buy + sell AS DOUBLE) AS sr FROM g)
+SELECT symbol, tick, open, close, high, low, n, round(delta, 6) AS delta, CASE WHEN delta < -800 AND sr >= 0.6 AND (chg >= -0.02 OR (close - low) / nullif(low, 0) * 100 >= 0.04) THEN 'BULLISH_ABSORPTION'
+  WHEN delta > 800 AND br >= 0.6 AND (chg <= 0.02 OR (high - close) / nullif(high, 0) * 100 >= 0.04) THEN 'BEARISH_ABSORPTION' END AS event FROM m""")
 def a5(spark, d):
     return trades.absorption(src.trades(spark, d), 300_000, 60_000, CFG).select("symbol", "tick", "open", "close", "high", "low", "n", r6("delta"), "event")
 
