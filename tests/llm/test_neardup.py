@@ -75,3 +75,16 @@ def test_copies_cut_in_the_same_place(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
     assert got == brute.components(rows)
+
+
+def test_long_chains_are_one_component(spark, tmp_path):
+    rng = random.Random(3)
+    links, at = [], 0
+    for n in (200, 400, 1000, 3000):
+        ids = list(range(at, at + n))
+        rng.shuffle(ids)
+        links += [(min(p), max(p)) for p in zip(ids, ids[1:])]  # noqa: B905
+        at += n
+    got = neardup.components(spark.createDataFrame(links, "a long, b long"), f"file://{tmp_path}", "c").collect()
+    want = {k: low for low, high in ((0, 200), (200, 600), (600, 1600), (1600, 4600)) for k in range(low, high)}
+    assert {r.node: r.comp for r in got} == want

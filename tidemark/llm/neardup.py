@@ -132,22 +132,30 @@ def _estimated(pairs: DataFrame, reps: DataFrame, cfg: SketchConfig, lacking: bo
 def components(links: DataFrame, base: str, name: str) -> DataFrame:
     """(node, comp) with comp the smallest node reachable, for each node with a link.
 
-    Labels spread along links and then jump to their label's label, until none
-    changes; every round is a written table.
+    Each round every node moves to the neighbour (or itself) of least random
+    rank, then to that one's choice, and links become links between the choices;
+    it ends when no link is left. Ranks are drawn anew each round, so that the
+    nodes shrink by a constant factor a round, whatever their order.
     """
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    both = materialise(both.distinct(), base, f"{name}-edges")
-    labels = materialise(both.groupBy(F.col("x").alias("node")).agg(F.min(F.least("x", "y")).alias("comp")), base, f"{name}-0")
-    for k in range(1, 64):
-        near = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("comp").alias("near"))
-        low = labels.join(near, labels["node"] == near["x"]).select("node", "comp", F.least("comp", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("far"))
-        new = materialise(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("comp"), F.col("comp").alias("was")), base, f"{name}-{k}")
-        changed = new.where("comp <> was").limit(1).count()
-        labels = new.select("node", "comp")
-        if not changed:
-            break
-    return labels
+    edges = materialise(both.where("x <> y").distinct(), base, f"{name}-edges")
+    labels, k = None, 0
+    while edges.limit(1).count():
+        rank = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
+        near = edges.groupBy("x").agg(F.min(rank("y")).alias("m")).select(F.col("x").alias("v"), F.least("m", rank("x")).getField("to").alias("p"))
+        far = near.select(F.col("v").alias("p"), F.col("p").alias("q"))
+        step = materialise(near.join(far, "p").select("v", "q"), base, f"{name}-step-{k}")
+        labels = step.select(F.col("v").alias("node"), F.col("q").alias("root")) if labels is None else (
+            labels.join(step, labels["root"] == step["v"], "left").select("node", F.coalesce("q", "root").alias("root")))
+        x, y = step.select(F.col("v").alias("x"), F.col("q").alias("qx")), step.select(F.col("v").alias("y"), F.col("q").alias("qy"))
+        moved = edges.join(x, "x").join(y, "y").where("qx <> qy").select(F.col("qx").alias("x"), F.col("qy").alias("y")).distinct()
+        edges = materialise(moved, base, f"{name}-edges-{k}")
+        k += 1
+    if labels is None:
+        return edges.select(F.col("x").alias("node"), F.col("y").alias("comp"))
+    labels = materialise(labels, base, f"{name}-roots")
+    least = labels.groupBy("root").agg(F.min("node").alias("comp"))
+    return materialise(labels.join(least, "root").select("node", "comp"), base, f"{name}-labels")
 
 
 def _ties(members: DataFrame, choice: DataFrame) -> DataFrame:
