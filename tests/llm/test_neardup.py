@@ -88,3 +88,13 @@ def test_long_chains_are_one_component(spark, tmp_path):
     got = neardup.components(spark.createDataFrame(links, "a long, b long"), f"file://{tmp_path}", "c").collect()
     want = {k: low for low, high in ((0, 200), (200, 600), (600, 1600), (1600, 4600)) for k in range(low, high)}
     assert {r.node: r.comp for r in got} == want
+
+
+def test_short_texts_with_one_more_word(spark):
+    rows = []
+    for family in range(24):  # the three shingles of a family's first text are on lists of 41 classes
+        text = " ".join(f"f{family}w{k}" for k in range(7))
+        rows += [text, *(f"{text} x{family}y{k}" for k in range(40))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    assert got == {k: k - k % 41 for k in range(len(rows))}
