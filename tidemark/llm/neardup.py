@@ -199,12 +199,15 @@ def near_duplicates(docs: DataFrame, cfg: SketchConfig | None = None) -> DataFra
         F.filter(F.slice("m", i + 2, cfg.hot), lambda y: _similar_size(x["n"], y["n"], cfg) & (y["node"] != x["node"])),
         lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.greatest(x["n"], y["n"]).alias("n")))))).alias("p"))
     pairs = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("ov"), F.max("p.n").alias("n"))
-    # A pair found by fewer than 3 values of two large sketches less than half hot is far below 0.75.
-    pairs = materialise(_estimated(pairs.where((F.col("ov") >= 3) | (F.col("n") <= cfg.k)), reps, cfg), base, "pairs")
-
     hot = shared.where(F.col("df") > cfg.hot)
-    own = hot.groupBy("node").agg(F.count("*").alias("n_hot"), F.max("n").alias("size"))
-    own = own.withColumn("share", F.col("n_hot") / F.least(F.col("size"), F.lit(cfg.k))).where("share >= 0.5").select("node", "share")
+    heat = materialise(hot.groupBy("node").agg(F.count("*").alias("n_hot"), F.max("n").alias("size")), base, "heat")
+    # A pair shares its short lists and at most all long lists of the one with fewer: less than the estimate asks for can go unseen.
+    ha, hb = heat.select(F.col("node").alias("a"), F.col("n_hot").alias("ha")), heat.select(F.col("node").alias("b"), F.col("n_hot").alias("hb"))
+    most = F.col("ov") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
+    pairs = pairs.join(ha, "a", "left").join(hb, "b", "left").where(most >= cfg.least_estimate * F.least(F.col("n"), F.lit(cfg.k)))
+    pairs = materialise(_estimated(pairs.select("a", "b", "ov", "n"), reps, cfg), base, "pairs")
+
+    own = heat.withColumn("share", F.col("n_hot") / F.least(F.col("size"), F.lit(cfg.k))).where("share >= 0.5").select("node", "share")
     bound = materialise(hot.join(own, "node").select("value", "node", "share"), base, "hot")
     alone = bound.withColumn("comp", F.col("node"))
     tied = materialise(_estimated(_ties(alone, alone), reps, cfg, lacking=True), base, "tied")
