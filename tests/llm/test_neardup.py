@@ -92,9 +92,37 @@ def test_long_chains_are_one_component(spark, tmp_path):
 
 def test_short_texts_with_one_more_word(spark):
     rows = []
-    for family in range(24):  # the three shingles of a family's first text are on lists of 41 classes
-        text = " ".join(f"f{family}w{k}" for k in range(7))
+    texts = [" ".join(f"f{family}w{k}" for k in range(7)) for family in range(200)]
+    odd = [t for t in texts if all(v % 2 for v in neardup.shingle_set(t.encode(), 5))]
+    for family, text in enumerate(odd[:4] + texts[:2]):  # the three shingles of a family's first text are on lists of 41 classes
         rows += [text, *(f"{text} x{family}y{k}" for k in range(40))]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
     assert got == {k: k - k % 41 for k in range(len(rows))}
+
+
+def drift(rng, shared):
+    """60 texts that make every value of a passage hot, and 40 that each lack five parts of it, of which few pairs are similar."""
+    base, tail = [f"p{k}" for k in range(600)], [f"t{k}" for k in range(400)]
+    texts = [" ".join(base + tail[:at] + [f"e{at}"] + tail[at:]) for at in range(5, 365, 6)]
+    for k in range(40):
+        gone = {i for at in rng.sample(range(0, 578), 5) for i in range(at, at + 22)}
+        part = [f"n{k // 2}" if shared and i == 597 - k // 2 else w for i, w in enumerate(base) if i not in gone]
+        texts.append(" ".join(part))
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def components_of(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+
+
+def test_copies_that_drift_from_one_base(spark):
+    rows = drift(random.Random(4), shared=False)
+    assert components_of(spark, rows) == brute.components(rows)
+
+
+def test_drifting_copies_with_one_new_word_in_common(spark):
+    rows = drift(random.Random(5), shared=True)
+    assert components_of(spark, rows) == brute.components(rows)

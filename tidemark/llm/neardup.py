@@ -14,14 +14,15 @@
    second such member from among them, to which all others are tied. Classes
    that lack the same lowest values of the sketch they are tied to (copies cut
    in the same place) are tied to the shortest of them.
-
-No list ever emits all its pairs, and nothing is capped: a long list is
-handled by step 4, whose work is linear in it. The chance that a pair of
-similarity 0.75 shares no value that generates it is below 1e-5 (half the
-sketch would have to be unshared). Step 4 finds components, not all links: of
-two similar classes that are both nearly all long lists and that neither tie
-reaches, the link shows only if they share values on short lists as well.
-The README has the measured share of such links.
+5. What long lists still leave in different components goes through a prefix
+   filter over full shingle sets: pairs in different components that share one
+   of the values in which similar sets must meet are estimated and verified.
+
+Nothing is capped: steps 4 and 5 find the components of long lists, not all
+their links. Step 4's work is linear in a list; step 5's is the number of
+members outside its largest component times its length, so a group that truly
+falls into many components of similar make costs most. A pair of similarity
+0.75 is lost only where its estimate is below ``least_estimate``.
 """
 
 from __future__ import annotations
@@ -172,6 +173,53 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").where(~F.coalesce(F.col("ca"), F.col("a")).eqNullSafe(F.coalesce(F.col("cb"), F.col("b")))).drop("ca", "cb")
 
 
+def _merged(labels: DataFrame, links: DataFrame, base: str, name: str) -> DataFrame:
+    """``labels`` after further links between different components."""
+    a, b = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(ends, base, name)
+    moved = joined.select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    kept = labels.join(moved, labels["comp"] == moved["old"], "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    return materialise(kept.unionByName(joined.join(labels, "node", "left_anti").select("node", "comp")), base, f"{name}-merged")
+
+
+def _across(bound: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, base: str, cfg: SketchConfig) -> DataFrame:
+    """(a, b): the pairs of classes of ``bound`` in different components that can be similar.
+
+    A prefix filter over full shingle sets. Similar sets share at least
+    ``percent`` of the larger one, so in any order of the values they share one
+    of the first n - percent * n + 1 of each. First come those that no two
+    components have in common, then those with the fewest pairs across.
+    """
+    marked = bound.join(labels, "node", "left").select("value", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = marked.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value")
+    size = reps.select("node", "n")
+    open_ = marked.join(mixed, "value").groupBy("node", "comp").agg(F.count("*").alias("c")).join(size, "node")
+    open_ = materialise(open_.where(F.col("c") >= cfg.least_estimate * F.least(F.col("n"), F.lit(cfg.k))), base, "open")
+
+    @F.arrow_udf("array<long>")
+    def shingles(column: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t.as_py(), cfg.shingle) for t in column], pa.list_(pa.int64()))
+
+    words = texts.withColumnRenamed("doc_id", "node").join(open_.select("node", "comp", "n"), "node")
+    words = words.select("node", "comp", "n", shingles.asNondeterministic()(F.encode("text", "UTF-8")).alias("s"))
+    full = materialise(words.select("node", "comp", "n", F.explode("s").alias("value")), base, "full")
+    counts = full.groupBy("value", "comp").agg(F.count("*").alias("c")).groupBy("value")
+    counts = counts.agg(F.sum("c").alias("df"), F.sum(F.col("c") * F.col("c")).alias("within"), F.max(F.struct("c", "comp")).getField("comp").alias("big"))
+    counts = counts.select("value", "big", (F.col("df") * F.col("df") - F.col("within")).alias("across")).where("across > 0")
+    ordered = full.join(counts, "value").groupBy("node", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("across", "value", "big"))).alias("v"))
+    prefix = F.col("n") - F.floor((cfg.percent * F.col("n") + 99) / 100) + 1  # of which n - size(v) are on no list across
+    prefix = F.greatest(F.lit(0), prefix - F.col("n") + F.size("v")).cast("int")
+    first = ordered.select("node", "comp", "n", F.explode(F.slice("v", F.lit(1), prefix)).alias("p")).select("node", "comp", "n", "p.*")
+    # Those outside a list's largest component meet the whole list; a list of many pairs is dealt over several tasks.
+    first = materialise(first.withColumn("parts", F.ceil(F.col("across") / 1e6).cast("int")), base, "prefixes")
+    x = first.where("comp <> big").select("value", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
+    y = first.select("value", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "comp", "n")
+    pairs = x.join(y, ["value", "part"]).where((F.col("cx") != F.col("comp")) & _similar_size("nx", "n", cfg))
+    pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    return materialise(_estimated(pairs, reps, cfg).select("a", "b"), base, "third")
+
+
 def near_duplicates(docs: DataFrame, cfg: SketchConfig | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -207,7 +255,8 @@ def near_duplicates(docs: DataFrame, cfg: SketchConfig | None = None) -> DataFra
     pairs = pairs.join(ha, "a", "left").join(hb, "b", "left").where(most >= cfg.least_estimate * F.least(F.col("n"), F.lit(cfg.k)))
     pairs = materialise(_estimated(pairs.select("a", "b", "ov", "n"), reps, cfg), base, "pairs")
 
-    own = heat.withColumn("share", F.col("n_hot") / F.least(F.col("size"), F.lit(cfg.k))).where("share >= 0.5").select("node", "share")
+    # Others can't have the estimate asked for by long lists alone.
+    own = heat.withColumn("share", F.col("n_hot") / F.least(F.col("size"), F.lit(cfg.k))).where(F.col("share") >= cfg.least_estimate).select("node", "share")
     bound = materialise(hot.join(own, "node").select("value", "node", "share"), base, "hot")
     alone = bound.withColumn("comp", F.col("node"))
     tied = materialise(_estimated(_ties(alone, alone), reps, cfg, lacking=True), base, "tied")
@@ -238,9 +287,10 @@ def near_duplicates(docs: DataFrame, cfg: SketchConfig | None = None) -> DataFra
     held = _estimated(held.unionByName(_ties(cut, cut).select("a", "b")).distinct(), reps, cfg).select("a", "b")
     second = materialise(rest.unionByName(held).distinct(), base, "second")
     if second.limit(1).count():
-        more = _verified(second, texts, cfg)
-        links = materialise(links.unionByName(more), base, "links-2")
-        labels = components(links, base, "comp-2")
+        labels = _merged(labels, materialise(_verified(second, texts, cfg), base, "links-2"), base, "comp-2")
+    third = _across(bound, labels, reps, texts, base, cfg)
+    if third.limit(1).count():
+        labels = _merged(labels, materialise(_verified(third, texts, cfg), base, "links-3"), base, "comp-3")
 
     # from classes back to rows
     names = reps.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
