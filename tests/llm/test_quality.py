@@ -54,3 +54,20 @@ def test_query_against_brute_force(spark, sf_dir):
     labels = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     good = [r for r in rows if r.doc_id in labels and labels[r.doc_id].quality == 1 and not r.base_failed]
     assert sum(r.kept for r in good) >= 0.97 * len(good)
+
+
+def test_rows_labelled_bad_are_rejected(spark):
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in "the an of in to re st".split() for b in "ing er ed ion ly es".split()]
+    make = lambda mark: " ".join(rng.choice(words) + mark * (rng.random() < 0.3) for _ in range(100)) + "."
+    texts = [make("") for _ in range(300)] + [make("$$$") for _ in range(20)] + ["a|b $$$ 9 " * 3 + make("###$$$***") for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 300 or k >= 320), 0) for k in range(323)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r._kept for r in quality.quality_verdicts(docs, labels).collect()}
+    assert sum(out[k] for k in range(300)) >= 270 and sum(not out[k] for k in range(300, 320)) >= 18
+
+
+def test_cut_counts_every_labelled_row():
+    cfg = quality.ForestConfig(bins=100)
+    assert quality._cut([(30, 50_000, 0), (40, 10_000, 100), (60, 2, 900)], cfg) == 0.41
+    assert quality._cut([(30, 999, 0), (50, 1, 0)], cfg) == 0.31 and quality._cut([(30, 0, 5)], cfg) is None

@@ -2,7 +2,7 @@
 
 Each document gets rule statistics; a forest of random splits, fitted on a
 bounded sample, scores how quickly a document is isolated; the cut is set on
-labelled rows so that nearly every row labelled good stays.
+all labelled rows, where it tells good from bad best.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import materialise, shared_dir, table
 
 STATS_SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -33,17 +33,18 @@ FEATURES = (
 
 @dataclass(frozen=True)
 class ForestConfig:
-    """Parameters; ``fit_rows`` and ``calibration_rows`` bound what reaches the driver.
+    """Parameters; ``fit_rows`` and ``bins`` bound what reaches the driver.
 
-    The fitting and calibration rows are those with the smallest hash of their
-    doc_id, so reruns agree whatever the partitioning.
+    The fitting rows are those with the smallest hash of their doc_id, so
+    reruns agree whatever the partitioning.
     """
 
     trees: int = 40
     subsample: int = 256
     fit_rows: int = 4096
-    calibration_rows: int = 8192
-    #: Of the calibration rows labelled good, the share that the cut may reject.
+    #: Steps of the anomaly (0 to 1) at which the cut can lie.
+    bins: int = 10_000
+    #: Where no row is labelled bad: of the rows labelled good, the share that the cut may reject.
     good_loss: float = 0.002
     min_words: int = 50
     seed: int = 7
@@ -186,13 +187,32 @@ def _bounded(df: DataFrame, rows: int, seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, cfg: ForestConfig | None = None) -> DataFrame:
+def _cut(counts: list[tuple[int, int, int]], cfg: ForestConfig) -> float | None:
+    """The anomaly up to which documents stay, from (bin, good rows, bad rows).
+
+    It has the best balanced accuracy (rejected share of bad rows less that of
+    good ones); of equal cuts the highest.
+    """
+    good, bad = sum(c[1] for c in counts), sum(c[2] for c in counts)
+    if not good:
+        return None
+    best, g, b = (-2.0, 0), 0, 0
+    for step, more_good, more_bad in sorted(counts):
+        g, b = g + more_good, b + more_bad
+        if bad:
+            best = max(best, ((bad - b) / bad - (good - g) / good, step))
+        elif good - g <= cfg.good_loss * good:
+            return (step + 1) / cfg.bins
+    return (best[1] + 1) / cfg.bins
+
+
+def quality_verdicts(docs: DataFrame, labels: DataFrame, cfg: ForestConfig | None = None, text: bool = True) -> DataFrame:
     """``docs`` with ``_stats``, ``base_failed``, ``anomaly`` and ``_kept``.
 
     ``labels`` (doc_id, quality 0/1) supplies the rows: the forest is fitted on
-    at most ``fit_rows`` labelled documents, and the cut is the anomaly that
-    only ``good_loss`` of at most ``calibration_rows`` documents labelled good
-    exceed. A document is kept unless it fails the base rule (too few words,
+    at most ``fit_rows`` labelled documents, and the cut is the anomaly of best
+    balanced accuracy over all labelled documents that pass the base rule,
+    counted on executors. Documents are scored once and written. A document is kept unless it fails the base rule (too few words,
     or more than half of its words in repeated 3-word windows) or its anomaly
     is above the cut. Rows with a null label or doc_id don't count. Without
     usable labels there is no cut and the base rule alone decides. Null texts
@@ -202,25 +222,18 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, cfg: ForestConfig | Non
     cfg = cfg or ForestConfig()
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality is not null")
     ids = ids.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    marks = (
-        _bounded(ids.select("doc_id"), cfg.fit_rows, cfg.seed).select("doc_id", F.lit(1).alias("fit"), F.lit(0).alias("cal"))
-        .unionByName(_bounded(ids.where("quality = 1").select("doc_id"), cfg.calibration_rows, cfg.seed + 1).select("doc_id", F.lit(0).alias("fit"), F.lit(1).alias("cal")))
-        .groupBy("doc_id").agg(F.max("fit").alias("fit"), F.max("cal").alias("cal"))
-    )
-    # At most fit_rows + calibration_rows ids: a proven bound for the broadcast and for the driver.
+    # At most fit_rows ids: a proven bound for the broadcast and for the driver.
+    marks = _bounded(ids.select("doc_id"), cfg.fit_rows, cfg.seed)
     drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")
     drawn = rule_statistics(drawn).where(F.col("_stats.n_words") >= cfg.min_words)
-    local = drawn.select("doc_id", "fit", "cal", "_stats.*").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    x = features({n: local[n] for n in NAMES}) if len(local) else np.zeros((0, len(FEATURES)))
-    fit, cal = x[(local.fit == 1).to_numpy()], x[(local.cal == 1).to_numpy()]
+    local = drawn.select("doc_id", "_stats.*").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    fit = features({n: local[n] for n in NAMES}) if len(local) else np.zeros((0, len(FEATURES)))
     failed = (F.col("_stats.n_words") < cfg.min_words) | (100 * F.col("_stats.n_repeat_words") > 50 * F.col("_stats.n_words"))
-    if len(fit) < 2 or not len(cal):
+    if len(fit) < 2:
         out = rule_statistics(docs).withColumn("base_failed", failed)
         return out.withColumn("anomaly", F.lit(None).cast("double")).withColumn("_kept", ~F.col("base_failed"))
     trees = fit_forest(fit, cfg)
     n = min(cfg.subsample, len(fit))
-    ranked = np.sort(path_score(trees, cal, n))
-    cut = float(ranked[min(len(ranked) - 1, int(np.ceil((1 - cfg.good_loss) * len(ranked))))]) + 1e-9
 
     @F.arrow_udf(STATS_STRUCT[:-1] + ",anomaly:double>")
     def judged(texts: pa.Array) -> pa.Array:  # statistics and path lengths in one pass; the forest is a few thousand numbers
@@ -230,7 +243,14 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, cfg: ForestConfig | Non
 
     out = docs.withColumn("_stats", judged.asNondeterministic()(F.encode("text", "UTF-8")))
     out = out.withColumn("base_failed", failed).withColumn("anomaly", F.col("_stats.anomaly"))
-    return out.withColumn("_kept", ~F.col("base_failed") & (F.col("anomaly") <= cut))
+    out = materialise(out if text else out.drop("text"), shared_dir(docs.sparkSession), "judged")
+    step = F.floor(F.col("anomaly") * cfg.bins).cast("long").alias("step")
+    scored = out.where("not base_failed").select(F.col("doc_id").cast("long").alias("doc_id"), step).join(ids, "doc_id")
+    tally = scored.groupBy("step").agg(F.count(F.when(F.col("quality") == 1, 1)), F.count(F.when(F.col("quality") != 1, 1)))
+    cut = _cut([tuple(r) for r in tally.collect()], cfg)  # at most bins + 1 rows
+    if cut is None:
+        return out.withColumn("anomaly", F.lit(None).cast("double")).withColumn("_kept", ~F.col("base_failed"))
+    return out.withColumn("_kept", ~F.col("base_failed") & (F.floor(F.col("anomaly") * cfg.bins) < F.round(F.lit(cut * cfg.bins))))
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, cfg: ForestConfig | None = None) -> DataFrame:
@@ -240,6 +260,6 @@ def filter_quality(docs: DataFrame, labels: DataFrame, cfg: ForestConfig | None
 
 def op10(spark, sf_dir: str) -> DataFrame:
     """Base statistics and verdicts of all ``documents``."""
-    out = quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), text=False)
     stats = [F.col(f"_stats.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return out.select("doc_id", *stats, "base_failed", F.col("_kept").alias("kept"), "anomaly")
