@@ -33,41 +33,90 @@ def test_preference_pairs(spark):
     assert chat.preference_turns(out.sparkSession.createDataFrame([], TURNS), chat.by_parity).count() == 0
 
 
-def plain_lines(rows):
-    """(doc_id, text) in order to the spans that go."""
-    seen, out = set(), {}
-    for i, text in sorted(rows, key=lambda r: r[0]):
-        at, out[i] = 0, []
-        for line in (text or "").split("\n"):
-            key = " ".join("".join(c.lower() if c.isascii() else c for c in line).split())
-            if len(key.split()) >= 5:
-                if key in seen:
-                    out[i].append((at, at + len(line)))
-                seen.add(key)
-            at += len(line) + 1
+def pieces(text):
+    """(start, end, words) of lines and sentences, found character by character."""
+    out, at = [], 0
+    for k, c in enumerate(text + "\n"):
+        if c == "\n" or c == " " and k and text[k - 1] in ".!?":
+            words = "".join(x.lower() if x.isascii() else x for x in text[at:k]).split()
+            if words:
+                out.append((at, k, tuple(words)))
+            at = k + 1
+    return out
+
+
+def plain_passages(rows, least=35):
+    """doc_id to (the spans that go, the units within passages), from (doc_id, text)."""
+    units = {i: pieces(text or "") for i, text in rows}
+    every = [w for us in units.values() for *_, w in us]
+    again = {w for w in set(every) if every.count(w) > 1}
+    marked, seen = {}, set()
+    for i in sorted(units):
+        marked[i], k = [], 0
+        while k < len(units[i]):
+            j = k
+            while j < len(units[i]) and units[i][j][2] in again:
+                j += 1
+            if sum(len(w) for *_, w in units[i][k:j]) >= least:
+                marked[i] += units[i][k:j]
+            k = max(j, k + 1)
+    out = {}
+    for i in sorted(units):
+        out[i] = ([], len(marked[i]))
+        for a, b, w in marked[i]:
+            if w in seen:
+                out[i][0].append((a, b))
+            seen.add(w)
     return out
 
 
 def test_line_dedup(spark):
     rng = random.Random(2)
-    lines = ["the quick brown fox jumps", "The  quick brown\tfox jumps", "one two", "", "é b c d e 日本", "x y z x y z"] + [f"line {k} of the text here" for k in range(5)]
-    rows = [(1, None), (2, ""), (3, "w " * 50_000)] + [(k, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 12)))) for k in range(10, 60)]
-    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, digest string")
-    want = plain_lines(rows)
+    short = ["the quick brown fox jumps", "The  quick brown\tfox jumps", "one two", "", "é b c d e 日本", "End. x y. z!", "ok."]
+    long = [" ".join(f"w{k}x{j}" for j in range(9)) + "." for k in range(12)]
+    rows = [(1, None), (2, ""), (3, "w " * 50_000)]
+    for k in range(10, 60):
+        lines = [rng.choice(short) for _ in range(rng.randint(0, 6))]
+        at = rng.randrange(8)
+        lines[len(lines) // 2 : 0] = [(" " if k % 2 else "\n").join(long[at : at + rng.randint(2, 5)]), f"own line of {k}"]
+        rows.append((k, "\n".join(lines)))
+    docs = spark.createDataFrame([(*r, "z", 5) for r in rows], "doc_id long, text string, digest string, words int")
+    want = plain_passages(rows)
+    assert sum(len(w[0]) for w in want.values()) > 50 and any(w[1] > len(w[0]) for w in want.values())
     got = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
     text = dict(rows)
     for k, r in got.items():
-        assert [(a, b) for a, b in r._removed] == want[k]
+        assert ([(a, b) for a, b in r._removed], r._repeated) == want[k]
         kept = text[k]
-        for a, b in reversed(want[k]):
+        for a, b in reversed(want[k][0]):
             kept = kept[:a] + kept[b + 1 :]
-        assert r.text == kept and r.digest == "z"
+        assert r.text == kept and r.digest == "z" and r.words == 5 and (r._first_id is None) == (not r._repeated)
+    # digests on both sides of the broadcast bound give the same
+    few = {r.doc_id: r._removed for r in linededup.dedup_lines(docs, linededup.LineConfig(hot_digests=3)).collect()}
+    assert few == {k: r._removed for k, r in got.items()}
     twice = docs.where("doc_id = 10").unionByName(docs.where("doc_id = 10")).unionByName(docs.where("doc_id = 10").withColumn("doc_id", F.lit(None).cast("long")))
-    counts = sorted(len(r._removed) for r in linededup.dedup_lines(twice).where("doc_id = 10").collect())
-    assert counts[0] == counts[1] == len(plain_lines([(10, text[10])])[10])
+    plain = plain_passages([(10, text[10]), (11, text[10])])  # a null id ranks after 10
+    for r in linededup.dedup_lines(twice).collect():
+        assert ([(a, b) for a, b in r._removed], r._repeated) == plain[10 if r.doc_id else 11] and r._first_id == 10
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_passages_are_caught_and_other_texts_left_alone(spark, sf_dir):
+    """Documents that share a run of 50 words with another one, found word by word."""
+    import __spark_entry__
+
+    texts = {r.doc_id: (r.text or "").lower().split() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    holders: dict = {}
+    for i, w in texts.items():
+        for k in range(len(w) - 49):
+            holders.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    shared = set().union(*(s for s in holders.values() if len(s) > 1))
+    marked = {r.doc_id for r in __spark_entry__.queries()["op9_line_dedup"](spark, sf_dir).where("n_repeated > 0").collect()}
+    clean = set(texts) - shared
+    assert shared and len(clean - marked) >= 0.9 * len(clean)
+    assert len(shared & marked) >= 0.85 * len(shared)  # 4 of 38 share what lies between two edits of a copy, across units
+
+
 def test_targets_fill_like_water(spark):
     words = {"a": 1000, "b": 100, "c": 10, None: 50, "": 0}
     docs = [(k, " ".join("w" for _ in range(n // 10)), s, "t") for s, n in words.items() for k in range(10)]
