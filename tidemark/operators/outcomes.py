@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
 from tidemark.functions.labels import direction
-from tidemark.operators.blocks import range_pairs
 
 C = Config()
 HORIZONS = {"5m": 300_000, "15m": 900_000, "1h": 3_600_000}
+#: Width of the cells by which whole stretches of trades are summed up.
+CELL_MS = 60_000
 
 
 def _moves(entry: Column, price: Column, side: Column) -> Column:
@@ -18,30 +19,38 @@ def _moves(entry: Column, price: Column, side: Column) -> Column:
     return F.try_divide(price - entry, entry) * 100 * F.when(side == "LONG", 1).otherwise(-1)
 
 
-def forward_excursion(signals: DataFrame, trades: DataFrame, horizons: dict[str, int] = HORIZONS, cfg: Config = C) -> DataFrame:
+def forward_excursion(signals: DataFrame, trades: DataFrame, horizons: dict[str, int] = HORIZONS, cell_ms: int = CELL_MS) -> DataFrame:
     """Signals (signal_id, symbol, ms, action, price) with best, worst and final move and win per horizon.
 
     Trades in (t, t + h] count; without any, moves are 0 and the signal is no
-    win. Values are rounded to 4 digits.
+    win. Values are rounded to 4 digits. Lowest, highest and last price of the
+    cells that lie whole within a horizon come from a table of cells; only the
+    cells at a horizon's ends are read trade by trade.
     """
     s = signals.withColumn("direction", direction(F.col("action")))
-    t = trades.select("symbol", F.col("ms").alias("t_ms"), F.col("price").alias("t_price"), "agg_id")
-    pairs = range_pairs(s, t, ["symbol"], "ms", "t_ms", 1, max(horizons.values()), cfg.block_ms)
-    move = _moves(F.col("price"), F.col("t_price"), F.col("direction"))
+    t = trades.select("symbol", F.floor(F.col("ms") / cell_ms).alias("cell"), F.struct(F.col("ms").alias("at"), "agg_id", F.col("price").alias("p")).alias("last"))
+    cells = t.groupBy("symbol", "cell").agg(F.min("last.p").alias("lo"), F.max("last.p").alias("hi"), F.max("last").alias("last"))
+    cell = lambda at: F.floor(at / cell_ms)
+    own = s.select("signal_id", "symbol", "ms", cell(F.col("ms")).alias("first"))
+    far = F.col("ms") + max(horizons.values())
+    inner = own.withColumn("cell", F.explode(F.sequence(F.col("first") + 1, F.greatest(F.col("first") + 1, cell(far))))).join(cells, ["symbol", "cell"]).withColumn("one", F.lit(False))
+    ends = F.array_distinct(F.array("first", *[cell(F.col("ms") + h) for h in horizons.values()]))
+    outer = own.withColumn("cell", F.explode(ends)).join(t, ["symbol", "cell"]).where(F.col("last.at") > F.col("ms"))
+    outer = outer.withColumns({"lo": F.col("last.p"), "hi": F.col("last.p"), "one": F.lit(True)})
     aggs = []
     for h, ms in horizons.items():
-        inside = F.col("t_ms") - F.col("ms") <= ms
-        aggs += [
-            F.max(F.when(inside, move)).alias(f"best_{h}"), F.min(F.when(inside, move)).alias(f"worst_{h}"),
-            F.max(F.when(inside, F.struct("t_ms", "agg_id", move.alias("m")))).getField("m").alias(f"final_{h}"),
-        ]
-    found = pairs.groupBy("signal_id").agg(*aggs)
-    out = s.join(found, "signal_id", "left")
+        whole = (F.col("cell") > F.col("first")) & ((F.col("cell") + 1) * cell_ms - 1 <= F.col("ms") + ms)
+        counts = F.when(F.col("one"), ~whole & (F.col("last.at") <= F.col("ms") + ms)).otherwise(whole)
+        aggs += [F.min(F.when(counts, F.col("lo"))).alias(f"lo_{h}"), F.max(F.when(counts, F.col("hi"))).alias(f"hi_{h}"), F.max(F.when(counts, F.col("last"))).getField("p").alias(f"last_{h}")]
+    found = inner.unionByName(outer).groupBy("signal_id").agg(*aggs)
+    out, cols = s.join(found, "signal_id", "left"), s.columns
+    made = {}
     for h in horizons:
-        for c in ("best", "worst", "final"):
-            out = out.withColumn(f"{c}_{h}", F.round(F.coalesce(f"{c}_{h}", F.lit(0.0)), 4) + 0.0)
-        out = out.withColumn(f"win_{h}", F.col(f"final_{h}") > 0)
-    return out
+        low, high, last = (_moves(F.col("price"), F.col(f"{c}_{h}"), F.col("direction")) for c in ("lo", "hi", "last"))
+        for c, move in (("best", F.greatest(low, high)), ("worst", F.least(low, high)), ("final", last)):
+            made[f"{c}_{h}"] = F.round(F.coalesce(move, F.lit(0.0)), 4) + 0.0
+        made[f"win_{h}"] = made[f"final_{h}"] > 0
+    return out.select(*cols, *[c.alias(n) for n, c in made.items()])
 
 
 def performance_report(outcomes: DataFrame, horizons: dict[str, int] = HORIZONS) -> DataFrame:
@@ -54,12 +63,24 @@ def performance_report(outcomes: DataFrame, horizons: dict[str, int] = HORIZONS)
 
 
 def horizon_prices(signals: DataFrame, trades: DataFrame, after: dict[str, int] | None = None, wait_ms: int = 300_000, cfg: Config = C) -> DataFrame:
-    """Signals with the price of the first trade at or after each horizon, within ``wait_ms``; null if not reached."""
+    """Signals with the price of the first trade at or after each horizon, within ``wait_ms``; null if not reached.
+
+    Horizons and trades are put on one time line, cut into blocks that a trade
+    reaches back into, and each horizon takes the next trade on it.
+    """
     after = after or {"1m": 60_000, "5m": 300_000, "15m": 900_000}
-    t = trades.select("symbol", F.col("ms").alias("t_ms"), F.col("price").alias("t_price"), "agg_id")
-    pairs = range_pairs(signals, t, ["symbol"], "ms", "t_ms", min(after.values()), max(after.values()) + wait_ms, cfg.block_ms)
-    gap = F.col("t_ms") - F.col("ms")
-    found = pairs.groupBy("signal_id").agg(*[F.min(F.when((gap >= ms) & (gap <= ms + wait_ms), F.struct("t_ms", "agg_id", "t_price"))).getField("t_price").alias(f"after_{h}") for h, ms in after.items()])
+    width = cfg.block_ms
+    block = lambda at: F.floor(at / width)
+    points = signals.select("symbol", "signal_id", F.explode(F.array(*[F.struct((F.col("ms") + ms).alias("at"), F.lit(h).alias("horizon")) for h, ms in after.items()])).alias("p"))
+    points = points.select("symbol", "signal_id", "p.at", "p.horizon", F.lit(None).cast("long").alias("agg_id"), block(F.col("p.at")).alias("_block"))
+    t = trades.select("symbol", F.col("ms").alias("at"), "agg_id", F.col("price").alias("t_price"))
+    t = t.withColumn("_block", F.explode(F.sequence(block(F.col("at") - wait_ms), block(F.col("at")))))
+    line = points.unionByName(t, allowMissingColumns=True)
+    ahead = Window.partitionBy("symbol", "_block").orderBy("at", F.col("agg_id").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing)
+    trade = F.when(F.col("agg_id").isNotNull(), F.struct("at", F.col("t_price").alias("price")))
+    met = line.withColumn("_next", F.first(trade, ignorenulls=True).over(ahead)).where("horizon is not null")
+    met = met.withColumn("_price", F.when(F.col("_next.at") - F.col("at") <= wait_ms, F.col("_next.price")))
+    found = met.groupBy("signal_id").agg(*[F.max(F.when(F.col("horizon") == h, F.col("_price"))).alias(f"after_{h}") for h in after])
     return signals.join(found, "signal_id", "left")
 
 

@@ -254,7 +254,7 @@ _OUT = f"{TRADES}, {SIGNALS}, mv AS (SELECT s.signal_id, t.ms - s.ms AS gap, t.s
 
 
 def _outcomes(spark, d):
-    return outcomes.forward_excursion(src.signals(spark, d), src.trades(spark, d), cfg=CFG)
+    return outcomes.forward_excursion(src.signals(spark, d), src.trades(spark, d))
 
 
 @query("j7_a16_forward_excursion", f"WITH {_OUT} SELECT * FROM outc")
