@@ -150,9 +150,9 @@ o AS (
          regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM u),
 n AS (SELECT doc_id, i, a, l, len(w) AS n, array_to_string(w, ' ') AS k FROM o WHERE len(w) > 0),
-c AS (SELECT *, count(*) OVER (PARTITION BY k) > 1 AS again, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS at FROM n),
-g AS (SELECT *, at - row_number() OVER (PARTITION BY doc_id ORDER BY at) AS run FROM c WHERE again),
-p AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, run) AS total FROM g),
+c AS (SELECT *, count(*) OVER (PARTITION BY k) > 1 AS again, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM n),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS isle FROM c WHERE again),
+p AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, isle) AS total FROM g),
 q AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, a) > 1 AS gone, first_value(doc_id) OVER (PARTITION BY k ORDER BY doc_id, a) AS first_id FROM p WHERE total >= 35),
 s AS (
   SELECT doc_id, count(*) AS n_repeated, count(*) FILTER (WHERE gone) AS n_removed, CAST(coalesce(sum(length(l)) FILTER (WHERE gone), 0) AS BIGINT) AS removed_chars,
