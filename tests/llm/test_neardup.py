@@ -126,3 +126,25 @@ def test_copies_that_drift_from_one_base(spark):
 def test_drifting_copies_with_one_new_word_in_common(spark):
     rows = drift(random.Random(5), shared=True)
     assert components_of(spark, rows) == brute.components(rows)
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = "a b c d e f g", "t u v w x y z"
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b)], "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()}
+    assert got == {(3, 3, 3, True), (5, 3, 3, False), (5, 3, 5, True), (9, 3, 5, False)}
+    assert sorted(neardup.drop_near_duplicates(docs).collect()) == [(3, a), (5, b)]  # no text is lost
+    linked = spark.createDataFrame([(3, a + " h i j"), (5, a + " h i k"), (5, b), (9, a + " h i j k")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in neardup.near_duplicates(linked).collect()}
+    assert got == {(3, 6): 3, (5, 6): 5, (5, 3): 5, (9, 7): 3}
+
+
+def test_texts_that_share_a_passage(spark):
+    """Long lists whose members are mostly apart: few pairs may come up, and none be missed."""
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(60)]
+    texts = [" ".join(passage + [f"u{k}x{j}" for j in range(rng.randint(8, 40))]) for k in range(150)]
+    texts += group(rng, passage + [f"c{j}" for j in range(25)], 60, 2) + group(rng, [f"d{j}" for j in range(12)] + passage, 40, 3)
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert components_of(spark, rows) == brute.components(rows)

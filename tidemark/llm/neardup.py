@@ -16,13 +16,14 @@
    in the same place) are tied to the shortest of them.
 5. What long lists still leave in different components goes through a prefix
    filter over full shingle sets: pairs in different components that share one
-   of the values in which similar sets must meet are estimated and verified.
+   of the values in which similar sets must meet, at ranks that leave room for
+   enough further ones, are estimated and verified.
 
 Nothing is capped: steps 4 and 5 find the components of long lists, not all
-their links. Step 4's work is linear in a list; step 5's is the number of
-members outside its largest component times its length, so a group that truly
-falls into many components of similar make costs most. A pair of similarity
-0.75 is lost only where its estimate is below ``least_estimate``.
+their links. Step 4's work is linear in a list. Step 5 compares the members of
+a list by their sizes and ranks first, so texts that only share a passage cost
+nothing more, however many they are. A pair of similarity 0.75 is lost only
+where its estimate is below ``least_estimate``.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ class SketchConfig:
     hot: int = 32
     #: Pairs whose union sketch estimates less are dropped (0.75 has a 1e-7 chance of it at k = 64).
     least_estimate: float = 0.45
-    #: Tables of at most so many ids (8 bytes each) are broadcast, larger ones joined by shuffle.
+    #: Tables of at most so many ids (24 bytes each) are broadcast, larger ones joined by shuffle.
     broadcast_ids: int = 500_000
 
 
@@ -68,7 +69,7 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, cfg: SketchConfig) -> DataFrame:
-    """(doc_id, n, digest, sketch) of each row; digest stands for the whole set."""
+    """(doc_id, th, n, digest, sketch) of each row; ``th`` hashes the text, digest stands for the whole set."""
 
     @F.arrow_udf("struct<n:long,digest:binary,sketch:array<long>>")
     def sketch(texts: pa.Array) -> pa.Array:
@@ -82,8 +83,8 @@ def sketches(docs: DataFrame, cfg: SketchConfig) -> DataFrame:
             low.append(s[: cfg.k].copy())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(low, pa.list_(pa.int64()))], ["n", "digest", "sketch"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sketch.asNondeterministic()(F.encode("text", "UTF-8")).alias("s"))
-    return out.select("doc_id", "s.n", "s.digest", "s.sketch")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), sketch.asNondeterministic()(F.encode("text", "UTF-8")).alias("s"))
+    return out.select("doc_id", "th", "s.n", "s.digest", "s.sketch")
 
 
 def _similar_size(a: str, b: str, cfg: SketchConfig):
@@ -107,8 +108,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, cfg: SketchConfig) -> DataFram
             out.append(100 * both >= percent * (len(p) + len(q) - both) and both > 0)
         return pa.array(out, pa.bool_())
 
-    left = texts.select(F.col("doc_id").alias("a"), F.encode("text", "UTF-8").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.encode("text", "UTF-8").alias("tb"))
+    left = texts.select(F.col("node").alias("a"), F.encode("text", "UTF-8").alias("ta"))
+    right = texts.select(F.col("node").alias("b"), F.encode("text", "UTF-8").alias("tb"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(linked.asNondeterministic()("ta", "tb")).select("a", "b").distinct()
 
 
@@ -186,10 +187,13 @@ def _merged(labels: DataFrame, links: DataFrame, base: str, name: str) -> DataFr
 def _across(bound: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, base: str, cfg: SketchConfig) -> DataFrame:
     """(a, b): the pairs of classes of ``bound`` in different components that can be similar.
 
-    A prefix filter over full shingle sets. Similar sets share at least
-    ``percent`` of the larger one, so in any order of the values they share one
-    of the first n - percent * n + 1 of each. First come those that no two
-    components have in common, then those with the fewest pairs across.
+    A prefix filter over full shingle sets. The values are put in one order:
+    first those that no two components have in common, then those with the
+    fewest pairs across. Let a pair's first common value be at ranks r of the
+    shorter set (n values) and q of the longer one (m values). They have at
+    most 1 + min(n - r, m - q) in common and need percent * (n + m) / (100 +
+    percent), so r and q lie in a prefix of their set. Members of a list are
+    compared by (size, rank) before any pair is formed.
     """
     marked = bound.join(labels, "node", "left").select("value", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = marked.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value")
@@ -201,22 +205,31 @@ def _across(bound: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFra
     def shingles(column: pa.Array) -> pa.Array:
         return pa.array([shingle_set(t.as_py(), cfg.shingle) for t in column], pa.list_(pa.int64()))
 
-    words = texts.withColumnRenamed("doc_id", "node").join(open_.select("node", "comp", "n"), "node")
+    words = texts.join(open_.select("node", "comp", "n"), "node")
     words = words.select("node", "comp", "n", shingles.asNondeterministic()(F.encode("text", "UTF-8")).alias("s"))
     full = materialise(words.select("node", "comp", "n", F.explode("s").alias("value")), base, "full")
     counts = full.groupBy("value", "comp").agg(F.count("*").alias("c")).groupBy("value")
-    counts = counts.agg(F.sum("c").alias("df"), F.sum(F.col("c") * F.col("c")).alias("within"), F.max(F.struct("c", "comp")).getField("comp").alias("big"))
-    counts = counts.select("value", "big", (F.col("df") * F.col("df") - F.col("within")).alias("across")).where("across > 0")
-    ordered = full.join(counts, "value").groupBy("node", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("across", "value", "big"))).alias("v"))
-    prefix = F.col("n") - F.floor((cfg.percent * F.col("n") + 99) / 100) + 1  # of which n - size(v) are on no list across
-    prefix = F.greatest(F.lit(0), prefix - F.col("n") + F.size("v")).cast("int")
-    first = ordered.select("node", "comp", "n", F.explode(F.slice("v", F.lit(1), prefix)).alias("p")).select("node", "comp", "n", "p.*")
-    # Those outside a list's largest component meet the whole list; a list of many pairs is dealt over several tasks.
-    first = materialise(first.withColumn("parts", F.ceil(F.col("across") / 1e6).cast("int")), base, "prefixes")
-    x = first.where("comp <> big").select("value", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
-    y = first.select("value", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "comp", "n")
-    pairs = x.join(y, ["value", "part"]).where((F.col("cx") != F.col("comp")) & _similar_size("nx", "n", cfg))
-    pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    counts = counts.agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("across")).where("across > 0")
+    ordered = full.join(counts, "value").groupBy("node", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("across", "value"))).alias("v"))
+    long_ = F.col("n") - F.ceil(cfg.percent * F.col("n") / 100) + 1
+    short = F.col("n") - F.ceil(2 * cfg.percent * F.col("n") / (100 + cfg.percent)) + 1
+    ranked = ordered.select("node", "comp", "n", F.posexplode(F.slice("v", F.lit(1), F.greatest(F.lit(0), long_ - F.col("n") + F.size("v")).cast("int"))).alias("i", "p"), F.size("v").alias("listed"))
+    ranked = ranked.select("node", "comp", "n", "p.value", (F.col("n") - F.col("listed") + F.col("i") + 1).alias("rank"))
+    ranked = materialise(ranked, base, "prefixes")
+
+    cells = ranked.groupBy("value", "n", "rank").agg(F.count("*").alias("c"))
+    x = cells.where(F.col("rank") <= short).select("value", F.col("n").alias("nx"), F.col("rank").alias("rx"), F.col("c").alias("cx"))
+    y = cells.select("value", F.col("n").alias("ny"), F.col("rank").alias("ry"), F.col("c").alias("cy"))
+    room = 1 + F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry"))
+    met = x.join(y, "value").where((F.col("nx") <= F.col("ny")) & _similar_size("nx", "ny", cfg) & ((100 + cfg.percent) * room >= cfg.percent * (F.col("nx") + F.col("ny"))))
+    met = met.withColumn("parts", F.ceil(F.col("cx") * F.col("cy") / 1e6).cast("int"))  # cells with many pairs are dealt over several tasks
+    met = materialise(met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), base, "cells")
+    x = met.join(ranked.select("value", F.col("n").alias("nx"), F.col("rank").alias("rx"), F.col("node").alias("x"), F.col("comp").alias("compx")), ["value", "nx", "rx"])
+    y = met.join(ranked.select("value", F.col("n").alias("ny"), F.col("rank").alias("ry"), F.col("node").alias("y"), F.col("comp").alias("compy")), ["value", "ny", "ry"])
+    key = ["value", "nx", "rx", "ny", "ry", "part"]
+    x = x.where(F.pmod(F.xxhash64("x"), F.col("parts")) == F.col("part")).select(*key, "x", "compx")
+    pairs = x.join(y.select(*key, "y", "compy"), key).where("compx <> compy")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return materialise(_estimated(pairs, reps, cfg).select("a", "b"), base, "third")
 
 
@@ -224,18 +237,25 @@ def near_duplicates(docs: DataFrame, cfg: SketchConfig | None = None) -> DataFra
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
     Rows without words, or with a null text, have no shingles and are linked
-    with nothing. Rows of one doc_id share their component. A row with a null
-    doc_id can't stand for a class: it keeps component_id null and kept true.
-    An empty table gives an empty table. Extra columns aren't read.
+    with nothing. A row's component is that of its text: rows of one doc_id
+    with different texts are different documents, each in its own component
+    unless the texts are linked. A row with a null doc_id can't stand for a
+    class: it keeps component_id null and kept true. An empty table gives an
+    empty table. Extra columns aren't read.
     """
-    cfg = cfg or SketchConfig()
+    return _judged(docs, cfg or SketchConfig()).drop("th")
+
+
+def _judged(docs: DataFrame, cfg: SketchConfig) -> DataFrame:
+    """``near_duplicates`` with ``th``, the hash of a row's text."""
     base = shared_dir(docs.sparkSession)
     sk = materialise(sketches(docs, cfg), base, "sketches")
     reps = (
         sk.where("n > 0 and doc_id is not null").groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        .agg(F.min(F.struct("doc_id", "th")).alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     )
-    reps = materialise(reps, base, "classes")
+    # A class is known by a number; once written it stays the same. Its text is that of its row of smallest id.
+    reps = materialise(reps.select(F.monotonically_increasing_id().alias("node"), "digest", "low.doc_id", "low.th", "n", "sketch"), base, "classes")
 
     # inverted lists: only values on two lists or more matter
     postings = reps.select("node", "n", F.explode("sketch").alias("value"))
@@ -265,11 +285,11 @@ def near_duplicates(docs: DataFrame, cfg: SketchConfig | None = None) -> DataFra
     best = pairs.groupBy(F.col("b").alias("node")).agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", F.col("node").alias("b"))
     first = materialise(best.unionByName(tied.select("a", "b")).distinct(), base, "first")
     every = pairs.select("a", "b").unionByName(first)
-    nodes = every.select(F.col("a").alias("doc_id")).unionByName(every.select(F.col("b").alias("doc_id"))).unionByName(bound.select(F.col("node").alias("doc_id"))).distinct()
-    nodes = materialise(nodes, base, "nodes")
+    nodes = every.select(F.col("a").alias("node")).unionByName(every.select(F.col("b").alias("node"))).unionByName(bound.select("node")).distinct()
+    nodes = materialise(nodes.join(reps.select("node", "doc_id", "th"), "node"), base, "nodes")
     few = nodes.count() <= cfg.broadcast_ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
-    texts = materialise(texts, base, "texts")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(nodes) if few else nodes, "doc_id")
+    texts = materialise(texts.where(F.xxhash64("text") == F.col("th")).select("node", "text").dropDuplicates(["node"]), base, "texts")
 
     links = materialise(_verified(first, texts, cfg), base, "links-1")
     labels = components(links, base, "comp-1")
@@ -293,21 +313,23 @@ def near_duplicates(docs: DataFrame, cfg: SketchConfig | None = None) -> DataFra
         labels = _merged(labels, materialise(_verified(third, texts, cfg), base, "links-3"), base, "comp-3")
 
     # from classes back to rows
-    names = reps.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
+    least = labels.join(reps.select("node", "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    linked = labels.join(least, "comp").select("node", "least")
+    names = reps.join(linked, "node", "left").select("digest", F.coalesce("least", "doc_id").alias("component_id"))
     out = sk.join(names, "digest", "left")
-    # rows of one doc_id with different texts: the least of their components
-    comp = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id")).withColumn(
+    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), comp.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 
 
 def drop_near_duplicates(docs: DataFrame, cfg: SketchConfig | None = None) -> DataFrame:
-    """The rows of ``docs`` that stand for their group; the ids that go are broadcast if they are few."""
+    """The rows of ``docs`` that stand for their group; rows go by doc_id and text, so no other text of an id goes with them."""
     cfg = cfg or SketchConfig()
-    gone = near_duplicates(docs, cfg).where("not kept").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
+    gone = _judged(docs, cfg).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
     gone = materialise(gone, shared_dir(docs.sparkSession), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= cfg.broadcast_ids else gone, "doc_id", "left_anti").select(*docs.columns)
+    same = (docs["doc_id"].cast("long") == F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_th"))
+    return docs.join(F.broadcast(gone) if gone.count() <= cfg.broadcast_ids else gone, same, "left_anti")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
