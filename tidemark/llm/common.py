@@ -20,7 +20,7 @@ BLANK_WORD = r"[^\x20\x09-\x0D]+"
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-__all__ = ["ALNUM", "BLANK_WORD", "LOWER", "lower_az", "materialise", "shared_dir", "table"]
+__all__ = ["ALNUM", "BLANK_WORD", "LOWER", "hot_join", "lower_az", "materialise", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,18 @@ def materialise(df: DataFrame, base: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_join(rows: DataFrame, by_key: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with ``by_key`` (one row for each key); the keys of ``hot`` are broadcast, the others meet in a shuffle.
+
+    ``hot`` holds the keys with more than 1 / n of all rows, so it has at most
+    n keys, and no task of the shuffle gets more than 1 / n of the rows by one
+    key.
+    """
+    hot = F.broadcast(hot)
+    rest = rows.join(hot, keys, "left_anti").join(by_key, keys)
+    return rows.join(F.broadcast(by_key.join(hot, keys, "left_semi")), keys).unionByName(rest)
+
+
 def lower_az(c):
     """Lower-case A-Z only, as the contracts ask; other letters stay."""
     return F.translate(c, UPPER_AZ, LOWER_AZ)

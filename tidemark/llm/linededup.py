@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, materialise, shared_dir, table
+from tidemark.llm.common import LOWER, hot_join, materialise, shared_dir, table
 
 
 @dataclass(frozen=True)
@@ -63,17 +63,6 @@ def line_units(docs: DataFrame) -> DataFrame:
     return found.select("_id", "_th", "at", "u.start", "u.end", "u.words", "u.digest")
 
 
-def _joined(units: DataFrame, by_digest: DataFrame, hot: DataFrame) -> DataFrame:
-    """``units`` joined with ``by_digest``; digests of ``hot`` are broadcast, so that no task gets one's occurrences.
-
-    Both sides of the shuffled join hold a digest at most 1 / ``hot_digests``
-    of the units each.
-    """
-    hot = F.broadcast(hot)
-    rest = units.join(hot, "digest", "left_anti").join(by_digest, "digest")
-    return units.join(F.broadcast(by_digest.join(hot, "digest", "left_semi")), "digest").unionByName(rest)
-
-
 def passages(docs: DataFrame, cfg: LineConfig | None = None, base: str | None = None) -> DataFrame:
     """(_id, _th, start, end, first) of every unit within a passage; ``first`` ranks lowest among the unit's occurrences.
 
@@ -87,7 +76,7 @@ def passages(docs: DataFrame, cfg: LineConfig | None = None, base: str | None =
     counts = materialise(units.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), base, "counts")
     limit = units.count() / cfg.hot_digests
     hot = counts.where(F.col("n") > limit).select("digest")
-    repeated = _joined(units, counts.select("digest"), hot).distinct()
+    repeated = hot_join(units, counts.select("digest"), hot, ["digest"]).distinct()
 
     doc = Window.partitionBy("_id", "_th")
     run = repeated.withColumn("run", F.col("at") - F.row_number().over(doc.orderBy("at")))
@@ -95,7 +84,7 @@ def passages(docs: DataFrame, cfg: LineConfig | None = None, base: str | None =
     within = materialise(run.select("_id", "_th", "start", "end", "digest"), base, "within")
     rank = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("start").alias("start"))
     first = materialise(within.groupBy("digest").agg(F.min(rank).alias("first")), base, "first")
-    return _joined(within, first, hot).select("_id", "_th", "start", "end", "first")
+    return hot_join(within, first, hot, ["digest"]).select("_id", "_th", "start", "end", "first")
 
 
 def removals(docs: DataFrame, cfg: LineConfig | None = None) -> DataFrame:
