@@ -71,3 +71,11 @@ def test_cut_counts_every_labelled_row():
     cfg = quality.ForestConfig(bins=100)
     assert quality._cut([(30, 50_000, 0), (40, 10_000, 100), (60, 2, 900)], cfg) == 0.41
     assert quality._cut([(30, 999, 0), (50, 1, 0)], cfg) == 0.31 and quality._cut([(30, 0, 5)], cfg) is None
+
+
+def test_labels_of_the_tables(spark):
+    """Both rates on labelled documents that pass the base rule."""
+    sf = "/root/testdata/sf0.01"
+    out = __spark_entry__.queries()["op10_quality_forest"](spark, sf).where("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    good, bad = ([r.kept for r in out if r.quality == q] for q in (1, 0))
+    assert sum(good) >= 0.98 * len(good) and sum(not k for k in bad) >= 0.95 * len(bad) and len(bad) >= 20

@@ -18,17 +18,15 @@ from tidemark.llm.common import materialise, shared_dir, table
 
 STATS_SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "n_lines long, n_stop_ends long, n_upper long, n_digits long, n_distinct_words long"
+    "n_lines long, n_stop_ends long, n_upper long, n_distinct_words long"
 )
 #: The same as a type.
 STATS_STRUCT = "struct<" + ", ".join(x.replace(" ", ":") for x in STATS_SCHEMA.split(", ")) + ">"
 NAMES = tuple(x.split()[0] for x in STATS_SCHEMA.split(", "))
 SYMBOLS = b"#*$%&|<>"
-#: Features of the forest, each a share or a bounded figure computed from the statistics.
-FEATURES = (
-    "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share",
-    "digit_share", "end_share", "distinct_share",
-)
+#: Features of the forest, each a share or a bounded figure computed from the statistics. Repeats are
+#: the base rule's; as features, repeated lines and digits isolate good documents before bad ones.
+FEATURES = ("mean_word", "symbol_share", "upper_share", "end_share", "distinct_share")
 
 
 @dataclass(frozen=True)
@@ -39,7 +37,7 @@ class ForestConfig:
     reruns agree whatever the partitioning.
     """
 
-    trees: int = 40
+    trees: int = 100
     subsample: int = 256
     fit_rows: int = 4096
     #: Steps of the anomaly (0 to 1) at which the cut can lie.
@@ -84,7 +82,6 @@ def _stats(data: bytes | None) -> tuple[int, ...]:
     chars = int(len(high) - ((high & 0xC0) == 0x80).sum())
     symbols = len(joined) - len(joined.translate(None, SYMBOLS))
     upper = len(joined) - len(joined.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    digits = len(joined) - len(joined.translate(None, b"0123456789"))
     seen: set[bytes] = set()
     lines = dup = ends = 0
     for line in data.split(b"\n"):
@@ -96,7 +93,7 @@ def _stats(data: bytes | None) -> tuple[int, ...]:
                 dup += 1
             else:
                 seen.add(line)
-    return n, chars, symbols, dup, _repeat_words(words), lines, ends, upper, digits, len(set(words))
+    return n, chars, symbols, dup, _repeat_words(words), lines, ends, upper, len(set(words))
 
 
 def _table(texts: pa.Array) -> dict[str, list[int]]:
@@ -126,9 +123,8 @@ def features(stats: dict) -> np.ndarray:
     x = {k: np.asarray(v, np.float64) for k, v in stats.items()}
     words, chars, lines = (np.maximum(x[c], 1.0) for c in ("n_words", "word_chars", "n_lines"))
     values = {
-        "mean_word": np.minimum(x["word_chars"] / words, 40.0), "symbol_share": np.minimum(x["n_symbols"] / chars, 1.0), "dup_line_share": x["n_dup_lines"] / lines,
-        "repeat_share": x["n_repeat_words"] / words, "upper_share": x["n_upper"] / chars, "digit_share": x["n_digits"] / chars, "end_share": x["n_stop_ends"] / lines,
-        "distinct_share": np.minimum(x["n_distinct_words"] / np.sqrt(words), 40.0),
+        "mean_word": np.minimum(x["word_chars"] / words, 40.0), "symbol_share": np.minimum(x["n_symbols"] / chars, 1.0),
+        "upper_share": x["n_upper"] / chars, "end_share": x["n_stop_ends"] / lines, "distinct_share": np.minimum(x["n_distinct_words"] / np.sqrt(words), 40.0),
     }
     return np.column_stack([values[f] for f in FEATURES])
 
