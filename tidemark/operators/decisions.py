@@ -44,15 +44,16 @@ def features_at(points: DataFrame, trades: DataFrame, alerts: DataFrame, book: D
     """``points`` (symbol, ms, ...) with what is known at their time.
 
     Per window the delta and the buy ratio; per alert type the time of the last
-    one; the last book (imbalance, net_shift, valid, its time); the last sweep
+    one; the last book (all its columns, and its age); the last sweep
     (direction, score, time). What is older than its limit is null. Rows of
     equal time count.
     """
     own = points.columns
     reach = max(*windows.values(), cfg.alert_ms, cfg.stale_ms, cfg.sweep_active_ms) + 1
+    carried = [c for c in book.columns if c not in ("symbol", "snap_ms")]
     parts = {
         "point": points, "alert": alerts.select("symbol", "ms", F.col("type").alias("alert")),
-        "book": book.select("symbol", F.col("snap_ms").alias("ms"), "imbalance", "net_shift", "valid"),
+        "book": book.select("symbol", F.col("snap_ms").alias("ms"), *carried),
     }
     if sweeps is not None:
         parts["sweep"] = sweeps.select("symbol", "ms", "sweep_id", F.col("direction").alias("s_direction"), F.col("score").alias("s_score"))
@@ -69,7 +70,7 @@ def features_at(points: DataFrame, trades: DataFrame, alerts: DataFrame, book: D
         zero = dec(F.lit(0))
         known |= {f"{x}_{w}": F.coalesce(F.sum(f"{x}_{w}").over(run), zero) for x in "dbt"}
     known |= {f"last_{t}": F.max(F.when(F.col("alert") == t, F.col("ms"))).over(run) for t in types}
-    known["last_book"] = F.max(F.when(F.col("kind") == "book", F.struct("ms", "imbalance", "net_shift", "valid"))).over(run)
+    known["last_book"] = F.max(F.when(F.col("kind") == "book", F.struct("ms", *carried))).over(run)
     if sweeps is not None:
         known["last_sweep"] = F.max(F.when(F.col("kind") == "sweep", F.struct("ms", "sweep_id", "s_direction", "s_score"))).over(run)
     # ``d_1m`` and so on are step columns of the same name: compute first, rename after.
@@ -83,7 +84,7 @@ def features_at(points: DataFrame, trades: DataFrame, alerts: DataFrame, book: D
     b = F.col("known_last_book")
     out["book_age"] = F.when(F.col("ms") - b["ms"] <= cfg.stale_ms, F.col("ms") - b["ms"])
     fresh = F.col("ms") - b["ms"] <= cfg.stale_ms
-    out |= {n: F.when(fresh, b[n]) for n in ("imbalance", "net_shift", "valid")}
+    out |= {n: F.when(fresh, b[n]) for n in carried}
     if sweeps is not None:
         s = F.col("known_last_sweep")
         live = F.col("ms") - s["ms"] <= cfg.sweep_active_ms

@@ -19,27 +19,28 @@ from tidemark.config import UNCOOLED, Config
 C = Config()
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], step: Callable, start: Callable, out: str, pre: list[str] | None = None) -> DataFrame:
-    """``df`` with the columns of the DDL ``out``: ``step(state, row)`` gives their values.
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], needs: list[str], step: Callable, start: Callable, out: str) -> DataFrame:
+    """``df`` with the columns of the DDL ``out``: ``step(state, *needs)`` gives their values.
 
-    ``start(row)`` makes a key's state from its first row. Rows come in
-    ``order`` within a key (null keys are a key of their own).
+    ``start()`` makes a key's state. Rows come in ``order`` within a key (null
+    keys are a key of their own). Only keys and ``needs`` become Python
+    values; other columns pass through as Arrow arrays.
     """
     added = T._parse_datatype_string(out)
     schema = T.StructType([*df.schema.fields, *added.fields])
     arrow, names = to_arrow_schema(schema), df.columns
+    key_at, need_at = [names.index(c) for c in keys], [names.index(c) for c in needs]
 
     def fold(batches):
         key, state = object(), None
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
+            key_rows = zip(*(batch.columns[i].to_pylist() for i in key_at), strict=True)
+            need_rows = zip(*(batch.columns[i].to_pylist() for i in need_at), strict=True)
             results = []
-            for values in zip(*cols, strict=True):
-                row = dict(zip(names, values, strict=True))
-                k = tuple(row[c] for c in keys)
+            for k, row in zip(key_rows, need_rows, strict=True):
                 if k != key:
-                    key, state = k, start(row)
-                results.append(step(state, row))
+                    key, state = k, start()
+                results.append(step(state, *row))
             new = list(zip(*results, strict=True)) if results else [()] * len(added)
             arrays = [*batch.columns, *[pa.array(v, arrow.field(len(names) + i).type) for i, v in enumerate(new)]]
             yield pa.RecordBatch.from_arrays([a.cast(arrow.field(i).type) for i, a in enumerate(arrays)], schema=arrow)
@@ -60,8 +61,8 @@ def sequence_verdicts(diffs: DataFrame, order: list[str] | None = None) -> DataF
     A null pu continues whatever was accepted last.
     """
 
-    def step(s, r):
-        u, pu, last = r["u"], r["pu"], s["last"]
+    def step(s, u, pu):
+        last = s["last"]
         if last is None:
             verdict = "OK"
         elif u <= last:
@@ -79,7 +80,7 @@ def sequence_verdicts(diffs: DataFrame, order: list[str] | None = None) -> DataF
             s["epoch"] += 1
         return verdict, s["epoch"]
 
-    return ordered_fold(diffs, ["symbol"], order or ["pos"], step, lambda r: {"last": None, "epoch": 0}, "verdict string, epoch long")
+    return ordered_fold(diffs, ["symbol"], order or ["pos"], ["u", "pu"], step, lambda: {"last": None, "epoch": 0}, "verdict string, epoch long")
 
 
 # --- event cooldown ----------------------------------------------------------------------------
@@ -93,17 +94,17 @@ def event_cooldown(events: DataFrame, cfg: Config = C) -> DataFrame:
     since. The uncooled types always pass.
     """
 
-    def step(s, r):
-        if r["type"] in UNCOOLED:
+    def step(s, kind, ms, price):
+        if kind in UNCOOLED:
             return (True,)
-        last, price = s["ms"], s["price"]
-        moved = bool(price and r["price"] and price > 0 and r["price"] > 0 and abs(r["price"] - price) / price >= cfg.cooldown_move)
-        ok = last is None or r["ms"] - last >= cfg.cooldown_ms or moved
+        last, old = s["ms"], s["price"]
+        moved = bool(old and price and old > 0 and price > 0 and abs(price - old) / old >= cfg.cooldown_move)
+        ok = last is None or ms - last >= cfg.cooldown_ms or moved
         if ok:
-            s["ms"], s["price"] = r["ms"], r["price"]
+            s["ms"], s["price"] = ms, price
         return (ok,)
 
-    return ordered_fold(events, ["symbol", "type", "window"], ["ms", "alert_id"], step, lambda r: {"ms": None, "price": None}, "accepted boolean")
+    return ordered_fold(events, ["symbol", "type", "window"], ["ms", "alert_id"], ["type", "ms", "price"], step, lambda: {"ms": None, "price": None}, "accepted boolean")
 
 
 # --- decisions ---------------------------------------------------------------------------------
@@ -118,29 +119,29 @@ def commit_decisions(decisions: DataFrame, cfg: Config = C) -> DataFrame:
     starts a cooldown. The version counts changes of the committed action.
     """
 
-    def step(s, r):
-        action = r["action"] if r["gated"] or r["ms"] >= s["until"] else "COOLDOWN"
+    def step(s, asked, candidate, gated, ms):
+        action = asked if gated or ms >= s["until"] else "COOLDOWN"
         old = s["action"]
         if action != old:
             s["version"] += 1
-            if r["candidate"] and action in ("CONFIRMED_LONG", "CONFIRMED_SHORT"):
-                s["until"] = r["ms"] + cfg.signal_cooldown_ms
+            if candidate and action in ("CONFIRMED_LONG", "CONFIRMED_SHORT"):
+                s["until"] = ms + cfg.signal_cooldown_ms
         s["action"] = action
         return old, action, s["version"], s["until"] if s["until"] >= 0 else None
 
-    return ordered_fold(decisions, ["symbol"], ["ms"], step, lambda r: {"action": "WARMING_UP", "version": 0, "until": -1}, "old_action string, committed string, version long, cooldown_until long")
+    return ordered_fold(decisions, ["symbol"], ["ms"], ["action", "candidate", "gated", "ms"], step, lambda: {"action": "WARMING_UP", "version": 0, "until": -1}, "old_action string, committed string, version long, cooldown_until long")
 
 
 def register_signals(signals: DataFrame, quiet_ms: int = 300_000) -> DataFrame:
     """Signals (symbol, ms, signal_id, ...) with ``registered``: none within ``quiet_ms`` of the symbol's last registered one."""
 
-    def step(s, r):
-        ok = s["ms"] is None or r["ms"] - s["ms"] >= quiet_ms
+    def step(s, ms):
+        ok = s["ms"] is None or ms - s["ms"] >= quiet_ms
         if ok:
-            s["ms"] = r["ms"]
+            s["ms"] = ms
         return (ok,)
 
-    return ordered_fold(signals, ["symbol"], ["ms", "signal_id"], step, lambda r: {"ms": None}, "registered boolean")
+    return ordered_fold(signals, ["symbol"], ["ms", "signal_id"], ["ms"], step, lambda: {"ms": None}, "registered boolean")
 
 
 # --- paper trading -------------------------------------------------------------------------------
@@ -183,12 +184,12 @@ def paper_orders(orders: DataFrame, cash: float = 10_000.0, leverage: float = 5.
     is rejected otherwise.
     """
 
-    def step(s, r):
-        kind, gain = _fill(s, r["symbol"], r["side"], r["qty"], r["price"])
+    def step(s, symbol, side, qty, price):
+        kind, gain = _fill(s, symbol, side, qty, price)
         return kind, gain, s["cash"], s["realized"], len(s["held"])
 
-    start = lambda r: {"cash": cash, "realized": 0.0, "held": {}, "leverage": leverage, "compat": compat}
-    return ordered_fold(orders, ["account"], ["ms", "order_id"], step, start, "kind string, gain double, cash double, realized double, n_held long")
+    start = lambda: {"cash": cash, "realized": 0.0, "held": {}, "leverage": leverage, "compat": compat}
+    return ordered_fold(orders, ["account"], ["ms", "order_id"], ["symbol", "side", "qty", "price"], step, start, "kind string, gain double, cash double, realized double, n_held long")
 
 
 OPPOSITE = {"BUY": ("CONFIRMED_SHORT", "SHORT (SWEEP)", "SHORT_BIAS", "WATCH_SHORT"), "SELL": ("CONFIRMED_LONG", "LONG (SWEEP)", "LONG_BIAS", "WATCH_LONG")}
@@ -201,37 +202,36 @@ def auto_trader(ticks: DataFrame, cash: float = 10_000.0, leverage: float = 5.0,
     (BUY, SELL or null) opens one with ``share`` of equity times leverage.
     """
 
-    def step(s, r):
-        symbol, price = r["symbol"], r["price"]
+    def step(s, symbol, price, action, entry):
         s["marks"][symbol] = price
         closed = opened = None
         gain = 0.0
         held = s["held"].get(symbol)
         if held:
             profit = (price - held["entry"]) / held["entry"] * (1 if held["side"] == "BUY" else -1)
-            if profit >= take or profit <= -stop or r["action"] in OPPOSITE[held["side"]]:
+            if profit >= take or profit <= -stop or action in OPPOSITE[held["side"]]:
                 closed = "TAKE" if profit >= take else "STOP" if profit <= -stop else "OPPOSITE"
                 _, gain = _fill(s, symbol, "SELL" if held["side"] == "BUY" else "BUY", held["qty"], price)
-        if symbol not in s["held"] and r["entry"] in ("BUY", "SELL") and price > 0:
+        if symbol not in s["held"] and entry in ("BUY", "SELL") and price > 0:
             open_ = sum(h["qty"] * (s["marks"].get(k, h["entry"]) - h["entry"]) * (1 if h["side"] == "BUY" else -1) for k, h in s["held"].items())
-            kind, _ = _fill(s, symbol, r["entry"], (s["cash"] + open_) * share * leverage / price, price)
-            opened = r["entry"] if kind == "OPEN" else None
+            kind, _ = _fill(s, symbol, entry, (s["cash"] + open_) * share * leverage / price, price)
+            opened = entry if kind == "OPEN" else None
         return closed, opened, gain, s["cash"], s["realized"]
 
-    start = lambda r: {"cash": cash, "realized": 0.0, "held": {}, "marks": {}, "leverage": leverage, "compat": True}
-    return ordered_fold(ticks, ["account"], ["ms", "symbol"], step, start, "closed string, opened string, gain double, cash double, realized double")
+    start = lambda: {"cash": cash, "realized": 0.0, "held": {}, "marks": {}, "leverage": leverage, "compat": True}
+    return ordered_fold(ticks, ["account"], ["ms", "symbol"], ["symbol", "price", "action", "entry"], step, start, "closed string, opened string, gain double, cash double, realized double")
 
 
 def cached_interpretations(requests: DataFrame, ttl_ms: int = 60_000) -> DataFrame:
-    """Requests (scope, ms, input_hash, ok) with ``source``: a new call, the cache (same input, fresh) or the last good answer."""
+    """Requests (scope, ms, request_id, input_hash, ok) with ``source``: a new call, the cache (same input, fresh) or the last good answer."""
 
-    def step(s, r):
-        fresh = s["ms"] is not None and r["ms"] - s["ms"] <= ttl_ms
-        if fresh and s["hash"] == r["input_hash"]:
+    def step(s, ms, input_hash, ok):
+        fresh = s["ms"] is not None and ms - s["ms"] <= ttl_ms
+        if fresh and s["hash"] == input_hash:
             return ("CACHE",)
-        if r["ok"]:
-            s["ms"], s["hash"] = r["ms"], r["input_hash"]
+        if ok:
+            s["ms"], s["hash"] = ms, input_hash
             return ("CALL",)
         return ("FALLBACK" if s["ms"] is not None else "FAILED",)
 
-    return ordered_fold(requests, ["scope"], ["ms"], step, lambda r: {"ms": None, "hash": None}, "source string")
+    return ordered_fold(requests, ["scope"], ["ms", "request_id"], ["ms", "input_hash", "ok"], step, lambda: {"ms": None, "hash": None}, "source string")

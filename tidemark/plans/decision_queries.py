@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.config import BEARISH_CONFLICTS, BULLISH_CONFLICTS
@@ -9,24 +10,25 @@ from tidemark.functions import labels, scalars
 from tidemark.operators import book, context, decisions, depth, folds, interpret, outcomes, reports
 from tidemark.plans.registry import ALERTS, BOOK, LEVELS, RANKED, SIGNALS, STACKING, SWEEPS, TRADES, query
 from tidemark.plans.trade_queries import CFG, r6
+from tidemark.session import written
 from tidemark.sources import adapters as src
 
 GRID = 60_000
 
 
 def _book_features(spark, d):
-    """Snapshots with imbalance, net shift and validity; every 13th snapshot counts as out of sync."""
-    lv = src.book_levels(spark, d)
-    x = book.book_metrics(lv).select("symbol", "snap_ms", F.round("imbalance", 9).alias("imbalance"))
+    """Snapshots with imbalance, spread, net shift and validity, written once; every 13th snapshot counts as out of sync."""
+    lv = written(src.book_levels(spark, d))
+    x = book.book_metrics(lv).select("symbol", "snap_ms", F.round("imbalance", 9).alias("imbalance"), F.round("spread_bps", 6).alias("spread_bps"))
     shift = book.stacking(lv, 1_000_000, 2_000_000).select("symbol", "snap_ms", F.round("net_shift", 6).alias("net_shift"))
-    return x.join(shift, ["symbol", "snap_ms"]).withColumn("valid", F.col("snap_ms") / 500_000 % 13 != 0)
+    return written(x.join(shift, ["symbol", "snap_ms"]).withColumn("valid", F.col("snap_ms") / 500_000 % 13 != 0))
 
 
 def _parts(spark, d):
     return src.trades(spark, d), src.alerts(spark, d), _book_features(spark, d)
 
 
-_FEATURES = f"{TRADES}, {SWEEPS}, {ALERTS}, {BOOK}, {STACKING}, bf AS (SELECT symbol, snap_ms, round(imbalance, 9) AS imbalance, round(net_shift, 6) AS net_shift, snap_ms / 500000 % 13 <> 0 AS valid FROM book JOIN stack USING (symbol, snap_ms))"
+_FEATURES = f"{TRADES}, {SWEEPS}, {ALERTS}, {BOOK}, {STACKING}, bf AS (SELECT symbol, snap_ms, round(imbalance, 9) AS imbalance, round(net_shift, 6) AS net_shift, round((best_ask - best_bid) / mid * 10000, 6) AS spread_bps, snap_ms / 500000 % 13 <> 0 AS valid FROM (SELECT symbol, snap_ms, imbalance, best_bid, best_ask, mid FROM book) JOIN stack USING (symbol, snap_ms))"
 
 
 def _points(cte: str, key: str) -> str:
@@ -37,7 +39,7 @@ def _points(cte: str, key: str) -> str:
     return f"""pf AS (SELECT p.{key}, {flow} FROM {cte} p LEFT JOIN trades t ON t.symbol = p.symbol AND t.ms BETWEEN p.ms - 900000 AND p.ms GROUP BY p.{key}),
 pa AS (SELECT p.{key}, list(DISTINCT a.type) FILTER (WHERE a.type IS NOT NULL) AS types, list(DISTINCT a.type) FILTER (WHERE p.ms - a.ms <= 100000) AS fresh FROM {cte} p LEFT JOIN alerts a ON a.symbol = p.symbol AND a.ms BETWEEN p.ms - 900000 AND p.ms GROUP BY p.{key}),
 pb AS (SELECT p.{key}, max(b.snap_ms) AS snap_ms FROM {cte} p LEFT JOIN bf b ON b.symbol = p.symbol AND b.snap_ms BETWEEN p.ms - 600000 AND p.ms GROUP BY p.{key}),
-px AS (SELECT p.*, pf.* EXCLUDE ({key}), coalesce(pf.br_5m, 0.5) AS buy_ratio_5m, coalesce(types, []) AS types, coalesce(fresh, []) AS fresh, pb.snap_ms, bf.imbalance, bf.net_shift, bf.valid
+px AS (SELECT p.*, pf.* EXCLUDE ({key}), coalesce(pf.br_5m, 0.5) AS buy_ratio_5m, coalesce(types, []) AS types, coalesce(fresh, []) AS fresh, pb.snap_ms, bf.imbalance, bf.net_shift, bf.spread_bps, bf.valid
   FROM {cte} p JOIN pf USING ({key}) JOIN pa USING ({key}) JOIN pb USING ({key}) LEFT JOIN bf ON bf.symbol = p.symbol AND bf.snap_ms = pb.snap_ms)"""
 
 
@@ -50,11 +52,17 @@ scored AS (SELECT sweep_id, symbol, ms, direction, snap_ms, CASE WHEN pressure A
   CASE WHEN diverged THEN 2 ELSE 0 END AS divergence, CASE WHEN leans THEN 3 ELSE 0 END AS leaning FROM parts)"""
 
 
-def _scored(spark, d):
-    t, a, b = _parts(spark, d)
+def _scored(spark, d, parts=None):
+    t, a, b = parts or _parts(spark, d)
     return decisions.score_sweeps(src.sweeps(spark, d), t, a, b, CFG)
 
 
+def _inputs(spark, d):
+    """What the state machine knows at every tick; book features and scored sweeps are made once."""
+    t, a, b = parts = _parts(spark, d)
+    return decisions.decision_inputs(t, a, b, written(_scored(spark, d, parts)), GRID, CFG)
+
+
 @query("a27_j4_sweep_score", f"""WITH {_FEATURES}, {_SCORED} SELECT sweep_id, symbol, direction, CAST(exhaustion AS BIGINT) AS exhaustion, CAST(absorption AS BIGINT) AS absorption, CAST(divergence AS BIGINT) AS divergence, CAST(leaning AS BIGINT) AS leaning,
   snap_ms IS NULL AS stale, CAST(exhaustion + absorption + divergence + leaning AS BIGINT) AS score, CASE WHEN exhaustion + absorption + divergence + leaning >= 5 THEN 'SWEEP_CONFLUENCE' ELSE 'LOW_CONFLUENCE' END AS status FROM scored""")
 def a27(spark, d):
@@ -62,9 +70,7 @@ def a27(spark, d):
 
 
 def _decided(spark, d):
-    t, a, b = _parts(spark, d)
-    x = decisions.decision_inputs(t, a, b, _scored(spark, d), GRID, CFG)
-    return decisions.evaluate(x, CFG)
+    return decisions.evaluate(_inputs(spark, d), CFG)
 
 
 def _in(types) -> str:
@@ -132,15 +138,13 @@ def a28(spark, d):
 
 @query("j5_conflict_flags", f"""WITH {_ALL} SELECT symbol, ms, bearish, bullish, coalesce(snap_ms, -1) AS book_ms FROM ti""")
 def j5(spark, d):
-    t, a, b = _parts(spark, d)
-    x = decisions.decision_inputs(t, a, b, _scored(spark, d), GRID, CFG)
+    x = _inputs(spark, d)
     return x.select("symbol", "ms", "bearish", "bullish", F.coalesce(F.col("ms") - F.col("book_age"), F.lit(-1)).alias("book_ms"))
 
 
 @query("j6_latest_sweep", f"WITH {_ALL} SELECT tk.symbol, tk.ms, ts.sdir AS direction, CAST(ts.sscore AS BIGINT) AS score FROM tk JOIN ts USING (tick)")
 def j6(spark, d):
-    t, a, b = _parts(spark, d)
-    x = decisions.decision_inputs(t, a, b, _scored(spark, d), GRID, CFG)
+    x = _inputs(spark, d)
     return x.select("symbol", "ms", F.col("sweep_direction").alias("direction"), F.col("sweep_score").cast("long").alias("score"))
 
 
@@ -219,24 +223,88 @@ def t5(spark, d):
     return folds.register_signals(src.signals(spark, d)).select("signal_id", "registered")
 
 
-@query("t7_paper_orders")
-def t7(spark, d):
-    o = src.signals(spark, d).select(F.lit("main").alias("account"), "symbol", "ms", F.col("signal_id").alias("order_id"), F.when(F.col("action") == "CONFIRMED_LONG", "BUY").otherwise("SELL").alias("side"), F.lit(5.0).alias("qty"), "price")
-    return folds.paper_orders(o).select("order_id", "kind", r6("gain"), r6("cash"), r6("realized"), "n_held")
+# A position per symbol as a list; only the order's own symbol changes. Leverage is 5, cash starts at 10,000.
+_FILL = """bad AS (SELECT *, held[sy] AS h FROM {rows}),
+gains AS (SELECT *, h.side IS NOT NULL AND h.side <> side AS opp, least(qty, h.qty) AS part, least(qty, h.qty) * (price - h.entry) * CASE WHEN h.side = 'BUY' THEN 1 ELSE -1 END AS g, qty - h.qty AS rest FROM bad),
+back AS (SELECT *, cash + (part * h.entry / 5.0 + g) AS back FROM gains),
+kinds AS (SELECT *, CASE WHEN qty <= 0 OR price <= 0 THEN 'REJECTED' WHEN opp AND qty < h.qty THEN 'PARTIAL_CLOSE' WHEN opp AND rest > 0 AND back >= rest * price / 5.0 THEN 'FLIP' WHEN opp THEN 'CLOSE' WHEN cash < qty * price / 5.0 THEN 'REJECTED' ELSE 'OPEN' END AS kind FROM back),
+filled AS (SELECT *, CASE WHEN opp AND kind <> 'REJECTED' THEN g ELSE 0.0 END AS gain,
+  CASE kind WHEN 'FLIP' THEN back - rest * price / 5.0 WHEN 'CLOSE' THEN back WHEN 'PARTIAL_CLOSE' THEN back WHEN 'OPEN' THEN cash - qty * price / 5.0 ELSE cash END AS cash_after,
+  CASE kind WHEN 'FLIP' THEN {{'side': side, 'qty': rest, 'entry': price}} WHEN 'OPEN' THEN {{'side': side, 'qty': qty, 'entry': price}} WHEN 'PARTIAL_CLOSE' THEN {{'side': h.side, 'qty': h.qty - qty, 'entry': h.entry}} WHEN 'REJECTED' THEN h END AS pos FROM kinds)"""
+_NONE = "CAST([NULL, NULL, NULL, NULL, NULL] AS STRUCT(side VARCHAR, qty DOUBLE, entry DOUBLE)[])"
 
 
-@query("p24_p25_auto_trader")
-def p24(spark, d):
-    x = _committed(spark, d)
-    side = labels.entry_side(F.col("committed"), F.col("buy_ratio_5m"), F.coalesce("imbalance", F.lit(0.0)), F.col("delta_15m"), F.coalesce("valid", F.lit(False)), F.lit(2.0), F.lit(False))
-    ticks = x.select(F.lit("main").alias("account"), "symbol", "ms", "price", F.col("committed").alias("action"), side.alias("entry"))
-    return folds.auto_trader(ticks).select("symbol", "ms", "closed", "opened", r6("gain"), r6("cash"), r6("realized"))
+def _orders(spark, d):
+    """Purchases as orders; five users, who trade in a symbol each, share an account."""
+    e = src._timed(spark, d).where("event_type = 'purchase'")
+    return e.select(
+        F.expr("user_id div 5").alias("account"), src._symbol(F.col("user_id") % 5).alias("symbol"), "ms", F.col("event_id").alias("order_id"),
+        F.when(F.col("k") % 2 == 0, "BUY").otherwise("SELL").alias("side"), (F.col("k") % 10 + 1).cast("double").alias("qty"), F.col("value").alias("price"))
 
 
-@query("t13_cached_interpretations")
+@query("t7_paper_orders", f"""WITH RECURSIVE {TRADES},
+o AS (SELECT user_id // 5 AS account, user_id % 5 + 1 AS sy, event_id AS order_id, CASE WHEN k % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, CAST(k % 10 + 1 AS DOUBLE) AS qty, value AS price, row_number() OVER (PARTITION BY user_id // 5 ORDER BY ms, event_id) AS i FROM e WHERE event_type = 'purchase'),
+f AS (SELECT account, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS order_id, CAST(NULL AS VARCHAR) AS kind, 0.0::DOUBLE AS gain, 10000.0::DOUBLE AS cash, 0.0::DOUBLE AS realized, {_NONE} AS held FROM (SELECT DISTINCT account FROM o)
+  UNION ALL (WITH {_FILL.format(rows="(SELECT o.*, f.cash, f.realized, f.held FROM f JOIN o ON o.account = f.account AND o.i = f.i + 1)")}
+  SELECT account, i, order_id, kind, gain, cash_after, realized + gain, list_transform(held, lambda x, j: CASE WHEN j = sy THEN pos ELSE x END) FROM filled))
+SELECT account, order_id, kind, round(gain, 6) AS gain, round(cash, 6) AS cash, round(realized, 6) AS realized, CAST(len(list_filter(held, lambda x: x IS NOT NULL)) AS BIGINT) AS n_held FROM f WHERE i > 0""")
+def t7(spark, d):
+    return folds.paper_orders(_orders(spark, d)).select("account", "order_id", "kind", r6("gain"), r6("cash"), r6("realized"), "n_held")
+
+
+def _session_delta(spark, d):
+    """(symbol, ms, cvd): the day's cumulative delta at every tick."""
+    t = src.trades(spark, d).withColumn("v", scalars.signed(F.col("side"), F.col("notional")))
+    cells = t.groupBy("symbol", "day", (F.floor(F.col("ms") / GRID) + 1).alias("cell")).agg(F.sum("v").alias("v"))
+    run = Window.partitionBy("symbol", "day").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("cum", F.sum("v").over(run))
+    return cells.groupBy("symbol", (F.col("cell") * GRID).alias("ms")).agg(F.max_by("cum", "day").cast("double").alias("cvd"))
+
+
+_ENTRY = """cs AS (SELECT symbol, ms // 60000 + 1 AS cell, day, sum(signed) AS v FROM trades GROUP BY ALL),
+cr AS (SELECT symbol, cell, day, sum(v) OVER (PARTITION BY symbol, day ORDER BY cell) AS cum FROM cs),
+cd AS (SELECT symbol, cell * 60000 AS ms, CAST(arg_max(cum, day) AS DOUBLE) AS cvd FROM cr GROUP BY ALL),
+en AS (SELECT co.symbol, co.ms, co.price, committed AS action,
+  coalesce(valid, false) AND coalesce(spread_bps, 0) < 15 AND NOT (NOT warming AND delta_5m = delta_15m AND coalesce(br_5m, 0.5) = coalesce(br_15m, 0.5) AND delta_15m <> 0) AS usable,
+  buy_ratio_5m AS r, coalesce(imbalance, 0) AS imb, cvd FROM co JOIN ti USING (symbol, ms) JOIN cd USING (symbol, ms))"""
+
+
+@query("p24_p25_auto_trader", f"""WITH RECURSIVE {_ALL}, {_COMMITTED}, {_ENTRY},
+ac AS (SELECT DISTINCT s_nationkey AS account, s_suppkey % 5 + 1 AS sy FROM supplier),
+o AS (SELECT account, sy, symbol, ms, price, action, CASE WHEN usable AND action = 'CONFIRMED_LONG' AND r >= 0.58 AND imb >= 0.2 AND cvd > 0 THEN 'BUY' WHEN usable AND action = 'CONFIRMED_SHORT' AND r <= 0.42 AND imb <= -0.2 AND cvd < 0 THEN 'SELL' END AS entry,
+  row_number() OVER (PARTITION BY account ORDER BY ms, symbol) AS i FROM ac JOIN en ON en.symbol = ['click','error','purchase','signup','view'][sy]),
+f AS (SELECT account, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS symbol, CAST(NULL AS BIGINT) AS ms, CAST(NULL AS VARCHAR) AS closed, CAST(NULL AS VARCHAR) AS opened, 0.0::DOUBLE AS gain, 10000.0::DOUBLE AS cash, 0.0::DOUBLE AS realized,
+    {_NONE} AS held, CAST([NULL, NULL, NULL, NULL, NULL] AS DOUBLE[]) AS marks FROM (SELECT DISTINCT account FROM o)
+  UNION ALL (WITH r0 AS (SELECT o.*, f.cash, f.realized, f.held, f.held[o.sy] AS h, list_transform(f.marks, lambda x, j: CASE WHEN j = o.sy THEN o.price ELSE x END) AS marks FROM f JOIN o ON o.account = f.account AND o.i = f.i + 1),
+  r1 AS (SELECT *, (price - h.entry) / h.entry * CASE WHEN h.side = 'BUY' THEN 1 ELSE -1 END AS profit FROM r0),
+  r2 AS (SELECT *, CASE WHEN profit >= 0.01 THEN 'TAKE' WHEN profit <= -0.10 THEN 'STOP' WHEN h.side = 'BUY' AND action IN ('CONFIRMED_SHORT','WATCH_SHORT') THEN 'OPPOSITE' WHEN h.side = 'SELL' AND action IN ('CONFIRMED_LONG','WATCH_LONG') THEN 'OPPOSITE' END AS closed FROM r1),
+  r3 AS (SELECT *, CASE WHEN closed IS NOT NULL AND price > 0 THEN h.qty * (price - h.entry) * CASE WHEN h.side = 'BUY' THEN 1 ELSE -1 END ELSE 0.0 END AS gain FROM r2),
+  r4 AS (SELECT * EXCLUDE (cash, realized, held), CASE WHEN closed IS NOT NULL AND price > 0 THEN cash + (h.qty * h.entry / 5.0 + gain) ELSE cash END AS cash, realized + gain AS realized,
+    CASE WHEN closed IS NOT NULL AND price > 0 THEN list_transform(held, lambda x, j: CASE WHEN j = sy THEN NULL ELSE x END) ELSE held END AS held FROM r3),
+  r5 AS (SELECT *, CASE WHEN held[sy] IS NULL AND entry IS NOT NULL AND price > 0 THEN (cash + coalesce(list_sum(list_transform(held, lambda x, j: x.qty * (marks[j] - x.entry) * CASE WHEN x.side = 'BUY' THEN 1 ELSE -1 END)), 0)) * 0.10 * 5.0 / price END AS qty FROM r4),
+  r6 AS (SELECT *, qty > 0 AND cash >= qty * price / 5.0 AS ok FROM r5)
+  SELECT account, i, symbol, ms, closed, CASE WHEN ok THEN entry END, gain, CASE WHEN ok THEN cash - qty * price / 5.0 ELSE cash END, realized,
+    CASE WHEN ok THEN list_transform(held, lambda x, j: CASE WHEN j = sy THEN {{'side': entry, 'qty': qty, 'entry': price}} ELSE x END) ELSE held END, marks FROM r6))
+SELECT account, symbol, ms, closed, opened, round(gain, 6) AS gain, round(cash, 6) AS cash, round(realized, 6) AS realized FROM f WHERE i > 0""")
+def p24(spark, d):
+    """Every supplier nation is an account that trades in the symbols of its suppliers."""
+    x = _committed(spark, d).join(_session_delta(spark, d), ["symbol", "ms"])
+    doubled = ~F.col("warming") & (F.col("delta_5m") == F.col("delta_15m")) & (F.col("buy_ratio_5m") == F.col("buy_ratio_15m")) & (F.col("delta_15m") != 0)
+    side = labels.entry_side(F.col("committed"), F.col("buy_ratio_5m"), F.coalesce("imbalance", F.lit(0.0)), F.col("cvd"), F.coalesce("valid", F.lit(False)), F.coalesce("spread_bps", F.lit(0.0)), doubled)
+    accounts = src.table(spark, d, "supplier").select(F.col("s_nationkey").alias("account"), src._symbol(F.col("s_suppkey") % 5).alias("symbol")).distinct()
+    ticks = x.select("symbol", "ms", "price", F.col("committed").alias("action"), side.alias("entry")).join(accounts, "symbol")
+    return folds.auto_trader(ticks).select("account", "symbol", "ms", "closed", "opened", r6("gain"), r6("cash"), r6("realized"))
+
+
+@query("t13_cached_interpretations", f"""WITH RECURSIVE {TRADES}, {ALERTS}, o AS (SELECT symbol AS scope, alert_id, ms, type, price > 20 AS ok, row_number() OVER (PARTITION BY symbol ORDER BY ms, alert_id) AS i FROM alerts),
+f AS (SELECT scope, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BIGINT) AS ms, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS BIGINT) AS at, CAST(NULL AS VARCHAR) AS hash FROM (SELECT DISTINCT scope FROM o)
+  UNION ALL SELECT o.scope, o.i, o.alert_id, o.ms, CASE WHEN coalesce(o.ms - f.at <= 60000 AND f.hash = o.type, false) THEN 'CACHE' WHEN o.ok THEN 'CALL' WHEN f.at IS NOT NULL THEN 'FALLBACK' ELSE 'FAILED' END,
+    CASE WHEN NOT coalesce(o.ms - f.at <= 60000 AND f.hash = o.type, false) AND o.ok THEN o.ms ELSE f.at END, CASE WHEN NOT coalesce(o.ms - f.at <= 60000 AND f.hash = o.type, false) AND o.ok THEN o.type ELSE f.hash END
+  FROM f JOIN o ON o.scope = f.scope AND o.i = f.i + 1)
+SELECT scope, request_id, ms, source FROM f WHERE i > 0""")
 def t13(spark, d):
     a = src.alerts(spark, d)
-    return folds.cached_interpretations(a.select(F.col("symbol").alias("scope"), "ms", F.col("type").alias("input_hash"), (F.col("price") > 20).alias("ok"))).select("scope", "ms", "source")
+    return folds.cached_interpretations(a.select(F.col("symbol").alias("scope"), "ms", F.col("alert_id").alias("request_id"), F.col("type").alias("input_hash"), (F.col("price") > 20).alias("ok"))).select("scope", "request_id", "ms", "source")
 
 
 @query("t14_rate_limit", f"WITH {TRADES}, {ALERTS} SELECT symbol AS scope, ms, coalesce(ms - lag(ms) OVER (PARTITION BY symbol ORDER BY ms) >= 30000, true) AS allowed FROM (SELECT DISTINCT symbol, ms FROM alerts)")

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that the operators assume: UTC days, adaptive plans with skew splitting.
 SETTINGS = {
@@ -43,6 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, for what a query uses more than once."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Make a session ready for the operators.
 
