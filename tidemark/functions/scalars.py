@@ -43,6 +43,11 @@ def compact_or_na(v: Column) -> Column:
     return F.when(v.isNull(), "N/A").otherwise(F.coalesce(*[F.when(a >= k, F.format_string(f"%.2f{s}", v / k)) for k, s in steps], F.format_string("%.2f", v.cast("double"))))
 
 
+def bubble_radius(notional: Column) -> Column:
+    """Radius of a trade's bubble on the heatmap, 3 to 15."""
+    return F.least(F.lit(15.0), F.greatest(F.lit(3.0), F.sqrt(notional) / 100))
+
+
 def clock(seconds: Column) -> Column:
     """MM:SS."""
     s = F.floor(seconds)

@@ -50,17 +50,25 @@ def tail(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def sync_counters(verdicts: DataFrame) -> DataFrame:
-    """Per symbol: messages, gaps, duplicates, messages out of order, rebuilt books."""
+def sync_counters(verdicts: DataFrame, health: DataFrame | None = None) -> DataFrame:
+    """Per symbol: messages, gaps, duplicates, messages out of order, rebuilt books.
+
+    With ``health`` (symbol, ms, kind, value) also ``reconnects``, the rows of
+    kind RECONNECT, and ``queue_depth``, the value of the last QUEUE row.
+    """
     is_ = lambda v: F.count_if(F.col("verdict") == v)
-    return verdicts.groupBy("symbol").agg(F.count("*").alias("messages"), is_("GAP").alias("gaps"), is_("DUPLICATE").alias("duplicates"), is_("OUT_OF_ORDER").alias("out_of_order"), F.max("epoch").alias("resyncs"))
+    out = verdicts.groupBy("symbol").agg(F.count("*").alias("messages"), is_("GAP").alias("gaps"), is_("DUPLICATE").alias("duplicates"), is_("OUT_OF_ORDER").alias("out_of_order"), F.max("epoch").alias("resyncs"))
+    if health is None:
+        return out
+    more = health.groupBy("symbol").agg(F.count_if(F.col("kind") == "RECONNECT").alias("reconnects"), F.max(F.when(F.col("kind") == "QUEUE", F.struct("ms", "value"))).getField("value").alias("queue_depth"))
+    return out.join(more, "symbol", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("reconnects", "queue_depth")})
 
 
-def global_status(states: DataFrame) -> DataFrame:
-    """One row from (symbol, book_state, warming): a gap outranks a resync, that a full sync."""
+def global_status(states: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each ``by``) from (symbol, book_state, warming): a gap outranks a resync, that a full sync; windows warm up beside it."""
     s = F.col("book_state")
-    flags = states.agg(F.bool_or(s == "GAP").alias("gap"), F.bool_or(s == "RESYNCING").alias("resync"), F.bool_and(s == "HEALTHY").alias("synced"), F.bool_or("warming").alias("warming"))
-    return flags.withColumn("status", F.when(F.col("gap"), "SEQUENCE_GAP").when(F.col("resync"), "RESYNCING").when(F.col("synced"), "SYNCED").otherwise("INITIALISING"))
+    flags = states.groupBy(*by).agg(F.bool_or(s == "GAP").alias("gap"), F.bool_or(s == "RESYNCING").alias("resync"), F.bool_and(s == "HEALTHY").alias("synced"), F.bool_or("warming").alias("warming"))
+    return flags.withColumn("status", F.when(F.col("gap"), "SEQUENCE_GAP").when(F.col("resync"), "RESYNCING").when(F.col("synced"), "SYNCED").otherwise("INITIALISING")).withColumn("window_status", F.when(F.col("warming"), "WARMING").otherwise("VALID"))
 
 
 def context_status(contexts: DataFrame) -> DataFrame:

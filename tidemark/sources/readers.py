@@ -23,6 +23,30 @@ BIAS_SIGNALS = (
 )
 
 
+#: REST tables of the market context: fields, and how often they are fetched.
+REST_TABLES = {
+    "mark_prices": ("symbol string, markPrice string, indexPrice string, lastFundingRate string, time long", 30_000),
+    "book_tickers": ("symbol string, bidPrice string, bidQty string, askPrice string, askQty string, time long", 30_000),
+    "depth_snapshots": ("symbol string, lastUpdateId long, bids array<array<string>>, asks array<array<string>>, time long", 30_000),
+    "open_interest": ("symbol string, openInterest string, time long", 60_000),
+    "klines": ("symbol string, interval string, openTime long, open string, high string, low string, close string, volume string, closeTime long", 60_000),
+}
+
+
+def rest_table(spark: SparkSession, path: str, name: str, streaming: bool = False) -> DataFrame:
+    """A REST table from landed JSON lines, with numbers parsed (null where malformed)."""
+    reader = (spark.readStream if streaming else spark.read).schema(REST_TABLES[name][0]).option("mode", "DROPMALFORMED")
+    rows = reader.json(path).where("symbol is not null").withColumn("symbol", F.lower("symbol"))
+    number = [f.name for f in rows.schema if f.dataType.simpleString() == "string" and f.name not in ("symbol", "interval")]
+    return rows.withColumns({c: F.col(c).try_cast("double") for c in number})
+
+
+def due(rows: DataFrame, name: str, at: str = "time") -> DataFrame:
+    """The last row of each symbol in each fetch of the table's cadence."""
+    own = F.floor(F.col(at) / REST_TABLES[name][1])
+    return rows.groupBy("symbol", own.alias("fetch")).agg(F.max_by(F.struct(*[c for c in rows.columns if c != "symbol"]), at).alias("x")).select("symbol", "fetch", "x.*")
+
+
 def stream_symbol(stream: Column) -> Column:
     return F.lower(F.split_part(stream, F.lit("@"), F.lit(1)))
 

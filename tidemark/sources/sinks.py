@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.readers import FLOW_EVENTS
+from tidemark.sources.readers import BIAS_SIGNALS, FLOW_EVENTS
 
 TIME = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
@@ -26,6 +26,63 @@ def flow_event_rows(events: DataFrame) -> DataFrame:
     return events.select(*out)
 
 
+#: Columns of the logs, in their order.
+TRANSITIONS = ("timestamp", "symbol", "old_action", "new_action", "price", "latest_event", "suppression_reason", "reason")
+CONTEXT_LOG = (
+    "timestamp", "symbol", "mark_price", "index_price", "mark_premium_pct", "funding_rate_pct", "open_interest", "trend_1m", "trend_5m", "trend_15m",
+    "orderbook_snapshot_imbalance", "context_quality", "context_confirm", "warnings_json",
+)
+PERFORMANCE = ("timestamp", "signal_type", "price", "reason")
+PERFORMANCE_PARTS = ("mfe_pct", "mae_pct", "pnl_pct", "win")
+
+
+def laid_out(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``rows`` in a log's columns, as text; what the rows lack is empty."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")
+    return rows.select(*[text(c).alias(c) for c in columns])
+
+
+def _iso(ms: Column) -> Column:
+    return F.date_format(F.timestamp_millis(ms), TIME)
+
+
+def transition_rows(changes: DataFrame) -> DataFrame:
+    """Transitions (symbol, ms, old_action, committed, price, reason) as log lines; a suppressed side stands in its own column."""
+    held = F.when(F.col("reason").contains("SUPPRESSED"), F.col("reason"))
+    return laid_out(changes.withColumns({"timestamp": _iso(F.col("ms")), "new_action": F.col("committed"), "suppression_reason": held}), TRANSITIONS)
+
+
+def signal_rows(outcomes: DataFrame, horizon: str = "15m") -> DataFrame:
+    """Finished signals (signal_id, symbol, ms, action, direction, price, after_*, best, worst and final of ``horizon``) as log lines."""
+    names = {
+        "entry_time": _iso(F.col("ms")), "entry_price": F.col("price"), "price_after_1m": F.col("after_1m"), "price_after_5m": F.col("after_5m"), "price_after_15m": F.col("after_15m"),
+        "max_favorable_pct": F.col(f"best_{horizon}"), "max_adverse_pct": F.col(f"worst_{horizon}"), "final_return_pct": F.col(f"final_{horizon}"),
+    }
+    return laid_out(outcomes.withColumns(names), tuple(x.split()[0] for x in BIAS_SIGNALS.split(", ")))
+
+
+def context_rows(contexts: DataFrame) -> DataFrame:
+    """Market contexts (ms, symbol, mark, index, ..., warnings) as log lines; warnings become JSON."""
+    names = {
+        "timestamp": _iso(F.col("ms")), "mark_price": F.col("mark"), "index_price": F.col("index"), "mark_premium_pct": F.col("premium_pct"), "funding_rate_pct": F.col("funding_pct"),
+        "orderbook_snapshot_imbalance": F.col("rest_imbalance"), "context_quality": F.col("quality"), "context_confirm": F.col("label"), "warnings_json": F.to_json("warnings"),
+    }
+    return laid_out(contexts.withColumns(names), CONTEXT_LOG)
+
+
+def performance_rows(outcomes: DataFrame, horizons: tuple[str, ...] = ("5m", "15m", "1h")) -> DataFrame:
+    """Outcomes (ms, action, price, best, worst, final and win by horizon) as report lines."""
+    names = {"timestamp": _iso(F.col("ms")), "signal_type": F.col("action")}
+    parts = dict(zip(PERFORMANCE_PARTS, ("best", "worst", "final", "win"), strict=True))
+    names |= {f"{h}_{p}": F.col(f"{c}_{h}") for h in horizons for p, c in parts.items()}
+    return laid_out(outcomes.withColumns(names), (*PERFORMANCE, *(f"{h}_{p}" for h in horizons for p in PERFORMANCE_PARTS)))
+
+
+def missing_columns(expected: Column, found: Column) -> Column:
+    """The columns of a header that a file lacks, in their order."""
+    return F.array_except(expected, found)
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
