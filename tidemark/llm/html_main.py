@@ -317,8 +317,8 @@ def templates(found: DataFrame, sizes: DataFrame, cfg: TemplateConfig) -> DataFr
 def extract(pages: DataFrame, cfg: TemplateConfig | None = None, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``pages`` (all unless given) with ``_text``, the main text ("" if none).
 
-    ``_n_templates`` counts a page's subtrees that are templates, those that
-    structure leaves out anyhow too; ``_n_lost`` the blocks that only they took.
+    ``_n_lost`` counts the blocks that templates took, beyond what structure
+    leaves out anyhow.
 
     A null html is empty. A page without a host (null or malformed url) has no
     site template; structure alone decides there. Whole pages are read, and
@@ -334,15 +334,15 @@ def extract(pages: DataFrame, cfg: TemplateConfig | None = None, columns: list[s
     known = materialise(templates(found, sizes, cfg), base, "templates")
     limit = found.count() / cfg.hot_subtrees
     hot = known.where(F.col("n") > limit).select("host", "hash")
-    hits = hot_join(found, known.select("host", "hash"), hot, ["host", "hash"])
+    hits = hot_join(found.where("a < b"), known.select("host", "hash"), hot, ["host", "hash"])
     gone = materialise(hits.groupBy("_key").agg(F.collect_list(F.struct("a", "b")).alias("_gone")), base, "gone")
     out = rows.join(F.broadcast(gone) if gone.count() <= cfg.broadcast_pages else gone, "_key", "left")
     kept = F.when(F.col("_gone").isNull(), F.col("_blocks")).otherwise(F.filter("_blocks", lambda x, i: ~F.exists("_gone", lambda g: (g["a"] <= i) & (i < g["b"]))))
     out = out.withColumn("_kept", kept)
-    return out.select("_row.*", F.array_join("_kept", "\n").alias("_text"), F.coalesce(F.size("_gone"), F.lit(0)).alias("_n_templates"), (F.size("_blocks") - F.size("_kept")).alias("_n_lost"))
+    return out.select("_row.*", F.array_join("_kept", "\n").alias("_text"), (F.size("_blocks") - F.size("_kept")).alias("_n_lost"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     """The main text of every row of ``pages``."""
     out = extract(table(spark, sf_dir, "pages"), columns=["page_id", "url"])
-    return out.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"), F.col("_n_templates").cast("long").alias("n_templates"), F.col("_n_lost").cast("long").alias("n_template_blocks"))
+    return out.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"), F.col("_n_lost").cast("long").alias("n_template_blocks"))

@@ -8,10 +8,11 @@
 3. Candidates whose union sketch estimates too small a similarity go; the rest
    is verified on full shingle sets: first one candidate per class, then only
    pairs that the links so far leave in different components.
-4. Classes with at least half of their sketch on long lists are tied to one
-   member of each list, the one with the fewest values of its own. After the
-   first components, each list with members outside its largest one gets a
-   second such member from among them, to which all others are tied. Classes
+4. Classes with at least ``least_estimate`` of their sketch on long lists are
+   tied to one member of the lists of their lowest such values, the member with
+   the fewest values of its own. After the first components, each list with
+   members outside its largest one gets a second such member from among them,
+   to which all others are tied. This only saves work for step 5. Classes
    that lack the same lowest values of the sketch they are tied to (copies cut
    in the same place) are tied to the shortest of them.
 5. What long lists still leave in different components goes through a prefix
@@ -44,6 +45,8 @@ class SketchConfig:
     shingle: int = 5
     percent: int = 75
     hot: int = 32
+    #: Lowest long lists of a class by which step 4 ties it.
+    ties: int = 8
     #: Pairs whose union sketch estimates less are dropped (0.75 has a 1e-7 chance of it at k = 64).
     least_estimate: float = 0.45
     #: Tables of at most so many ids (24 bytes each) are broadcast, larger ones joined by shuffle.
@@ -268,7 +271,8 @@ def _judged(docs: DataFrame, cfg: SketchConfig) -> DataFrame:
         lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.greatest(x["n"], y["n"]).alias("n")))))).alias("p"))
     pairs = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("ov"), F.max("p.n").alias("n"))
     hot = shared.where(F.col("df") > cfg.hot)
-    heat = materialise(hot.groupBy("node").agg(F.count("*").alias("n_hot"), F.max("n").alias("size")), base, "heat")
+    heat = hot.groupBy("node").agg(F.count("*").alias("n_hot"), F.max("n").alias("size"), F.slice(F.array_sort(F.collect_list("value")), 1, cfg.ties).alias("low"))
+    heat = materialise(heat, base, "heat")
     # A pair shares its short lists and at most all long lists of the one with fewer: less than the estimate asks for can go unseen.
     ha, hb = heat.select(F.col("node").alias("a"), F.col("n_hot").alias("ha")), heat.select(F.col("node").alias("b"), F.col("n_hot").alias("hb"))
     most = F.col("ov") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
@@ -276,9 +280,10 @@ def _judged(docs: DataFrame, cfg: SketchConfig) -> DataFrame:
     pairs = materialise(_estimated(pairs.select("a", "b", "ov", "n"), reps, cfg), base, "pairs")
 
     # Others can't have the estimate asked for by long lists alone.
-    own = heat.withColumn("share", F.col("n_hot") / F.least(F.col("size"), F.lit(cfg.k))).where(F.col("share") >= cfg.least_estimate).select("node", "share")
-    bound = materialise(hot.join(own, "node").select("value", "node", "share"), base, "hot")
-    alone = bound.withColumn("comp", F.col("node"))
+    own = heat.withColumn("share", F.col("n_hot") / F.least(F.col("size"), F.lit(cfg.k))).where(F.col("share") >= cfg.least_estimate)
+    bound = materialise(hot.join(own.select("node"), "node").select("value", "node"), base, "hot")
+    low = own.select(F.explode("low").alias("value"), "node", "share")
+    alone = low.withColumn("comp", F.col("node"))
     tied = materialise(_estimated(_ties(alone, alone), reps, cfg, lacking=True), base, "tied")
 
     # first one candidate per class (the likeliest), then what is still apart
@@ -296,7 +301,7 @@ def _judged(docs: DataFrame, cfg: SketchConfig) -> DataFrame:
     rest = _apart(pairs.select("a", "b"), labels)
 
     # long lists: the members in other components than a list's second pivot are tied to it
-    marked = bound.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    marked = low.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     marked = materialise(marked, base, "hot-marked")
     largest = marked.groupBy("value", "comp").agg(F.count("*").alias("c")).groupBy("value").agg(F.max(F.struct("c", "comp")).getField("comp").alias("big"))
     held = _ties(marked, marked.join(largest, "value").where("comp <> big")).select("a", "b")
