@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 
 import __spark_entry__
 from pyspark.sql import Row
@@ -93,3 +95,72 @@ def test_queries_against_brute_force(spark, sf_dir):
         assert {r.doc_id for r in rows} == set(docs)
         for r in rows:
             assert r.base_sha256 == brute.sha(brute.joined(base(docs[r.doc_id])))
+
+
+def plain_battery(run: str):
+    """(encoding, length, p) of a run by the textbook forms of the tests; None where no encoding fits."""
+    body = run.rstrip("=")
+    hit = next(((n, a) for n, rx, a in secrets.ENCODINGS if re.match(rx, body)), None)
+    if not hit or len(body) < 20:
+        return None
+    (name, alphabet), n = hit, len(body)
+    codes, width = [hit[1].index(c) for c in body], len(hit[1])
+    # chi-squared over eight ranges of the alphabet, by Wilson and Hilferty's cube root
+    chi = 0.0
+    for b in range(8):
+        due = n * sum(c * 8 // width == b for c in range(width)) / width
+        chi += (sum(c * 8 // width == b for c in codes) - due) ** 2 / due
+    z = ((chi / 7) ** (1 / 3) - (1 - 2 / 63)) / math.sqrt(2 / 63)
+    ps = [math.erfc(z / math.sqrt(2)) / 2]
+    # runs of the upper half
+    high = [2 * c >= width for c in codes]
+    ones, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))  # noqa: B905
+    mean = 2 * ones * (n - ones) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    ps.append(math.erfc(abs(runs - mean) / math.sqrt(2 * var)) if var > 0 else 1e-12)
+    # serial correlation
+    avg = sum(codes) / n
+    dev = [c - avg for c in codes]
+    square = sum(x * x for x in dev)
+    ps.append(math.erfc(abs(sum(x * y for x, y in zip(dev, dev[1:])) / square * n + 1) / math.sqrt(2 * n)) if square else 1e-12)  # noqa: B905
+    half = -sum(math.log(max(p, 1e-300)) for p in ps)
+    return name, n, math.exp(-half) * (1 + half + half * half / 2)
+
+
+def test_random_spans_against_a_plain_battery(spark):
+    rng = random.Random(12)
+    letters = {n: a for n, _, a in secrets.ENCODINGS}
+    make = lambda: "".join(rng.choice(letters[rng.choice(("base62", "base64", "base36"))]) for _ in range(rng.randint(18, 70)))
+    dull = lambda: "".join(rng.choice(("ab1", "zz9", "aa0", "a1")) for _ in range(rng.randint(8, 20)))
+    parts = [lambda: "plain words here", make, dull, lambda: "token=" + make(), lambda: "é" + make() + "日", lambda: "12345678901234567890123", lambda: make() + "==", lambda: "x\x01" + make()]
+    texts = [" ".join(rng.choice(parts)() for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scan = {r.doc_id: r for r in secrets.scanned(docs, ["doc_id"]).collect()}
+    cuts = secrets.thresholds(secrets.scanned(docs, ["doc_id"]))
+    out = {r.doc_id: r._secrets for r in secrets.find_secrets(docs).collect()}
+    seen = kept = 0
+    for k, text in enumerate(texts):
+        base = [(a, b) for a, _, b, _ in brute.secret_base(text)]
+        want = {}
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            a, b = m.span()
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and all(y <= a or b <= x for x, y in base) and plain_battery(m[0]):
+                want[a, b] = plain_battery(m[0])
+        got = {(r.start, r.end): r for r in scan[k]._runs}
+        assert set(got) == set(want)
+        for span, (name, n, p) in want.items():
+            low = max(x for x in secrets.LENGTHS if x <= n)
+            assert got[span].stratum == f"{name}:{low}" and abs(got[span].p - p) < 1e-5 + 1e-3 * p
+            cut = max(secrets.LEAST_P, cuts.get(got[span].stratum, 0.0))
+            if abs(p - cut) > 0.01 * cut:
+                shown = any((s.kind, s.start, s.end) == ("random", *span) for s in out[k])
+                assert shown == (p > cut)
+                seen, kept = seen + 1, kept + shown
+    assert seen > 200 and 0.2 * seen < kept < 0.9 * seen
+
+
+def test_thousands_of_secrets_in_one_text(spark):
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(5000))
+    r = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(s.start, s.end) for s in r._secrets] == [(k * 33, k * 33 + 32) for k in range(5000)]

@@ -22,7 +22,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 #: Only maximal runs: what a lookbehind skips cannot begin a leftmost match.
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex", "random")
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Stands for the characters of base spans where runs are looked for; in a run it shows that the two overlap.
+MASK = "\x01"
+RUN = r"(?<![A-Za-z0-9+/_=\x01-])[A-Za-z0-9+/_=\x01-]{20,}+"
 #: Encodings from the narrowest: name, what their runs consist of, alphabet in order.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
@@ -41,30 +43,67 @@ BINS, LOG_BINS = 8, 400
 RATE, LEAST_P = 0.05, 0.002
 
 
-def spans_of(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
-    """Array of (kind, start, end, value) of the pattern's matches whose ``group`` has ``least`` characters.
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
 
-    Spark gives the matches and the pieces between them; adding up their
-    lengths gives the positions, in code points.
+def matches(text: Column, pattern: str, body) -> Column:
+    """``body`` of the pattern's matches, an array of (gap, hit): what lies before each match, and the match, and of what follows the last.
+
+    The pattern runs over the text once to find the matches and, only where
+    there are any, once more to cut out the gaps. Null without a match.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pieces = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("gap"), found.alias("hit"), value.alias("value"))
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
 
-    def step(s, x):
-        start = s["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        one = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value")))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(s["out"], one)).otherwise(s["out"]).alias("out"))
+    def paired(found):
+        return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), lambda cut: body(F.arrays_zip(F.slice(cut, F.lit(1), F.size(found)).alias("gap"), found.alias("hit")), F.element_at(cut, -1))))
 
-    spans = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(text.rlike(pattern), spans).otherwise(empty)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), paired)
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once however often the body names it."""
-    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+#: Matches whose positions are added up in one go; goes of goes keep long lists from being copied at each step.
+CHUNK = 64
+SPAN = "struct<start:int,end:int,value:string>"
+
+
+def placed(pieces: Column) -> Column:
+    """Array of (start, end, value) in code points, from (gap, hit) pieces by adding up lengths."""
+
+    def within(chunk):  # base, items
+        def step(s, x):
+            start = s["at"] + F.length(x["gap"])
+            end = start + F.length(x["hit"])
+            return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))).alias("out"))
+
+        return F.aggregate(chunk["items"], F.struct(chunk["base"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), step)["out"]
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / CHUNK).cast("int")), lambda k: F.slice(pieces, k * CHUNK + 1, F.lit(CHUNK)))
+    sized = F.transform(chunks, lambda p: F.struct(p.alias("items"), F.aggregate(p, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["hit"])).alias("size")))
+
+    def based(p):
+        ends = F.aggregate(F.transform(p, lambda x: x["size"]), F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+        return let(ends, lambda e: F.transform(p, lambda x, i: F.struct(F.get(e, i).alias("base"), x["items"].alias("items"))))
+
+    return F.flatten(F.transform(let(sized, based), within))
+
+
+def _long_enough(hit: Column, pattern: str, group: int, least: int) -> Column:
+    return F.length(F.regexp_extract(hit, pattern, group)) >= least if least else F.lit(True)
+
+
+def spans_of(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
+    """Array of (start, end, value) of the pattern's matches whose ``group`` has ``least`` characters; null without a match."""
+    return matches(text, pattern, lambda pieces, _: F.filter(placed(pieces), lambda x: _long_enough(x["value"], pattern, group, least)))
+
+
+def covered(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
+    """``text`` with as many ``MASK`` characters in place of each match that :func:`spans_of` reports."""
+
+    def body(pieces, tail):
+        hidden = lambda x: F.when(_long_enough(x["hit"], pattern, group, least), F.repeat(F.lit(MASK), F.length(x["hit"]))).otherwise(x["hit"])
+        return F.concat(F.array_join(F.transform(pieces, lambda x: F.concat(x["gap"], hidden(x))), ""), tail)
+
+    return F.coalesce(matches(text, pattern, body), text)
 
 
 def total(values: Column) -> Column:
@@ -151,19 +190,30 @@ RUNS = "array<struct<start:int,end:int,stratum:string,p:double>>"
 
 
 def scanned(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` with ``_base`` (spans) and ``_runs`` (start, end, stratum, p) of runs outside them."""
+    """``columns`` of ``docs`` with ``_base`` (spans) and ``_runs`` (start, end, stratum, p) of runs outside them.
+
+    Where there are base spans they are masked before runs are looked for: a
+    run that overlaps one shows the mask, so none is held against a list of
+    spans. (Of two base spans that overlap, what the second one's mask misses
+    adjoins the first one's.)
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = F.concat(spans_of(text, ASSIGN, "assign", 2, 6), spans_of(text, ACCESS, "access"), spans_of(text, HEX, "hex"))
-    out = docs.select(*columns, base.alias("_base"), spans_of(text, RUN, "random").alias("_cand"))
-    # Letters and digits must be mixed: a word or a plain number is no secret.
-    mixed = F.filter("_cand", lambda c: c["value"].rlike("[0-9]") & c["value"].rlike("[A-Za-z]"))
-    free = let(F.struct(mixed.alias("m"), F.col("_base").alias("b")), lambda x: F.filter(x["m"], lambda c: ~F.exists(x["b"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
+    empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    rules = {"assign": (ASSIGN, 2, 6), "access": (ACCESS,), "hex": (HEX,)}
+
+    def named(kind):
+        return F.coalesce(F.transform(spans_of(text, *rules[kind]), lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))), empty)
 
     def measured(c):
         return let(battery(c["value"]), lambda m: F.struct(c["start"].alias("start"), c["end"].alias("end"), _stratum(m["encoding"], m["n"]).alias("stratum"), m["p"].alias("p")))
 
-    runs = F.filter(F.transform(free, measured), lambda r: r["p"].isNotNull())
-    return out.select(*columns, "_base", F.when(F.size("_cand") > 0, runs).otherwise(F.array().cast(RUNS)).alias("_runs"))
+    # Letters and digits must be mixed: a word or a plain number is no secret.
+    free = lambda c: c["value"].rlike("[0-9]") & c["value"].rlike("[A-Za-z]") & ~F.contains(c["value"], F.lit(MASK))
+    runs = lambda t: F.filter(F.transform(F.filter(spans_of(t, RUN), free), measured), lambda r: r["p"].isNotNull())
+    out = docs.select(*columns, text.alias("_text"), F.concat(*[named(k) for k in rules]).alias("_base"))
+    own = F.translate("_text", MASK, " ")
+    masked = F.when(F.size("_base") == 0, own).otherwise(let(let(covered(own, *rules["assign"]), lambda t: covered(t, *rules["access"])), lambda t: covered(t, *rules["hex"])))
+    return out.select(*columns, "_base", F.coalesce(let(masked, runs), F.array().cast(RUNS)).alias("_runs"))
 
 
 def thresholds(marked: DataFrame, rate: float = RATE) -> dict[str, float]:
@@ -196,10 +246,10 @@ def find_secrets(docs: DataFrame, rate: float = RATE, least_p: float = LEAST_P,
     before the rates are counted over all documents. A null text has no spans.
     Base spans (assign, access, hex) always stay, random ones lie outside
     them. Other columns stay as they are, whatever their names, but for
-    ``into``, ``_base``, ``_cand`` and ``_runs``; repeated rows stay repeated;
+    ``into``, ``_base``, ``_text`` and ``_runs``; repeated rows stay repeated;
     an empty table gives an empty table.
     """
-    own = {into, "_base", "_cand", "_runs"}
+    own = {into, "_base", "_text", "_runs"}
     columns = [c for c in columns or docs.columns if c not in own]
     marked = materialise(scanned(docs, columns), shared_dir(docs.sparkSession), "scanned")
     cuts = thresholds(marked, rate)
