@@ -8,7 +8,7 @@ so postings never cross the network, and it serves any number of test sets.
 A search reads the stored blocks. A test window starts from the postings of
 its rarest term in the block, shifted to the window's start, and goes on
 intersecting with the shifted lists of its next rarest terms. Only the test
-set travels, in blocks of bounded size.
+set travels, one block of bounded size at a time.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import ALNUM, materialise, shared_dir, table
 
 WINDOW = 10
-#: Test words in one block, which a task holds; larger test sets take several passes.
+#: Test words in one block, which a task holds (some 40 bytes each); larger test sets take several passes.
 BLOCK_WORDS = 2_000_000
 #: Words of training text in one block of the index, which bounds a task's memory.
 INDEX_WORDS = 1_000_000
@@ -89,99 +89,127 @@ def build_index(docs: DataFrame, base: str, *, block_words: int = INDEX_WORDS) -
 
 
 class TestWindows:
-    """The windows of one block of test items as term numbers, grouped by length."""
+    """The windows of one block of test items: term numbers in a row, and by length where windows start and whose they are.
+
+    Equal windows are kept once. ``groups`` has (length, starts, first, owners):
+    the items of window w are ``owners[first[w] : first[w + 1]]``.
+    """
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         number: dict[bytes, int] = {}
         item_number: dict[str, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set[int]]] = {}
+        codes, ends, whose, held = [], [], [], 0
         for item, text in items:
-            ids = [number.setdefault(w, len(number)) for w in text.translate(ALNUM).split()]
-            if not ids:
-                continue
-            k = item_number.setdefault(item, len(item_number))
-            size = min(window, len(ids))
-            for i in range(len(ids) - size + 1):
-                by_length.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), set()).add(k)
+            words = text.translate(ALNUM).split()
+            if words:
+                codes.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+                held += len(words)
+                ends.append(held)
+                whose.append(item_number.setdefault(item, len(item_number)))
         self.items = list(item_number)
         self.terms = np.fromiter(map(term_hash, number), np.int64, len(number))
-        self.groups = [
-            (size, np.array(list(windows), np.int32).reshape(len(windows), size), [sorted(x) for x in windows.values()])
-            for size, windows in sorted(by_length.items())
-        ]
-
-
-def occurrences(code: np.ndarray, positions: np.ndarray, begin: np.ndarray, df: np.ndarray, windows: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of each occurrence, by intersecting shifted lists from the rarest term on.
-
-    ``begin`` and ``df`` say where in ``positions`` the list of each test term
-    lies; ``code`` has the test term at each position (-1: another word), which
-    answers whether a shifted position is in a term's list. With ``slop`` every
-    term may stand up to that many words from its place (proximity); 0 asks for
-    the exact phrase.
+        self.codes = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+        ends, whose = np.array(ends, np.int64), np.array(whose, np.int32)
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+        sizes = np.minimum(window, ends - begins)
+        self.groups = []
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            n = ends[own] - begins[own] - size + 1
+            starts = np.repeat(begins[own], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            owner = np.repeat(whose[own], n)
+            order = np.lexsort((owner, *(self.codes[starts + k] for k in range(size - 1, -1, -1))))
+            starts, owner = starts[order], owner[order]
+            new = np.ones(len(starts), bool)  # a window unlike the one before
+            new[1:] = False
+            for k in range(size):
+                new[1:] |= self.codes[starts[1:] + k] != self.codes[starts[:-1] + k]
+            other = new.copy()  # and an item unlike the one before
+            other[1:] |= owner[1:] != owner[:-1]
+            count = np.bincount(np.cumsum(new)[other] - 1, minlength=int(new.sum()))
+            self.groups.append((size, starts[new].astype(np.int32), np.concatenate([[0], np.cumsum(count)]).astype(np.int32), owner[other]))
+
+
+class Lists:
+    """The shifted lists of the test terms in one stored block, as one sorted array of (term, position)."""
+
+    def __init__(self, df: np.ndarray, positions: np.ndarray, length: int):
+        self.df, self.positions, self.length = df, positions, length
+        self.begin = np.cumsum(df) - df
+        self.keys = np.repeat(np.arange(len(df), dtype=np.int64) * length, df) + positions
+
+    def have(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether a term's list has a position from ``low`` to ``high``."""
+        base = term.astype(np.int64) * self.length
+        at = np.searchsorted(self.keys, base + np.maximum(low, 0))
+        found = self.keys[np.minimum(at, len(self.keys) - 1)]
+        return (at < len(self.keys)) & (found <= base + np.minimum(high, self.length - 1))
+
+
+def occurrences(lists: Lists, codes: np.ndarray, starts: np.ndarray, size: int, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(window, start) of each occurrence of the windows of ``size`` terms that begin at ``starts`` in ``codes``.
+
+    A window begins with the list of its rarest term, shifted to the window's
+    start, and is intersected with the shifted lists of its other terms from
+    the next rarest on. With ``slop`` every term may stand up to that many
+    words from its place (proximity); 0 asks for the exact phrase.
     """
-    size = windows.shape[1]
-    counts = df[windows]
-    rank = np.argsort(counts, axis=1, kind="stable")  # offsets by rarity
-    live = np.flatnonzero(counts.min(1) > 0) if len(windows) else np.zeros(0, np.int64)
-    seed = rank[live, 0]
-    term = windows[live, seed]
-    n = df[term].astype(np.int64)
-    which = np.repeat(live, n)
+    none = np.concatenate([[0], np.cumsum(lists.df[codes] == 0)])  # terms without a list, up to each place
+    live = np.flatnonzero(none[starts.astype(np.int64) + size] == none[starts])
+    windows = codes[starts[live, None].astype(np.int64) + np.arange(size)]
+    rank = np.argsort(lists.df[windows], axis=1, kind="stable")  # offsets by rarity
+    seed = rank[:, 0]
+    term = windows[np.arange(len(live)), seed]
+    n = lists.df[term]
+    row = np.repeat(np.arange(len(live)), n)
     step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    start = positions[np.repeat(begin[term].astype(np.int64), n) + step].astype(np.int64) - np.repeat(seed, n)
+    start = lists.positions[np.repeat(lists.begin[term], n) + step].astype(np.int64) - np.repeat(seed, n)
     if slop:
         shift = np.arange(-slop, slop + 1)
-        which, start = np.repeat(which, len(shift)), (start[:, None] + shift[None, :]).ravel()
-    keep = (start >= 0) & (start + size <= len(code))
-    which, start = which[keep], start[keep]
+        row, start = np.repeat(row, len(shift)), (start[:, None] + shift[None, :]).ravel()
+    keep = (start >= 0) & (start + size <= lists.length)
+    row, start = row[keep], start[keep]
     for k in range(0 if slop else 1, size):
-        if not len(which):
+        if not len(row):
             break
-        offset = rank[which, k]
-        wanted, place = windows[which, offset], start + offset
-        ok = code[place] == wanted
-        for d in range(1, slop + 1):
-            ok |= (code[np.minimum(place + d, len(code) - 1)] == wanted) | (code[np.maximum(place - d, 0)] == wanted)
-        which, start = which[ok], start[ok]
+        offset = rank[row, k]
+        place = start + offset
+        ok = lists.have(windows[row, offset], place - slop, place + slop)
+        row, start = row[ok], start[ok]
     if slop:
-        both = np.unique(np.stack([which, start]), axis=1)
-        which, start = both[0], both[1]
-    return which, start
+        row, start = np.unique(np.stack([row, start]), axis=1)
+    return live[row], start
 
 
 def _search_block(row: dict, tests: TestWindows, slop: int):
     """For each document of a stored block its words hit, as flat (start, end) pairs, and the items found."""
-    terms, first = row["terms"], row["first"]
-    positions = row["positions"]
+    terms, first, positions = row["terms"], row["first"], row["positions"]
     at = np.minimum(np.searchsorted(terms, tests.terms), max(0, len(terms) - 1))
     known = terms[at] == tests.terms if len(terms) else np.zeros(len(tests.terms), bool)
-    begin = np.where(known, first[at], 0) if len(terms) else np.zeros(len(tests.terms), np.int64)
-    df = np.where(known, first[at + 1] - first[at], 0) if len(terms) else np.zeros(len(tests.terms), np.int64)
+    begin = np.where(known, first[at], 0).astype(np.int64) if len(terms) else np.zeros(len(tests.terms), np.int64)
+    df = np.where(known, first[at + 1] - first[at], 0).astype(np.int64) if len(terms) else np.zeros(len(tests.terms), np.int64)
     # positions of the whole block with a gap of the slop's width after each document
     ends = row["ends"].astype(np.int64)
     starts = np.concatenate([[0], ends[:-1]])
     pad = slop + 1
-    moved = positions + pad * np.searchsorted(ends, positions, side="right")
-    code = np.full(int(ends[-1]) + pad * len(ends), -1, np.int32)
-    listed = np.repeat(np.arange(len(tests.terms), dtype=np.int32), df)
     inside = np.repeat(begin, df) + np.arange(int(df.sum())) - np.repeat(np.cumsum(df) - df, df)
-    code[moved[inside]] = listed
+    listed = positions[inside].astype(np.int64)
+    lists = Lists(df, listed + pad * np.searchsorted(ends, listed, side="right"), int(ends[-1]) + pad * len(ends))
     new_starts = starts + pad * np.arange(len(ends))
     new_ends = ends + pad * np.arange(len(ends))
-    hit = np.zeros(len(code) + 1, np.int32)
+    hit = np.zeros(lists.length + 1, np.int32)
     found: dict[int, set[int]] = {}
-    for size, windows, owners in tests.groups:
-        which, start = occurrences(code, moved, begin, df, windows, slop)
+    for size, window_starts, owner_first, owners in tests.groups:
+        which, start = occurrences(lists, tests.codes, window_starts, size, slop)
         doc = np.searchsorted(new_ends, start, side="right")
         ok = start + size <= new_ends[np.minimum(doc, len(ends) - 1)]
         which, start, doc = which[ok], start[ok], doc[ok]
         np.add.at(hit, start, 1)
         np.add.at(hit, start + size, -1)
         for w, d in set(zip(which.tolist(), doc.tolist(), strict=True)):
-            found.setdefault(d, set()).update(owners[w])
+            found.setdefault(d, set()).update(owners[owner_first[w] : owner_first[w + 1]].tolist())
     covered = np.cumsum(hit[:-1]) > 0
     for d in range(len(ends)):
         spans: list[int] = []
@@ -231,10 +259,15 @@ def search_index(index: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     rows stay repeated.
     """
     spark = index.sparkSession
-    parts = [_searched(index, spark.sparkContext.broadcast(TestWindows(block, window)), slop) for block in _blocks(benchmark, block_words)]
-    out = parts[0]
-    if len(parts) > 1:  # spans of several blocks of tests overlap: join them
-        for p in parts[1:]:
+    base, parts, last = shared_dir(spark), [], None
+    for block in _blocks(benchmark, block_words):
+        if last is not None:  # one block of tests at a time: what came before is written, and its broadcast goes
+            parts.append(materialise(_searched(index, last, slop), base, f"found-{len(parts)}"))
+            last.unpersist()
+        last = spark.sparkContext.broadcast(TestWindows(block, window))
+    out = _searched(index, last, slop)
+    if parts:  # spans of several blocks of tests overlap: join them
+        for p in parts:
             out = out.unionByName(p)
         out = out.groupBy("block", "at").agg(
             F.first("doc_id").alias("doc_id"), F.first("key").alias("key"), F.first("n_words").alias("n_words"),
