@@ -1,9 +1,10 @@
 """Personal data: fixed patterns plus a semi-Markov conditional random field.
 
 The field scores whole candidate segments (one to ``max_tokens`` tokens around
-a digit or an at sign) for each kind; dynamic programming over a window of
-tokens picks boundaries and kinds jointly. Its weights are fitted on generated
-labelled windows, by gradient ascent on the likelihood of whole segmentations.
+a digit or an at sign) for each kind and for what they follow; dynamic
+programming over a window of tokens picks boundaries and kinds jointly. Its
+weights are fitted on generated labelled windows, by gradient ascent on the
+likelihood of whole segmentations.
 """
 
 from __future__ import annotations
@@ -27,14 +28,15 @@ SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 @dataclass(frozen=True)
 class FieldConfig:
-    """``max_tokens`` bounds a segment, ``margin`` is what a span must gain over none."""
+    """``max_tokens`` and ``max_chars`` (the longest mail address) bound a segment, ``margin`` is what a span must gain over none."""
 
     max_tokens: int = 5
-    windows: int = 240
-    epochs: int = 12
+    max_chars: int = 320
+    windows: int = 960
+    epochs: int = 8
     rate: float = 0.4
     decay: float = 0.002
-    margin: float = 2.0
+    margin: float = 1.0
     seed: int = 11
 
 
@@ -135,9 +137,11 @@ def span_features(segment: str, cue: str, n_tokens: int) -> tuple[str, ...] | No
 class Window:
     """Tokens around anchors, with the candidate segments that end at each token."""
 
-    def __init__(self, text: str, tokens: list[tuple[int, int]], max_tokens: int):
+    def __init__(self, text: str, tokens: list[tuple[int, int]], max_tokens: int, max_chars: int):
         self.n = len(tokens)
         self.ends: list[list[tuple[int, int, int, tuple[str, ...]]]] = [[] for _ in tokens]
+        #: Where a segment of the token before token i ends, its edge signs cut off.
+        self.reach = [-1] + [b - len(text[a:b]) + len(text[a:b].rstrip(EDGE_RIGHT)) for a, b in tokens]
         words = [text[a:b] for a, b in tokens]
         anchored = [bool(ANCHOR.search(w)) for w in words]
         for j in range(self.n):
@@ -147,7 +151,7 @@ class Window:
                 if not anchored[i]:
                     break  # a segment holds anchors and bare signs only
                 a, b = tokens[i][0], tokens[j][1]
-                if b - a > 80:
+                if b - a > max_chars:
                     break
                 while a < b and text[a] in EDGE_LEFT:
                     a += 1
@@ -172,48 +176,73 @@ def _logsum(xs: list[float]) -> float:
     return m + math.log(sum(math.exp(x - m) for x in xs))
 
 
+OUTSIDE = "outside"
+
+
+def _after(w: dict, kind: str, before: str) -> float:
+    return w.get((kind, f"after:{before}"), 0.0)
+
+
 def decode(window: Window, w: dict, margin: float) -> list[tuple[str, int, int]]:
-    """The best segmentation: tokens outside score 0, a segment its score less ``margin``."""
-    best, back = [0.0], [None]
+    """The best segmentation: tokens outside score 0, a segment its score and that of what it follows, less ``margin``.
+
+    ``best[j]`` has, for each label that can end before token j, the best score and how it came about.
+    """
+    best: list[dict[str, tuple[float, tuple | None]]] = [{OUTSIDE: (0.0, None)}]
     for j in range(window.n):
-        top, how = best[j], None
+        label = max(best[j], key=lambda p: best[j][p][0])
+        now = {OUTSIDE: (best[j][label][0], (j, label, None))}
         for i, a, b, f in window.ends[j]:
             for kind in KINDS:
-                s = best[i] + _score(w, kind, f) - margin
-                if s > top:
-                    top, how = s, (i, kind, a, b)
-        best.append(top)
-        back.append(how)
+                own = _score(w, kind, f) - margin
+                for before, (s, _) in best[i].items():
+                    total = s + own + _after(w, kind, before)
+                    if kind not in now or total > now[kind][0]:
+                        now[kind] = total, (i, before, (kind, a, b))
+        best.append(now)
     out, j = [], window.n
+    label = max(best[j], key=lambda p: best[j][p][0])
     while j > 0:
-        if back[j]:
-            i, kind, a, b = back[j]
-            out.append((kind, a, b))
-            j = i
-        else:
-            j -= 1
+        j, label, span = best[j][label][1]
+        if span:
+            out.append(span)
     return out[::-1]
 
 
 def gradient(window: Window, gold: set[tuple[str, int, int]], w: dict) -> dict:
     """Features of the labelled segmentation less their expectation under the field."""
-    alpha = [0.0]
+    alpha: list[dict[str, float]] = [{OUTSIDE: 0.0}]
     scored = []
     for j in range(window.n):
         own = [(i, kind, a, b, f, _score(w, kind, f)) for i, a, b, f in window.ends[j] for kind in KINDS]
         scored.append(own)
-        alpha.append(_logsum([alpha[j], *(alpha[i] + s for i, *_, s in own)]))
-    beta = [0.0] * (window.n + 1)
-    follow: list[list[tuple[int, float]]] = [[] for _ in range(window.n + 1)]
+        ways: dict[str, list[float]] = {OUTSIDE: list(alpha[j].values())}
+        for i, kind, *_, s in own:
+            ways.setdefault(kind, []).extend(x + s + _after(w, kind, before) for before, x in alpha[i].items())
+        alpha.append({label: _logsum(x) for label, x in ways.items()})
+    whole = _logsum(list(alpha[-1].values()))
+    follow: list[list[tuple[int, str, float]]] = [[] for _ in range(window.n + 1)]
     for j, own in enumerate(scored):
-        for i, *_, s in own:
-            follow[i].append((j + 1, s))
+        for i, kind, *_, s in own:
+            follow[i].append((j + 1, kind, s))
+    beta: list[dict[str, float]] = [{} for _ in range(window.n + 1)]
+    beta[-1] = dict.fromkeys(alpha[-1], 0.0)
     for i in range(window.n - 1, -1, -1):
-        beta[i] = _logsum([beta[i + 1], *(beta[j] + s for j, s in follow[i])])
+        beta[i] = {before: _logsum([beta[i + 1][OUTSIDE], *(s + _after(w, kind, before) + beta[j][kind] for j, kind, s in follow[i])]) for before in alpha[i]}
+    end_of = {b: kind for kind, _, b in gold}
     out: dict = {}
     for j, own in enumerate(scored):
         for i, kind, a, b, f, s in own:
-            g = ((kind, a, b) in gold) - math.exp(min(0.0, alpha[i] + s + beta[j + 1] - alpha[-1]))
+            labelled = (kind, a, b) in gold
+            before_gold = end_of.get(window.reach[i], OUTSIDE)
+            total = 0.0
+            for before, x in alpha[i].items():
+                p = math.exp(min(0.0, x + s + _after(w, kind, before) + beta[j + 1][kind] - whole))
+                total += p
+                g = (labelled and before == before_gold) - p
+                if abs(g) > 1e-6:
+                    out[kind, f"after:{before}"] = out.get((kind, f"after:{before}"), 0.0) + g
+            g = labelled - total
             if abs(g) > 1e-6:
                 for x in (*f, "bias"):
                     out[kind, x] = out.get((kind, x), 0.0) + g
@@ -236,41 +265,51 @@ def _card(rng: random.Random, good: bool) -> str:
     return digits
 
 
+def _example(rng: random.Random, kind: str | None) -> tuple[str, str]:
+    """(cue, value) of a kind in a usual or unusual form, or of a number that is none."""
+    cue = ""
+    if kind == "email":
+        at, dot = rng.choice((("@", "."), ("(at)", "."), ("[at]", "[dot]"), ("@", ".")))
+        value = f"{rng.choice('abcdefg')}{_number(rng, 2)}{at}mail{rng.randint(1, 99)}{dot}example{dot}{rng.choice(('com', 'org', 'net'))}"
+    elif kind == "ip":
+        value = ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    elif kind == "card":
+        value = _card(rng, True)
+    elif kind == "phone":
+        a, b, c = _number(rng, 3), _number(rng, 3), _number(rng, 4)
+        form = rng.choice(("+1 ({}) {}-{}", "+1 {}-{}-{}", "+1 {} {} {}", "({}) {}-{}", "{}-{}-{}", "{}.{}.{}"))
+        value = form.format(a, b, c)
+        cue = rng.choice(("tel", "phone", "call")) if "+" not in form and "(" not in form else ""
+    else:
+        value = rng.choice((
+            lambda: _number(rng, rng.randint(7, 19)), lambda: _card(rng, False), lambda: f"20{rng.randint(10, 29)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}",
+            lambda: ".".join(str(rng.randint(256, 999)) for _ in range(4)), lambda: f"{_number(rng, 4)} {_number(rng, 4)}", lambda: f"{_number(rng, 3)}-{_number(rng, 3)}-{_number(rng, 4)}",
+            lambda: f"{_number(rng, 3)} {_number(rng, 3)} {_number(rng, 3)}", lambda: f"{_number(rng, 3)}.{_number(rng, 3)}.{_number(rng, 4)}", lambda: f"{_number(rng, 5)}-{_number(rng, 5)}",
+        ))()
+    if not cue and kind and rng.random() < 0.25:
+        cue = rng.choice([c for c, x in CUES.items() if x == kind])
+    return cue, value
+
+
 def labelled_windows(cfg: FieldConfig, seed: int) -> list[tuple[str, set[tuple[str, int, int]]]]:
-    """Generated texts with their spans: all kinds in usual and unusual forms, and numbers that are none."""
+    """Generated texts with their spans: all kinds, numbers that are none, and every fifth time two in a row."""
     rng = random.Random(seed)
     plain = "the and of with see page at is in was from order total about on".split()
     out = []
     for k in range(cfg.windows):
-        kind = (*KINDS, None, None)[k % 6]
-        cue = ""
-        if kind == "email":
-            at, dot = rng.choice((("@", "."), ("(at)", "."), ("[at]", "[dot]"), ("@", ".")))
-            value = f"{rng.choice('abcdefg')}{_number(rng, 2)}{at}mail{rng.randint(1, 99)}{dot}example{dot}{rng.choice(('com', 'org', 'net'))}"
-        elif kind == "ip":
-            value = ".".join(str(rng.randint(0, 255)) for _ in range(4))
-        elif kind == "card":
-            value = _card(rng, True)
-        elif kind == "phone":
-            a, b, c = _number(rng, 3), _number(rng, 3), _number(rng, 4)
-            form = rng.choice(("+1 ({}) {}-{}", "+1 {}-{}-{}", "+1 {} {} {}", "({}) {}-{}", "{}-{}-{}", "{}.{}.{}"))
-            value = form.format(a, b, c)
-            cue = rng.choice(("tel", "phone", "call")) if "+" not in form and "(" not in form else ""
-        else:
-            value = rng.choice((
-                lambda: _number(rng, rng.randint(7, 19)), lambda: _card(rng, False), lambda: f"20{rng.randint(10, 29)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}",
-                lambda: ".".join(str(rng.randint(256, 999)) for _ in range(4)), lambda: f"{_number(rng, 4)} {_number(rng, 4)}", lambda: f"{_number(rng, 3)}-{_number(rng, 3)}-{_number(rng, 4)}",
-                lambda: f"{_number(rng, 3)} {_number(rng, 3)} {_number(rng, 3)}", lambda: f"{_number(rng, 3)}.{_number(rng, 3)}.{_number(rng, 4)}", lambda: f"{_number(rng, 5)}-{_number(rng, 5)}",
-            ))()
-        if not cue and kind and rng.random() < 0.25:
-            cue = rng.choice([c for c, x in CUES.items() if x == kind])
-        before = " ".join(rng.choice(plain) for _ in range(rng.randint(1, 3))) + " " + (cue + rng.choice((" ", ": ")) if cue else "")
-        text = before + value + rng.choice(("", ".", ",")) + " " + rng.choice(plain)
-        out.append((text, {(kind, len(before), len(before) + len(value))} if kind else set()))
+        text, gold = " ".join(rng.choice(plain) for _ in range(rng.randint(1, 3))) + " ", set()
+        for n in range(2 if k % 5 == 4 else 1):
+            kind = (*KINDS, None, None)[(k + n * rng.randint(1, 5)) % 6]
+            cue, value = _example(rng, kind)
+            text += cue + rng.choice((" ", ": ")) if cue else ""
+            if kind:
+                gold.add((kind, len(text), len(text) + len(value)))
+            text += value + rng.choice(("", ".", ",")) + " "
+        out.append((text + rng.choice(plain), gold))
     return out
 
 
-def _windows(text: str, max_tokens: int):
+def _windows(text: str, cfg: FieldConfig):
     """Windows of tokens around anchors: two tokens of context before, gaps of one token at most."""
     tokens: list[tuple[int, int]] = []
     recent: list[tuple[int, int]] = []
@@ -286,20 +325,20 @@ def _windows(text: str, max_tokens: int):
             gap += 1
             tokens.append(span)
             if gap > 2:
-                yield Window(text, tokens, max_tokens)
+                yield Window(text, tokens, cfg.max_tokens, cfg.max_chars)
                 tokens = []
         recent = [*recent[-1:], span]
         if len(tokens) >= 512:  # a long run of numbers goes on in a new window, with a segment's length in common
-            yield Window(text, tokens, max_tokens)
-            tokens = tokens[-max_tokens:]
+            yield Window(text, tokens, cfg.max_tokens, cfg.max_chars)
+            tokens = tokens[-cfg.max_tokens :]
     if tokens:
-        yield Window(text, tokens, max_tokens)
+        yield Window(text, tokens, cfg.max_tokens, cfg.max_chars)
 
 
 @functools.lru_cache(maxsize=4)
 def fit_field(cfg: FieldConfig) -> tuple[tuple[tuple[str, str], float], ...]:
     """Weights by stochastic gradient ascent; the same for the same parameters."""
-    data = [(w, gold) for text, gold in labelled_windows(cfg, cfg.seed) for w in _windows(text, cfg.max_tokens)]
+    data = [(w, gold) for text, gold in labelled_windows(cfg, cfg.seed) for w in _windows(text, cfg)]
     weights: dict = {}
     rng = random.Random(cfg.seed)
     for epoch in range(cfg.epochs):
@@ -323,7 +362,7 @@ def all_spans(text: str, weights: dict, cfg: FieldConfig) -> list[tuple[str, int
     for _, b in taken:
         reach.append(max(b, reach[-1] if reach else 0))
     added: list[tuple[str, int, int]] = []
-    for window in _windows(text, cfg.max_tokens):
+    for window in _windows(text, cfg):
         for kind, a, b in decode(window, weights, cfg.margin):
             k = bisect.bisect_left(starts, b) - 1
             if (k < 0 or reach[k] <= a) and (not added or added[-1][2] <= a):
