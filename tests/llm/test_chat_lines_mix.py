@@ -23,13 +23,22 @@ def test_preference_pairs(spark):
         got.setdefault((r.pair_id, r.part), []).append((r.turn, r.role, r.copies, r.trained))
     assert got[0, "prompt"] == [(0, "user", 1, False)] and sorted(got[0, "chosen"]) == [(1, "assistant", 1, True), (2, "user", 1, False)] and got[0, "rejected"] == [(1, "assistant", 1, True)]
     assert got[1, "prompt"] == [(0, "user", 1, False)] and (1, "chosen") not in got
-    assert (2, "prompt") not in got and got[2, "chosen"] == [(0, "user", 1, False)]
+    assert not [k for k in got if k[0] == 2]  # conversation 4 has no counterpart
     assert got[3, "chosen"] == [(0, "user", 2, False)] and got[3, "rejected"] == [(0, "user", 1, False)]
     assert got[4, "prompt"] == [(0, None, 1, False)] and got[4, "chosen"] == got[4, "rejected"] == [(None, "assistant", 1, True)]
     row = {r.pair_id: r for r in chat.assemble(out).collect()}[0]
     assert row.prompt == "<|user|>\nhi<|end|>\n" and row.chosen.startswith("<|assistant|>\ngood<|end|>\n")
     a, b = row.chosen_mask[0]
     assert row.chosen[a:b] == "<|assistant|>\ngood<|end|>\n" and len(row.chosen_mask) == 1
+    pairs = {r.pair_id: r for r in chat.assemble(out).collect()}
+    assert set(pairs) == {0, 1, 3, 4} and pairs[1].chosen == "" and not pairs[1].chosen_mask  # all of 1 is common
+    for r in out.collect():
+        whole = pairs[r.pair_id][r.part]
+        assert whole[r.start : r.end] == r.rendered * r.copies
+    long = [(k, t, "assistant" if t % 2 else "user", f"turn {t}" if t < 3000 else f"{k} says {t}") for k in (0, 1) for t in range(3100)]
+    r = chat.assemble(chat.preference_turns(spark.createDataFrame([(*x, "z") for x in long], TURNS), chat.by_parity)).first()
+    assert r.prompt.count("<|end|>") == 3000 and r.chosen.count("0 says") == 100 and len(r.rejected_mask) == 50
+    assert all(r.rejected[a:b].startswith("<|assistant|>\n1 says") for a, b in r.rejected_mask)
     assert chat.preference_turns(out.sparkSession.createDataFrame([], TURNS), chat.by_parity).count() == 0
 
 

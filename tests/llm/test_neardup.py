@@ -37,15 +37,48 @@ def corpus(seed: int):
     return list(enumerate(texts))
 
 
+def cut_copies(rng):
+    """Copies that make every value of a base hot, and some cut in one place."""
+    base = [f"b{k}" for k in range(90)]
+    short = base[:20] + base[36:]
+    return group(rng, base, 60, 2) + [" ".join(short)] + group(rng, short, 6, 3)
+
+
+def short_families():
+    """Families whose first text has three shingles, all on lists of 41 classes."""
+    texts = [" ".join(f"f{family}w{k}" for k in range(7)) for family in range(200)]
+    odd = [t for t in texts if all(v % 2 for v in neardup.shingle_set(t.encode(), 5))]
+    return [t for family, text in enumerate(odd[:4] + texts[:2]) for t in (text, *(f"{text} x{family}y{k}" for k in range(40)))]
+
+
+def drift(rng, name, shared):
+    """60 texts that make every value of a passage hot, and 40 that each lack five parts of it, of which few pairs are similar."""
+    base, tail = [f"{name}p{k}" for k in range(600)], [f"{name}t{k}" for k in range(400)]
+    texts = [" ".join(base + tail[:at] + [f"{name}e{at}"] + tail[at:]) for at in range(5, 365, 6)]
+    for k in range(40):
+        gone = {i for at in rng.sample(range(0, 578), 5) for i in range(at, at + 22)}
+        texts.append(" ".join(f"{name}n{k // 2}" if shared and i == 597 - k // 2 else w for i, w in enumerate(base) if i not in gone))
+    return texts
+
+
+def sharers(rng):
+    """Texts that share a passage but are mostly apart: few pairs may come up, and none be missed."""
+    passage = [f"q{k}" for k in range(60)]
+    texts = [" ".join(passage + [f"u{k}x{j}" for j in range(rng.randint(8, 40))]) for k in range(150)]
+    return texts + group(rng, passage + [f"c{j}" for j in range(25)], 60, 2) + group(rng, [f"d{j}" for j in range(12)] + passage, 40, 3)
+
+
 def test_components_match_all_pairs(spark):
-    for seed in (1, 2):
-        rows = corpus(seed)
-        docs = spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id long, text string, n string, digest long")
-        got = {r.doc_id: r for r in neardup.near_duplicates(docs).collect()}
-        want = brute.components(rows)
-        assert {k: r.component_id for k, r in got.items()} == want
-        for k, t in rows:
-            assert got[k].n_shingles == len(brute.shingles(t)) and got[k].kept == (want[k] == k)
+    rng = random.Random(4)
+    texts = [t for _, t in corpus(1)] + cut_copies(rng) + short_families() + drift(rng, "y", False) + drift(rng, "z", True) + sharers(rng)
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id long, text string, n string, digest long")
+    got = {r.doc_id: r for r in neardup.near_duplicates(docs).collect()}
+    want = brute.components(rows)
+    assert {k: r.component_id for k, r in got.items()} == want
+    for k, t in rows:
+        assert got[k].n_shingles == len(brute.shingles(t)) and got[k].kept == (want[k] == k)
 
 
 def test_one_row_of_each_group_stays(spark):
@@ -65,18 +98,6 @@ def test_empty_and_null_ids(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True)] * 2 + [(7, 7, True)] * 2
 
 
-def test_copies_cut_in_the_same_place(spark):
-    rng = random.Random(8)
-    base = [f"b{k}" for k in range(90)]
-    texts = group(rng, base, 60, 2)  # makes all values of the base hot
-    short = base[:20] + base[36:]
-    texts += [" ".join(short)] + group(rng, short, 6, 3)
-    rows = list(enumerate(texts))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
-    assert got == brute.components(rows)
-
-
 def test_long_chains_are_one_component(spark, tmp_path):
     rng = random.Random(3)
     links, at = [], 0
@@ -90,44 +111,6 @@ def test_long_chains_are_one_component(spark, tmp_path):
     assert {r.node: r.comp for r in got} == want
 
 
-def test_short_texts_with_one_more_word(spark):
-    rows = []
-    texts = [" ".join(f"f{family}w{k}" for k in range(7)) for family in range(200)]
-    odd = [t for t in texts if all(v % 2 for v in neardup.shingle_set(t.encode(), 5))]
-    for family, text in enumerate(odd[:4] + texts[:2]):  # the three shingles of a family's first text are on lists of 41 classes
-        rows += [text, *(f"{text} x{family}y{k}" for k in range(40))]
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
-    assert got == {k: k - k % 41 for k in range(len(rows))}
-
-
-def drift(rng, shared):
-    """60 texts that make every value of a passage hot, and 40 that each lack five parts of it, of which few pairs are similar."""
-    base, tail = [f"p{k}" for k in range(600)], [f"t{k}" for k in range(400)]
-    texts = [" ".join(base + tail[:at] + [f"e{at}"] + tail[at:]) for at in range(5, 365, 6)]
-    for k in range(40):
-        gone = {i for at in rng.sample(range(0, 578), 5) for i in range(at, at + 22)}
-        part = [f"n{k // 2}" if shared and i == 597 - k // 2 else w for i, w in enumerate(base) if i not in gone]
-        texts.append(" ".join(part))
-    rng.shuffle(texts)
-    return list(enumerate(texts))
-
-
-def components_of(spark, rows):
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    return {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
-
-
-def test_copies_that_drift_from_one_base(spark):
-    rows = drift(random.Random(4), shared=False)
-    assert components_of(spark, rows) == brute.components(rows)
-
-
-def test_drifting_copies_with_one_new_word_in_common(spark):
-    rows = drift(random.Random(5), shared=True)
-    assert components_of(spark, rows) == brute.components(rows)
-
-
 def test_one_id_with_two_texts(spark):
     a, b = "a b c d e f g", "t u v w x y z"
     docs = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b)], "doc_id long, text string")
@@ -137,14 +120,3 @@ def test_one_id_with_two_texts(spark):
     linked = spark.createDataFrame([(3, a + " h i j"), (5, a + " h i k"), (5, b), (9, a + " h i j k")], "doc_id long, text string")
     got = {(r.doc_id, r.n_shingles): r.component_id for r in neardup.near_duplicates(linked).collect()}
     assert got == {(3, 6): 3, (5, 6): 5, (5, 3): 5, (9, 7): 3}
-
-
-def test_texts_that_share_a_passage(spark):
-    """Long lists whose members are mostly apart: few pairs may come up, and none be missed."""
-    rng = random.Random(11)
-    passage = [f"p{k}" for k in range(60)]
-    texts = [" ".join(passage + [f"u{k}x{j}" for j in range(rng.randint(8, 40))]) for k in range(150)]
-    texts += group(rng, passage + [f"c{j}" for j in range(25)], 60, 2) + group(rng, [f"d{j}" for j in range(12)] + passage, 40, 3)
-    rng.shuffle(texts)
-    rows = list(enumerate(texts))
-    assert components_of(spark, rows) == brute.components(rows)
