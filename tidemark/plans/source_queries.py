@@ -54,7 +54,7 @@ def t9(spark, d):
     """Ten-minute windows every five minutes, by a stream over landed files of events that runs to its end."""
     at = shared_dir(spark)
     landed = src.table(spark, d, "events")
-    landed.repartitionByRange(4, "ts").write.parquet(f"{at}/landed")
+    landed.repartitionByRange("ts").write.parquet(f"{at}/landed")
     events = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/landed")
     rows = live.live_windows(src.trades_from(events), "10 minutes", "5 minutes")
     save = lambda df, _: df.write.mode("overwrite").parquet(f"{at}/windows")
