@@ -185,14 +185,14 @@ def a23(spark, d):
     return reports.global_status(x).select("gap", "resync", "synced", "status")
 
 
-@query("t1_order_book", f"""WITH RECURSIVE {_DIFFS}, ch AS (SELECT v.symbol, v.epoch, v.pos AS u, l_partkey % 101 AS price, l_quantity % 7 AS qty FROM vd v JOIN (SELECT ['click','error','purchase','signup','view'][(l_suppkey % 5) + 1] AS symbol, l_orderkey * 10 + l_linenumber AS pos, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) l USING (symbol, pos) WHERE verdict = 'OK'),
-le AS (SELECT symbol, max(epoch) AS epoch FROM ch GROUP BY symbol) SELECT symbol, price, arg_max(qty, u) AS qty FROM ch JOIN le USING (symbol, epoch) GROUP BY ALL HAVING arg_max(qty, u) > 0""")
+@query("t1_order_book", f"""WITH RECURSIVE {_DIFFS}, ch AS (SELECT v.symbol, v.epoch, v.pos AS u, CASE WHEN l_partkey % 3 = 0 THEN 'ASK' ELSE 'BID' END AS side, l_partkey % 101 AS price, l_quantity % 7 AS qty FROM vd v JOIN (SELECT ['click','error','purchase','signup','view'][(l_suppkey % 5) + 1] AS symbol, l_orderkey * 10 + l_linenumber AS pos, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) l USING (symbol, pos) WHERE verdict = 'OK'),
+le AS (SELECT symbol, max(epoch) AS epoch FROM ch GROUP BY symbol) SELECT symbol, side, price, arg_max(qty, u) AS qty FROM ch JOIN le USING (symbol, epoch) GROUP BY ALL HAVING arg_max(qty, u) > 0""")
 def t1(spark, d):
     v = folds.sequence_verdicts(src.depth_diffs(spark, d)).where("verdict = 'OK'")
     rows = src.table(spark, d, "lineitem").select(src._symbol(F.col("l_suppkey") % 5).alias("symbol"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), "l_partkey", "l_quantity")
     rows = rows.groupBy("symbol", "pos").agg(F.min("l_partkey").alias("p"), F.min("l_quantity").alias("q"))
-    ch = v.join(rows, ["symbol", "pos"]).select("symbol", "epoch", F.col("pos").alias("u"), F.lit("BID").alias("side"), (F.col("p") % 101).alias("price"), (F.col("q") % 7).alias("qty"))
-    return depth.book_at_end(ch).select("symbol", "price", "qty")
+    ch = v.join(rows, ["symbol", "pos"]).select("symbol", "epoch", F.col("pos").alias("u"), F.when(F.col("p") % 3 == 0, "ASK").otherwise("BID").alias("side"), (F.col("p") % 101).alias("price"), (F.col("q") % 7).alias("qty"))
+    return depth.book_at_end(ch).select("symbol", "side", "price", "qty")
 
 
 @query("j1_t12_snapshot_sync", """WITH d AS (SELECT ['click','error','purchase','signup','view'][(l_suppkey % 5) + 1] AS symbol, l_orderkey * 10 AS first_u, max(l_orderkey * 10 + l_linenumber) AS u FROM lineitem GROUP BY ALL),

@@ -8,7 +8,7 @@ from tidemark.config import Config
 from tidemark.functions import labels
 from tidemark.functions.scalars import compact_usdt, price_bucket
 from tidemark.operators import book, trades
-from tidemark.plans.registry import BOOK, LEVELS, RANKED, STACKING, TRADES, query
+from tidemark.plans.registry import ALERTS, BOOK, LEVELS, RANKED, STACKING, SWEEPS, TRADES, query
 from tidemark.sources import adapters as src
 
 CFG = Config(
@@ -54,14 +54,25 @@ def a1_latest(spark, d):
     return x.select("symbol", "price", *[c for w in WINS for c in (r6(f"delta_{w}"), r6(f"buy_ratio_{w}"), F.col(f"status_{w}"))])
 
 
-@query("k3_radar", f"""WITH {_LATEST}, {BOOK}, lb AS (SELECT symbol, arg_max(imbalance, snap_ms) AS imbalance FROM book GROUP BY symbol)
-SELECT symbol, price, round(delta_1m, 6) AS delta_1m, round(delta_5m, 6) AS delta_5m, round(delta_15m, 6) AS delta_15m, round(coalesce(imbalance, 0), 6) AS imbalance,
+@query("k3_radar", f"""WITH {_LATEST}, {BOOK}, {SWEEPS}, {ALERTS}, lb AS (SELECT symbol, arg_max(imbalance, snap_ms) AS imbalance FROM book GROUP BY symbol),
+lg AS (SELECT symbol, min(fin - ms) AS large_ms FROM trades JOIN en USING (symbol) WHERE notional >= 2000 GROUP BY symbol), ev AS (SELECT symbol, min(fin - ms) AS event_ms FROM alerts JOIN en USING (symbol) WHERE ms <= fin GROUP BY symbol),
+sw AS (SELECT symbol, min(fin - ms) AS sweep_ms, arg_max(direction, ms * 100000000 + sweep_id) AS direction FROM sweeps JOIN en USING (symbol) WHERE ms <= fin GROUP BY symbol)
+SELECT symbol, price, round(delta_1m, 6) AS delta_1m, round(delta_5m, 6) AS delta_5m, round(delta_15m, 6) AS delta_15m, round(coalesce(imbalance, 0), 6) AS imbalance, large_ms, event_ms,
+  CASE WHEN sweep_ms <= 300000 THEN CASE direction WHEN 'BULLISH' THEN 'LONG (SWEEP)' ELSE 'SHORT (SWEEP)' END ELSE 'WAITING' END AS action,
   CASE WHEN coalesce(br_5m, 0.5) >= 0.58 THEN 'BUYERS' WHEN coalesce(br_5m, 0.5) <= 0.42 THEN 'SELLERS' ELSE 'NEUTRAL' END AS aggression,
-  round(abs(delta_1m) / 10000 + abs(delta_5m) / 25000 + abs(coalesce(imbalance, 0)) * 100, 6) AS activity FROM latest LEFT JOIN lb USING (symbol)""")
+  round(abs(delta_1m) / 10000 + abs(delta_5m) / 25000 + abs(coalesce(imbalance, 0)) * 100 + CASE WHEN large_ms <= 60000 THEN 50 ELSE 0 END + CASE WHEN event_ms <= 60000 THEN 100 ELSE 0 END + CASE WHEN sweep_ms <= 300000 THEN 500 ELSE 0 END, 6) AS activity
+FROM latest LEFT JOIN lb USING (symbol) LEFT JOIN lg USING (symbol) LEFT JOIN ev USING (symbol) LEFT JOIN sw USING (symbol)""")
 def k3(spark, d):
+    t = src.trades(spark, d)
     snaps = book.book_metrics(src.book_levels(spark, d)).groupBy("symbol").agg(F.max_by("imbalance", "snap_ms").alias("imbalance"))
-    x = trades.radar(trades.latest_metrics(src.trades(spark, d)), snaps, CFG)
-    return x.select("symbol", "price", r6("delta_1m"), r6("delta_5m"), r6("delta_15m"), r6("imbalance"), "aggression", r6("activity"))
+    latest = trades.latest_metrics(t)
+    ends = t.groupBy("symbol").agg(F.max("ms").alias("fin"))
+    age = lambda rows, name, *more: rows.join(ends, "symbol").where("ms <= fin").groupBy("symbol").agg(F.min(F.col("fin") - F.col("ms")).alias(name), *more)
+    swept = age(src.sweeps(spark, d), "sweep_ms", F.max_by("direction", F.struct("ms", "sweep_id")).alias("direction"))
+    x = latest.join(age(trades.large_trades(t, CFG), "large_ms"), "symbol", "left").join(age(src.alerts(spark, d), "event_ms"), "symbol", "left").join(swept, "symbol", "left")
+    side = F.when(F.col("direction") == "BULLISH", "LONG (SWEEP)").otherwise("SHORT (SWEEP)")
+    x = trades.radar(x.withColumn("action", F.when(F.col("sweep_ms") <= CFG.sweep_active_ms, side).otherwise("WAITING")), snaps, CFG)
+    return x.select("symbol", "price", r6("delta_1m"), r6("delta_5m"), r6("delta_15m"), r6("imbalance"), "large_ms", "event_ms", "action", "aggression", r6("activity"))
 
 
 @query("k11_first_seen", f"WITH {TRADES}, f AS (SELECT symbol, min(seq) AS s, min(ms) AS first_ms FROM trades GROUP BY symbol) SELECT symbol, first_ms, row_number() OVER (ORDER BY s) AS position FROM f")
