@@ -9,16 +9,17 @@
    is verified on full shingle sets: first one candidate per class, then only
    pairs that the links so far leave in different components.
 4. Classes with at least ``least_estimate`` of their sketch on long lists are
-   tied to one member of the lists of their lowest such values, the member with
-   the fewest values of its own. After the first components, each list with
-   members outside its largest one gets a second such member from among them,
-   to which all others are tied. This only saves work for step 5. Classes
+   tied, for the lists of their lowest such values, to the member of similar
+   size whose values are on the longest lists. After the first components, each
+   list with members outside its largest one gets a second such member from
+   among them, to which all others are tied. This only saves work for step 5. Classes
    that lack the same lowest values of the sketch they are tied to (copies cut
    in the same place) are tied to the shortest of them.
 5. What long lists still leave in different components goes through a prefix
    filter over full shingle sets: pairs in different components that share one
    of the values in which similar sets must meet, at ranks that leave room for
-   enough further ones, are estimated and verified.
+   enough further ones, are estimated and verified; the likeliest pair of two
+   components first, then what that leaves apart.
 
 Nothing is capped: steps 4 and 5 find the components of long lists, not all
 their links. Step 4's work is linear in a list. Step 5 compares the members of
@@ -29,6 +30,7 @@ where its estimate is below ``least_estimate``.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -164,9 +166,17 @@ def components(links: DataFrame, base: str, name: str) -> DataFrame:
 
 
 def _ties(members: DataFrame, choice: DataFrame) -> DataFrame:
-    """(a, b): each list's pivot, of ``choice`` the one with the largest share of long lists, and its members in other components."""
-    pivot = choice.groupBy("value").agg(F.min(F.struct((-F.col("share")).alias("s"), F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"))).alias("p")).select("value", "p.pivot", "p.pivot_comp")
-    tied = members.join(pivot, (members["value"] == pivot["value"]) & (F.col("comp") != F.col("pivot_comp")))
+    """(a, b): each list's pivot of a size class and its members there in other components.
+
+    The pivot is, of ``choice``, the one of largest ``weight``, the mean length
+    of its lists: the most central one. Those of neighbouring size classes are tied to each other. Size classes
+    (``level``) keep a short piece of a text from being the pivot of the texts.
+    """
+    best = F.min(F.struct((-F.col("weight")).alias("w"), F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"))).alias("p")
+    pivot = choice.groupBy("value", "level").agg(best).select("value", "level", "p.pivot", "p.pivot_comp")
+    tied = members.join(pivot, ["value", "level"]).where("comp <> pivot_comp").select("node", "pivot")
+    above = pivot.select("value", (F.col("level") - 1).alias("level"), F.col("pivot").alias("node"))
+    tied = tied.unionByName(pivot.join(above, ["value", "level"]).where("pivot <> node").select("node", "pivot"))
     return tied.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), "node", "pivot").distinct()
 
 
@@ -188,7 +198,7 @@ def _merged(labels: DataFrame, links: DataFrame, base: str, name: str) -> DataFr
 
 
 def _across(bound: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, base: str, cfg: SketchConfig) -> DataFrame:
-    """(a, b): the pairs of classes of ``bound`` in different components that can be similar.
+    """(a, b, est, compx, compy): the pairs of classes of ``bound`` in different components that can be similar.
 
     A prefix filter over full shingle sets. The values are put in one order:
     first those that no two components have in common, then those with the
@@ -232,8 +242,9 @@ def _across(bound: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFra
     key = ["value", "nx", "rx", "ny", "ry", "part"]
     x = x.where(F.pmod(F.xxhash64("x"), F.col("parts")) == F.col("part")).select(*key, "x", "compx")
     pairs = x.join(y.select(*key, "y", "compy"), key).where("compx <> compy")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return materialise(_estimated(pairs, reps, cfg).select("a", "b"), base, "third")
+    comps = F.least("compx", "compy").alias("compx"), F.greatest("compx", "compy").alias("compy")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *comps).distinct()
+    return materialise(_estimated(pairs, reps, cfg), base, "third")
 
 
 def near_duplicates(docs: DataFrame, cfg: SketchConfig | None = None) -> DataFrame:
@@ -271,7 +282,7 @@ def _judged(docs: DataFrame, cfg: SketchConfig) -> DataFrame:
         lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.greatest(x["n"], y["n"]).alias("n")))))).alias("p"))
     pairs = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("ov"), F.max("p.n").alias("n"))
     hot = shared.where(F.col("df") > cfg.hot)
-    heat = hot.groupBy("node").agg(F.count("*").alias("n_hot"), F.max("n").alias("size"), F.slice(F.array_sort(F.collect_list("value")), 1, cfg.ties).alias("low"))
+    heat = hot.groupBy("node").agg(F.count("*").alias("n_hot"), F.max("n").alias("size"), F.sum("df").alias("weight"), F.slice(F.array_sort(F.collect_list("value")), 1, cfg.ties).alias("low"))
     heat = materialise(heat, base, "heat")
     # A pair shares its short lists and at most all long lists of the one with fewer: less than the estimate asks for can go unseen.
     ha, hb = heat.select(F.col("node").alias("a"), F.col("n_hot").alias("ha")), heat.select(F.col("node").alias("b"), F.col("n_hot").alias("hb"))
@@ -282,7 +293,9 @@ def _judged(docs: DataFrame, cfg: SketchConfig) -> DataFrame:
     # Others can't have the estimate asked for by long lists alone.
     own = heat.withColumn("share", F.col("n_hot") / F.least(F.col("size"), F.lit(cfg.k))).where(F.col("share") >= cfg.least_estimate)
     bound = materialise(hot.join(own.select("node"), "node").select("value", "node"), base, "hot")
-    low = own.select(F.explode("low").alias("value"), "node", "share")
+    level = F.floor(F.ln("size") / math.log(100 / cfg.percent))
+    weight = F.col("weight") / F.least(F.col("size"), F.lit(cfg.k))
+    low = own.select(F.explode("low").alias("value"), "node", weight.alias("weight"), level.alias("level"))
     alone = low.withColumn("comp", F.col("node"))
     tied = materialise(_estimated(_ties(alone, alone), reps, cfg, lacking=True), base, "tied")
 
@@ -303,11 +316,11 @@ def _judged(docs: DataFrame, cfg: SketchConfig) -> DataFrame:
     # long lists: the members in other components than a list's second pivot are tied to it
     marked = low.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     marked = materialise(marked, base, "hot-marked")
-    largest = marked.groupBy("value", "comp").agg(F.count("*").alias("c")).groupBy("value").agg(F.max(F.struct("c", "comp")).getField("comp").alias("big"))
-    held = _ties(marked, marked.join(largest, "value").where("comp <> big")).select("a", "b")
+    largest = marked.groupBy("value", "level", "comp").agg(F.count("*").alias("c")).groupBy("value", "level").agg(F.max(F.struct("c", "comp")).getField("comp").alias("big"))
+    held = _ties(marked, marked.join(largest, ["value", "level"]).where("comp <> big")).select("a", "b")
     near = tied.groupBy("node").agg(F.max(F.struct("est", "pivot", "lacks")).alias("t")).join(reps.select("node", "n"), "node")
     cut = near.select("node", "n", "t.pivot", "t.lacks", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t.lacks")))).alias("i")).where(F.size("lacks") > 0)
-    cut = cut.select(F.xxhash64("pivot", F.slice("lacks", F.lit(1), F.col("i"))).alias("value"), "node", (-F.col("n")).alias("share"))
+    cut = cut.select(F.xxhash64("pivot", F.slice("lacks", F.lit(1), F.col("i"))).alias("value"), "node", (-F.col("n")).cast("double").alias("weight"), F.lit(0).alias("level"))
     cut = cut.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     held = _estimated(held.unionByName(_ties(cut, cut).select("a", "b")).distinct(), reps, cfg).select("a", "b")
     second = materialise(rest.unionByName(held).distinct(), base, "second")
@@ -315,7 +328,11 @@ def _judged(docs: DataFrame, cfg: SketchConfig) -> DataFrame:
         labels = _merged(labels, materialise(_verified(second, texts, cfg), base, "links-2"), base, "comp-2")
     third = _across(bound, labels, reps, texts, base, cfg)
     if third.limit(1).count():
-        labels = _merged(labels, materialise(_verified(third, texts, cfg), base, "links-3"), base, "comp-3")
+        likeliest = third.groupBy("compx", "compy").agg(F.max(F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b")
+        labels = _merged(labels, materialise(_verified(likeliest, texts, cfg), base, "links-3"), base, "comp-3")
+        fourth = materialise(_apart(third.select("a", "b"), labels).join(likeliest, ["a", "b"], "left_anti"), base, "fourth")
+        if fourth.limit(1).count():
+            labels = _merged(labels, materialise(_verified(fourth, texts, cfg), base, "links-4"), base, "comp-4")
 
     # from classes back to rows
     least = labels.join(reps.select("node", "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("least"))
