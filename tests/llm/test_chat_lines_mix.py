@@ -149,3 +149,11 @@ def test_taken_comes_near_the_target(spark):
     for s in {r.source for r in rows}:
         own = [r for r in rows if r.source == s]
         assert abs(sum(r._copies * r._size for r in own) / own[0]._target - 1) < 0.06
+
+
+def test_ranks_run_on_over_ranges(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(mixing, "RANK_ROWS", 2)
+    names = ["b", "a", "é", "Z", "", "10", "9", "zz", None]
+    sizes = spark.createDataFrame([(n, 5) for n in names], "source string, source_size long")
+    got = {r.source: r["rank"] for r in mixing._ranked(sizes, f"file://{tmp_path}").collect()}
+    assert got == {n: k for k, n in enumerate([*sorted(n for n in names if n is not None), None])}

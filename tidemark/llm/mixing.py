@@ -39,11 +39,8 @@ def _ranked(sources: DataFrame, base: str) -> DataFrame:
     parts = materialise(parts, base, "ranges")
     local = Window.partitionBy("part").orderBy(*order)
     parts = parts.withColumn("local_rank", F.row_number().over(local) - 1)
-    before = parts.groupBy("part").count().select(F.col("part").alias("p"), F.col("count").alias("n"))
-    shift = (
-        parts.select("part").distinct().join(F.broadcast(before), F.col("p") < F.col("part"), "left")
-        .groupBy("part").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("shift"))
-    )  # one row for RANK_ROWS sources
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = parts.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("shift"))  # one row for RANK_ROWS sources
     return parts.join(F.broadcast(shift), "part").select("source", "source_size", (F.col("local_rank") + F.col("shift")).alias("rank"))
 
 
