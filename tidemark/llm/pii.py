@@ -112,7 +112,7 @@ GROUPS = re.compile(r"[0-9]+")
 MAIL_SHAPE = re.compile(r"[A-Za-z0-9._%+-]+(?:@|\(at\)|\[at\])[A-Za-z0-9-]+(?:(?:\.|\(dot\)|\[dot\])[A-Za-z0-9-]+)+")
 
 
-@functools.lru_cache(maxsize=65536)
+@functools.lru_cache(maxsize=8192)
 def span_features(segment: str, cue: str, n_tokens: int) -> tuple[str, ...] | None:
     """Features of a whole candidate segment; None if no kind can have it."""
     if MAIL_SHAPE.fullmatch(segment):
