@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ BLANK_WORD = r"[^\x20\x09-\x0D]+"
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-__all__ = ["ALNUM", "BLANK_WORD", "LOWER", "hot_join", "lower_az", "materialise", "shared_dir", "table"]
+__all__ = ["ALNUM", "BLANK_WORD", "LOWER", "discard", "hot_join", "lower_az", "materialise", "shared_dir", "short_shuffles", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +41,24 @@ def materialise(df: DataFrame, base: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table of the shared folder that no later step reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """While tables are written one after the other: the shuffle files of each go when it is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def hot_join(rows: DataFrame, by_key: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` joined with ``by_key`` (one row for each key); the keys of ``hot`` are broadcast, the others meet in a shuffle.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, decontaminate, html_main, linededup, mixing, neardup, pii, quality, secrets, warc
+from tidemark.llm import align, chat, decontaminate, html_main, linededup, mixing, neardup, pii, quality, secrets, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_secret_scan": secrets.op8,
         "op9_line_dedup": linededup.op9,
         "op10_quality_forest": quality.op10,
+        "op13_align_tokens": align.op13,
     }
 
 
