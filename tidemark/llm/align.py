@@ -29,6 +29,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,12 @@ CUT = re.compile(rf"(?<=[^{WHITE}]) (?=[^{WHITE}])")
 #: Spaces that are no cut; a text without any is split at all its spaces.
 NO_CUT = re.compile(rf"(?:\A|[{WHITE}]) | (?:[{WHITE}]|\Z)")
 SPACE_MARK = "\u2581"
+#: Segments of a chunk, beyond which a new one begins: places stay below 2^24 with those that one text may add.
+MOST_PLACES = 4_000_000
 #: Segments in one output batch.
 ROWS = 20_000
+#: Parts in which segments are aligned one after the other: bounds the shuffle files that are there at once.
+SLICES = 6
 
 COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
@@ -92,14 +97,24 @@ def segments(text: str) -> list[str]:
     return CUT.split(text) if NO_CUT.search(text) else text.split(" ")
 
 
-def _kept_whole(text: str | None, encoder) -> bool:
+def _kept_whole(text: str, encoder) -> bool:
     """Whether the pieces of ``text`` spell a space and ``text``: nothing normalised, and no mark that would decode as a space."""
-    return bool(text) and SPACE_MARK not in text and encoder.normalize(text) == SPACE_MARK + text.replace(" ", SPACE_MARK)
+    return SPACE_MARK not in text and encoder.normalize(text) == SPACE_MARK + text.replace(" ", SPACE_MARK)
 
 
 CHUNK_SCHEMA = "chunk long, place int, segment string, n long, doc_id long, places binary"
 
 
+def _planes(places: np.ndarray) -> bytes:
+    """Places below 2^24 in three bytes each: all low ones first, then the high ones, which compress to little."""
+    return places.astype("<u2").tobytes() + (places >> 16).astype(np.uint8).tobytes()
+
+
+def _places(raw: bytes) -> np.ndarray:
+    size = len(raw) // 3
+    return np.frombuffer(raw, "<u2", size).astype(np.int64) + (np.frombuffer(raw, np.uint8, size, 2 * size).astype(np.int64) << 16)
+
+
 def _split(path_b: str, chunk_chars: int):
     """Worker: rows of documents (doc_id, places of their segments) and, for each chunk, of its different segments with their number."""
     names = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
@@ -131,17 +146,23 @@ def _split(path_b: str, chunk_chars: int):
                     yield batch(chunk, doc_id=ids, places=places)
 
             for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                own = np.empty(0, np.int32)
-                if _kept_whole(text, encoder):
-                    own = np.array([place.setdefault(x, len(place)) for x in segments(text)], np.int32)
+                known, own = len(place), np.empty(0, np.int64)
+                if text:
+                    own = np.array([place.setdefault(x, len(place)) for x in segments(text)], np.int64)
+                    # Segments that the chunk has are spelt; a text is as well if those that it adds are.
+                    new = list(islice(reversed(place), len(place) - known))
+                    if new and not _kept_whole(" ".join(new), encoder):
+                        for x in new:
+                            del place[x]
+                        own = own[:0]
                     if len(place) > len(counts):
                         counts = np.concatenate([counts, np.zeros(len(place), np.int64)])
                     seen = np.bincount(own)
                     counts[: len(seen)] += seen
                     size += len(text)
                 ids.append(doc_id)
-                places.append(own.tobytes())
-                if size >= chunk_chars:
+                places.append(_planes(own))
+                if size >= chunk_chars or len(place) >= MOST_PLACES:
                     yield from documents()
                     yield from flush()
                     ids, places = [], []
@@ -175,7 +196,7 @@ def _encode(path_a: str, path_b: str):
             texts = rows.column(0).to_pylist()
             if not texts:
                 continue
-            a, a_size, a_bytes = lists([x.ids for x in first.encode_batch([" " + x for x in texts], add_special_tokens=False)], first_sizes)
+            a, a_size, a_bytes = lists([x.ids for x in first.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)], first_sizes)
             b, b_size, b_bytes = lists(second.encode(texts, num_threads=1), second_sizes)
             whole = np.array([1 + len(x.encode()) for x in texts])
             if not ((a_bytes == whole).all() and (b_bytes == whole).all()):
@@ -187,15 +208,17 @@ def _encode(path_a: str, path_b: str):
     return work
 
 
-def _ends(tokens: DataFrame, side: str) -> DataFrame:
-    """(w, end, id as ``side``): one row for each token of one tokenizer."""
-    rows = tokens.select("w", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_size").alias("size"))).alias("pos", "token"))
+def token_ends(tokens: DataFrame) -> DataFrame:
+    """One row for each w and position: the token of either side there (null beyond its last) and the byte that it ends at."""
+    dealt = tokens.select("w", "a", "a_size", "b", "b_size").repartition("w")
+    rows = dealt.select("w", F.posexplode(F.arrays_zip("a", "a_size", "b", "b_size")).alias("pos", "token"))
     so_far = Window.partitionBy("w").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("w", F.sum("token.size").over(so_far).alias("end"), F.col("token.id").alias(side))
+    end = lambda side: F.sum(f"token.{side}_size").over(so_far).alias(f"{side}_end")
+    return rows.select("w", "token.a", end("a"), "token.b", end("b"))
 
 
-def align_segments(tokens: DataFrame) -> DataFrame:
-    """For each w of ``tokens``: ``groups`` as text, n_a, n_b, n_groups, and ``links`` as an array of (a, b).
+def align_segments(ends: DataFrame) -> DataFrame:
+    """For each w of ``ends``: ``groups`` as text, n_a, n_b, n_groups, and ``links`` as an array of (a, b).
 
     Rows of both sides meet on (w, end). From the end of a segment backwards,
     the number of ends that both have is the group; and the last token seen of
@@ -204,8 +227,8 @@ def align_segments(tokens: DataFrame) -> DataFrame:
     of the two changes: so each end makes one link, and a group without inner
     cuts costs its ends and not the product of its sides.
     """
-    dealt = tokens.select("w", "a", "a_size", "b", "b_size").repartition("w")
-    both = _ends(dealt, "a").join(_ends(dealt, "b"), ["w", "end"], "full")
+    side = lambda c: ends.where(F.col(c).isNotNull()).select("w", F.col(f"{c}_end").alias("end"), c)
+    both = side("a").join(side("b"), ["w", "end"], "full")
     cut = F.col("a").isNotNull() & F.col("b").isNotNull()
     back = Window.partitionBy("w").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     rows = both.select(
@@ -254,7 +277,7 @@ def _gather(digest: bool, names: list[str]):
                     sums = np.concatenate(blocks) if blocks else np.zeros((0, len(COUNTS)), np.int64)
                 total, out = np.zeros((hi - lo, len(COUNTS)), np.int64), []
                 for i, raw in enumerate(part.column(len(names)).to_pylist()):
-                    own = np.frombuffer(raw, np.int32)
+                    own = _places(raw)
                     total[i] = sums[own].sum(axis=0)
                     joined = ";".join([texts[j] for j in own.tolist()])
                     out.append(hashlib.sha256(joined.encode()).hexdigest() if digest and joined else joined)
@@ -290,7 +313,13 @@ def align(docs: DataFrame, tokenizer_a: str = TOKENIZER_A, tokenizer_b: str = TO
         places = chunks.where("segment is not null")
         different = places.groupBy("segment").agg(F.sum("n").alias("n"))
         tokens = materialise(different.mapInArrow(_encode(tokenizer_a, tokenizer_b), TOKEN_SCHEMA), base, "tokens")
-        aligned = materialise(align_segments(tokens).join(tokens.select("w", "segment", "n"), "w"), base, "aligned")
+        for i in range(SLICES):
+            part = tokens.where(F.pmod(F.xxhash64("w"), F.lit(SLICES)) == i)
+            ends = materialise(token_ends(part), base, f"ends-{i}")
+            own = align_segments(ends).join(part.select("w", "segment", "n"), "w")
+            materialise(own, base, f"aligned/part={i}")
+            discard(spark, f"{base}/ends-{i}")
+        aligned = spark.read.schema(own.schema).parquet(f"{base}/aligned/part=*")
         discard(spark, f"{base}/tokens")
         links = aligned.select("w", F.explode("links").alias("link")).select("w", "link.a", "link.b")
         sums = links.join(link_counts(aligned), ["a", "b"]).groupBy("w").agg(
