@@ -15,7 +15,7 @@ SQL = entry.oracle_sql()
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_oracle(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = __spark_entry__.queries()[name](spark, sf_dir)
     cols = sorted(df.columns)

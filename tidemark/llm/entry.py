@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import align, chat, decontaminate, html_main, linededup, mixing, neardup, pii, quality, secrets, warc
+from tidemark.llm import align, chat, decontaminate, html_main, linededup, mixing, neardup, pii, quality, repair, secrets, topk, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_secret_scan": secrets.op8,
         "op9_line_dedup": linededup.op9,
         "op10_quality_forest": quality.op10,
+        "op11_repair_conversations": repair.op11,
+        "op12_pivot_top_k": topk.op12,
         "op13_align_tokens": align.op13,
     }
 
@@ -29,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_mix_sources": mixing.OP5_SQL,
         "op6_near_duplicates": neardup.OP6_SQL,
         "op9_line_dedup": linededup.OP9_SQL,
+        "op11_repair_conversations": repair.OP11_SQL,
+        "op12_pivot_top_k": topk.OP12_SQL,
     }
