@@ -60,6 +60,40 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], at: str, value
     return rows.select(*cols, (F.col("_run") + F.col("_before")).alias(name))
 
 
+def neighbour(df: DataFrame, keys: list[str], order: list[str], at: str, width: int, value: Column, name: str, ahead: bool = False) -> DataFrame:
+    """``df`` with ``value`` of the row before (``ahead``: after) in ``order`` within the keys; null where there is none.
+
+    A block's first row takes it from the nearest block before that has rows
+    of the key, so only one row for each block meets in a window over a key.
+    """
+    cols = df.columns
+    rows = df.withColumns({"_block": F.floor(F.col(at) / width), "_value": F.struct(value.alias("v"))})
+    way = [F.desc(c) for c in order] if ahead else [F.asc(c) for c in order]
+    own = Window.partitionBy(*keys, "_block").orderBy(*way)
+    nearest = F.min_by if ahead else F.max_by
+    edges = rows.groupBy(*keys, "_block").agg(nearest("_value", F.struct(*order)).alias("_edge"))
+    over = Window.partitionBy(*keys).orderBy(F.desc("_block") if ahead else "_block")
+    edges = edges.select(*keys, "_block", F.lag("_edge").over(over).alias("_beyond"))
+    out = rows.withColumn("_near", F.lag("_value").over(own)).join(edges, [*keys, "_block"], "left")
+    return out.select(*cols, F.coalesce("_near", "_beyond")["v"].alias(name))
+
+
+def last_seen(points: DataFrame, rows: DataFrame, keys: list[str], at: str, value: Column, name: str, width: int) -> DataFrame:
+    """``points`` with ``value`` of the latest of ``rows`` at or before their time (both have ``keys`` and ``at``); the largest value of equal times.
+
+    One line of both within blocks; what blocks before have seen last comes from one row for each block.
+    """
+    cols = points.columns
+    seen = F.struct(F.col(at).alias("t"), value.alias("v"))
+    line = points.withColumns({"_own": F.lit(True), "_seen": F.lit(None)}).unionByName(rows.select(*keys, at, seen.alias("_seen"), F.lit(False).alias("_own")), allowMissingColumns=True)
+    line = line.withColumn("_block", F.floor(F.col(at) / width))
+    over = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    edges = line.groupBy(*keys, "_block").agg(F.max("_seen").alias("_edge")).select(*keys, "_block", F.max("_edge").over(over).alias("_before"))
+    own = Window.partitionBy(*keys, "_block").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    line = line.withColumn("_seen", F.max("_seen").over(own)).where("_own").join(edges, [*keys, "_block"], "left")
+    return line.select(*cols, F.coalesce("_seen", "_before")["v"].alias(name))
+
+
 def hopping(df: DataFrame, at: str, grid: int, window: int) -> DataFrame:
     """``df`` with ``tick``: each row once for every multiple T of ``grid`` with T - window <= t <= T."""
     first = F.ceil(F.col(at) / grid)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import BEARISH_CONFLICTS, BULLISH_CONFLICTS, WINDOWS, Config
 from tidemark.functions.scalars import dec, ratio, signed
+from tidemark.operators.blocks import last_seen
 
 C = Config()
 
@@ -119,18 +120,31 @@ def score_sweeps(sweeps: DataFrame, trades: DataFrame, alerts: DataFrame, book:
     return out.withColumn("status", F.when(F.col("score") >= cfg.sweep_score, "SWEEP_CONFLUENCE").otherwise("LOW_CONFLUENCE"))
 
 
+def cooldown_reason() -> Column:
+    return F.format_string("Signal cooldown active (%.1fs remaining)", (F.col("cooldown_until") - F.col("ms")) / 1000)
+
+
+def with_cooldowns(committed: DataFrame) -> DataFrame:
+    """Committed decisions as the state machine would have given them had it known the cooldown: reason, gates and candidate of COOLDOWN rows."""
+    cooling = F.col("committed") == "COOLDOWN"
+    shown = {"reason": cooldown_reason(), "gates": F.create_map(F.lit("cooldown_inactive"), F.lit("FAIL")), "candidate": F.lit(False)}
+    return committed.withColumns({c: F.when(cooling, v).otherwise(F.col(c)) for c, v in shown.items()})
+
+
 def evaluate(x: DataFrame, cfg: Config = C) -> DataFrame:
     """The state machine over rows of features: action, reason, gates, candidate, gated.
 
     ``x`` has symbol, ms, delta_1m, delta_5m, buy_ratio_5m, imbalance,
     net_shift, valid, book_age, warming, bearish (a conflicting event is
     recent), bullish, sweep_direction, sweep_score, and optionally
-    cooldown_until. Gates come in order: validity, freshness, warm-up,
-    cooldown; then long and short candidates are weighed.
+    cooldown_until and book_ms (time of the last book, however old). Gates
+    come in order: validity, freshness, warm-up, cooldown; then long and short
+    candidates are weighed.
     """
     asked = x.columns
-    if "cooldown_until" not in x.columns:
-        x = x.withColumn("cooldown_until", F.lit(None).cast("long"))
+    for optional in ("cooldown_until", "book_ms"):
+        if optional not in x.columns:
+            x = x.withColumn(optional, F.lit(None).cast("long"))
     yes = lambda c: F.coalesce(c, F.lit(False))
     active = yes(F.col("sweep_score") >= cfg.sweep_score)
     swept = {"long": active & yes(F.col("sweep_direction") == "BULLISH"), "short": active & yes(F.col("sweep_direction") == "BEARISH")}
@@ -165,14 +179,15 @@ def evaluate(x: DataFrame, cfg: Config = C) -> DataFrame:
     both = F.map_from_entries(F.concat(F.filter(F.map_entries("_long_gates"), lambda e: e["key"] != "5m_delta_bias"), F.map_entries("_short_gates")))
     name = lambda p, side: F.when(p == 2, f"CONFIRMED_{side}").otherwise(f"WATCH_{side}")
     single = lambda k: F.create_map(F.lit(k), F.lit("FAIL"))
-    remaining = (F.col("cooldown_until") - F.col("ms")) / 1000
+    # Without any book the age is said to be this.
+    age = F.coalesce(F.col("ms") - F.col("book_ms"), F.col("book_age"), F.lit(9999)).cast("long")
     result = lambda action, reason, g, candidate, gated: F.struct(action.alias("action"), reason.alias("reason"), g.alias("gates"), F.lit(candidate).alias("candidate") if isinstance(candidate, bool) else candidate.alias("candidate"), F.lit(gated).alias("gated"))
     waiting = lambda reason, g: result(F.lit("WAITING"), F.lit(reason), g, False, False)
     decided = (
         F.when(F.col("valid").eqNullSafe(False), result(F.lit("DATA_INVALID"), F.lit("Book sync invalid or sequence gap active"), single("book_synced"), False, True))
-        .when(F.col("book_age").isNull() | (F.col("book_age") > cfg.stale_ms), result(F.lit("DATA_STALE"), F.lit("Depth stale"), single("freshness"), False, True))
+        .when(F.col("book_age").isNull() | (F.col("book_age") > cfg.stale_ms), result(F.lit("DATA_STALE"), F.format_string("Depth stale (age: %dms)", age), single("freshness"), False, True))
         .when(yes(F.col("warming")), result(F.lit("WARMING_UP"), F.lit("Rolling window is warming up"), single("warmup_complete"), False, True))
-        .when(yes(F.col("ms") < F.col("cooldown_until")), result(F.lit("COOLDOWN"), F.format_string("Signal cooldown active (%.1fs remaining)", remaining), single("cooldown_inactive"), False, False))
+        .when(yes(F.col("ms") < F.col("cooldown_until")), result(F.lit("COOLDOWN"), cooldown_reason(), single("cooldown_inactive"), False, False))
         .when((lp > 0) & (lp == sp), waiting("AMBIGUOUS_DIRECTIONAL_CONFLICT", both))
         .when(longer, result(name(lp, "LONG"), F.col("_long.reason"), F.col("_long_gates"), lp == 2, False))
         .when(shorter, result(name(sp, "SHORT"), F.col("_short.reason"), F.col("_short_gates"), sp == 2, False))
@@ -191,6 +206,7 @@ def decision_inputs(trades: DataFrame, alerts: DataFrame, book: DataFrame, score
     x = features_at(ticks, trades, alerts, book, scored, cfg, windows)
     start = trades.groupBy("symbol").agg(F.min("ms").alias("_start"))
     x = x.join(start, "symbol").withColumn("warming", F.col("ms") - F.col("_start") < max(windows.values())).drop("_start")
+    x = last_seen(x, book.select("symbol", F.col("snap_ms").alias("ms")), ["symbol"], "ms", F.col("ms"), "book_ms", cfg.block_ms)
     return x.withColumn("bearish", _seen(*BEARISH_CONFLICTS, within=cfg.conflict_ms)).withColumn("bullish", _seen(*BULLISH_CONFLICTS, within=cfg.conflict_ms))
 
 

@@ -17,8 +17,11 @@ GRID = 60_000
 
 
 def _book_features(spark, d):
+    return _features_of(written(src.book_levels(spark, d)))
+
+
+def _features_of(lv):
     """Snapshots with imbalance, spread, net shift and validity, written once; every 13th snapshot counts as out of sync."""
-    lv = written(src.book_levels(spark, d))
     x = book.book_metrics(lv).select("symbol", "snap_ms", F.round("imbalance", 9).alias("imbalance"), F.round("spread_bps", 6).alias("spread_bps"))
     shift = book.stacking(lv, 1_000_000, 2_000_000).select("symbol", "snap_ms", F.round("net_shift", 6).alias("net_shift"))
     return written(x.join(shift, ["symbol", "snap_ms"]).withColumn("valid", F.col("snap_ms") / 500_000 % 13 != 0))
@@ -82,6 +85,7 @@ tk AS (SELECT symbol, (ms // 60000 + 1) * 60000 AS ms, arg_max(price, seq) AS pr
 {_points("tk", "tick").replace("pf AS", "tf AS").replace("pa AS", "ta AS").replace("pb AS", "tb AS").replace("px AS", "tx AS").replace("JOIN pf ", "JOIN tf ").replace("JOIN pa ", "JOIN ta ").replace("JOIN pb ", "JOIN tb ").replace("pf.", "tf.").replace("pb.snap_ms", "tb.snap_ms")},
 ts AS (SELECT p.tick, arg_max(s.score, s.ms * 100000000 + s.sweep_id) AS sscore, arg_max(s.direction, s.ms * 100000000 + s.sweep_id) AS sdir FROM tk p LEFT JOIN sc s ON s.symbol = p.symbol AND s.ms BETWEEN p.ms - 300000 AND p.ms GROUP BY p.tick),
 ti AS (SELECT tx.*, coalesce(sscore >= 5, false) AND sdir = 'BULLISH' AS sl, coalesce(sscore >= 5, false) AND sdir = 'BEARISH' AS ss, tx.ms - (SELECT min(ms) FROM trades t WHERE t.symbol = tx.symbol) < 900000 AS warming,
+  (SELECT max(b.snap_ms) FROM bf b WHERE b.symbol = tx.symbol AND b.snap_ms <= tx.ms) AS seen_ms,
   {_in(BEARISH_CONFLICTS)} AS bearish, {_in(BULLISH_CONFLICTS)} AS bullish FROM tx JOIN ts USING (tick)),
 tg AS (SELECT *, coalesce(sl, false) AS swl, coalesce(ss, false) AS sws, coalesce(imbalance, 0) AS imb, coalesce(net_shift, 0) AS shift FROM ti),
 th AS (SELECT *, delta_5m >= 1000 OR swl AS bl, delta_5m <= -1000 OR sws AS bs FROM tg),
@@ -91,7 +95,7 @@ tp AS (SELECT *,
 decided AS (SELECT symbol, ms, price,
   CASE WHEN valid = false THEN 'DATA_INVALID' WHEN snap_ms IS NULL THEN 'DATA_STALE' WHEN warming THEN 'WARMING_UP' WHEN lp > 0 AND lp = sp THEN 'WAITING'
     WHEN lp > sp THEN CASE lp WHEN 2 THEN 'CONFIRMED_LONG' ELSE 'WATCH_LONG' END WHEN sp > lp THEN CASE sp WHEN 2 THEN 'CONFIRMED_SHORT' ELSE 'WATCH_SHORT' END ELSE 'WAITING' END AS action,
-  CASE WHEN valid = false THEN 'Book sync invalid or sequence gap active' WHEN snap_ms IS NULL THEN 'Depth stale' WHEN warming THEN 'Rolling window is warming up' WHEN lp > 0 AND lp = sp THEN 'AMBIGUOUS_DIRECTIONAL_CONFLICT'
+  CASE WHEN valid = false THEN 'Book sync invalid or sequence gap active' WHEN snap_ms IS NULL THEN 'Depth stale (age: ' || coalesce(ms - seen_ms, 9999) || 'ms)' WHEN warming THEN 'Rolling window is warming up' WHEN lp > 0 AND lp = sp THEN 'AMBIGUOUS_DIRECTIONAL_CONFLICT'
     WHEN lp > sp THEN CASE WHEN swl AND lp = 2 THEN 'Bullish sweep confluence confirmed' WHEN swl THEN 'Bullish sweep waiting for confirmation gates' WHEN lp = 2 THEN 'Bullish order flow bias confirmed'
       WHEN bl AND buy_ratio_5m >= 0.58 AND imb >= 0.15 THEN 'Flow bias watching stacking/pulling details' ELSE 'Delta/Aggression turning bullish' END
     WHEN sp > lp THEN CASE WHEN sws AND sp = 2 THEN 'Bearish sweep confluence confirmed' WHEN sws THEN 'Bearish sweep waiting for confirmation gates' WHEN sp = 2 THEN 'Bearish order flow bias confirmed'
@@ -101,11 +105,6 @@ decided AS (SELECT symbol, ms, price,
 _ALL = f"{_FEATURES}, {_SCORED}, {_DECIDED}"
 
 
-@query("t10_p18_bias_state", f"WITH {_ALL} SELECT symbol, ms, action, reason, gated FROM decided")
-def t10(spark, d):
-    return _decided(spark, d).select("symbol", "ms", "action", "reason", "gated")
-
-
 _COMMITTED = """od AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ms) AS i FROM decided),
 co AS (SELECT symbol, i, ms, price, 'WARMING_UP' AS old_action, action AS committed, CAST(CASE WHEN action <> 'WARMING_UP' THEN 1 ELSE 0 END AS BIGINT) AS version, CAST(CASE WHEN action LIKE 'CONFIRMED%' THEN ms + 180000 ELSE -1 END AS BIGINT) AS until FROM od WHERE i = 1
   UNION ALL SELECT o.symbol, o.i, o.ms, o.price, c.committed, CASE WHEN o.gated OR o.ms >= c.until THEN o.action ELSE 'COOLDOWN' END,
@@ -114,8 +113,17 @@ co AS (SELECT symbol, i, ms, price, 'WARMING_UP' AS old_action, action AS commit
   FROM co c JOIN od o ON o.symbol = c.symbol AND o.i = c.i + 1)"""
 
 
+# What a tick shows once the cooldown is known.
+_REASON = "CASE WHEN committed = 'COOLDOWN' THEN printf('Signal cooldown active (%.1fs remaining)', (until - co.ms) / 1000.0) ELSE reason END"
+
+
 def _committed(spark, d):
-    return folds.commit_decisions(_decided(spark, d), CFG)
+    return decisions.with_cooldowns(folds.commit_decisions(_decided(spark, d), CFG))
+
+
+@query("t10_p18_bias_state", f"WITH RECURSIVE {_ALL}, {_COMMITTED} SELECT symbol, ms, committed AS action, {_REASON} AS reason, gated FROM co JOIN decided USING (symbol, ms)")
+def t10(spark, d):
+    return _committed(spark, d).select("symbol", "ms", F.col("committed").alias("action"), "reason", "gated")
 
 
 @query("t4_w8_committed_decisions", f"WITH RECURSIVE {_ALL}, {_COMMITTED} SELECT symbol, ms, committed, version, CASE WHEN until >= 0 THEN until END AS cooldown_until FROM co")
@@ -170,7 +178,7 @@ vd AS (SELECT symbol, i, pos, u AS seen, CAST(0 AS BIGINT) AS epoch, 'OK' AS ver
 
 @query("t2_w9_sequence_verdicts", f"WITH RECURSIVE {_DIFFS} SELECT symbol, pos, verdict, epoch FROM vd")
 def t2(spark, d):
-    return folds.sequence_verdicts(src.depth_diffs(spark, d)).select("symbol", "pos", "verdict", "epoch")
+    return folds.sequence_verdicts(src.depth_diffs(spark, d), width=50_000).select("symbol", "pos", "verdict", "epoch")
 
 
 @query("a21_sync_counters", f"WITH RECURSIVE {_DIFFS} SELECT symbol, count(*) AS messages, count(*) FILTER (WHERE verdict = 'GAP') AS gaps, count(*) FILTER (WHERE verdict = 'DUPLICATE') AS duplicates, count(*) FILTER (WHERE verdict = 'OUT_OF_ORDER') AS out_of_order, max(epoch) AS resyncs FROM vd GROUP BY symbol")
@@ -195,6 +203,40 @@ def t1(spark, d):
     return depth.book_at_end(ch).select("symbol", "side", "price", "qty")
 
 
+_DEPTH = f"""{_DIFFS}, sz AS (SELECT ['click','error','purchase','signup','view'][(l_suppkey % 5) + 1] AS symbol, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_partkey % 3 = 0 THEN 'ASK' ELSE 'BID' END AS side,
+  CAST(CASE WHEN l_partkey % 3 = 0 THEN 100.02 + l_partkey % 60 * 0.02 ELSE 100 - l_partkey % 60 * 0.02 END AS DECIMAL(10,2)) AS price, CAST(max(l_quantity % 7) AS DECIMAL(10,2)) AS qty FROM lineitem GROUP BY ALL),
+br AS (SELECT symbol, epoch - 1 AS epoch, min(pos) AS brk FROM vd GROUP BY ALL),
+lf AS (SELECT *, lead(pos) OVER (PARTITION BY symbol, epoch, side, price ORDER BY pos) AS nxt FROM sz JOIN (SELECT symbol, pos, epoch FROM vd WHERE verdict = 'OK') USING (symbol, pos)),
+lives AS (SELECT lf.*, least(coalesce(nxt, brk), coalesce(brk, nxt)) AS fin FROM lf LEFT JOIN br USING (symbol, epoch) WHERE qty > 0),
+tck AS (SELECT DISTINCT ['click','error','purchase','signup','view'][(o_custkey % 5) + 1] AS symbol, o_orderkey * 10 + 9 AS pos FROM orders),
+stand AS (SELECT t.symbol, t.pos, side, price, qty, row_number() OVER (PARTITION BY t.symbol, t.pos, side ORDER BY CASE WHEN side = 'BID' THEN -price ELSE price END) AS rk
+  FROM tck t JOIN lives l ON l.symbol = t.symbol AND l.pos <= t.pos AND t.pos < coalesce(l.fin, 9000000000000000000)),
+top AS (SELECT symbol, pos, max(price) FILTER (WHERE side = 'BID') AS best_bid, min(price) FILTER (WHERE side = 'ASK') AS best_ask, coalesce(sum(price * qty) FILTER (WHERE side = 'BID'), 0) AS b, coalesce(sum(price * qty) FILTER (WHERE side = 'ASK'), 0) AS a FROM stand WHERE rk <= 5 GROUP BY ALL)"""
+
+
+def _depth_lives(spark, d):
+    """Lives of levels and ticks: every line sets a level, every order asks for the book."""
+    part = F.col("l_partkey")
+    away = part % 60 * F.lit(0.02).cast("decimal(4,2)")
+    price = F.when(part % 3 == 0, F.lit(100.02).cast("decimal(10,2)") + away).otherwise(F.lit(100).cast("decimal(10,2)") - away).cast("decimal(10,2)")
+    changes = src.table(spark, d, "lineitem").select(
+        src._symbol(F.col("l_suppkey") % 5).alias("symbol"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.when(part % 3 == 0, "ASK").otherwise("BID").alias("side"),
+        price.alias("price"), (F.col("l_quantity") % 7).cast("decimal(10,2)").alias("qty"),
+    )
+    messages = written(folds.sequence_verdicts(src.depth_diffs(spark, d), width=50_000))
+    ticks = src.table(spark, d, "orders").select(src._symbol(F.col("o_custkey") % 5).alias("symbol"), (F.col("o_orderkey") * 10 + 9).alias("pos"))
+    return depth.level_lives(messages, changes, 50_000), ticks
+
+
+@query("t1_s7_book_over_time", f"""WITH RECURSIVE {_DEPTH} SELECT symbol, pos, best_bid, best_ask, round(CAST(best_bid + best_ask AS DOUBLE) / 2, 6) AS mid, round(CAST(best_ask - best_bid AS DOUBLE) / (CAST(best_bid + best_ask AS DOUBLE) / 2) * 10000, 6) AS spread_bps,
+  CASE WHEN coalesce(a + b, 0) > 0 THEN round(CAST(b - a AS DOUBLE) / CAST(a + b AS DOUBLE), 6) ELSE 0 END AS imbalance FROM tck LEFT JOIN top USING (symbol, pos)""")
+def t1_over_time(spark, d):
+    """The top of the book at every tick, from differences alone."""
+    lives, ticks = _depth_lives(spark, d)
+    x = depth.top_of_book(depth.book_at(lives, ticks), ticks)
+    return x.select("symbol", "pos", "best_bid", "best_ask", *[r6(c) for c in ("mid", "spread_bps", "imbalance")])
+
+
 @query("j1_t12_snapshot_sync", """WITH d AS (SELECT ['click','error','purchase','signup','view'][(l_suppkey % 5) + 1] AS symbol, l_orderkey * 10 AS first_u, max(l_orderkey * 10 + l_linenumber) AS u FROM lineitem GROUP BY ALL),
 s AS (SELECT DISTINCT ['click','error','purchase','signup','view'][(o_custkey % 5) + 1] AS symbol, o_orderkey * 10 + 1 AS last_id FROM orders),
 f AS (SELECT s.symbol, last_id, u AS mu, first_u AS fu FROM s ASOF LEFT JOIN d ON d.symbol = s.symbol AND s.last_id < d.u)

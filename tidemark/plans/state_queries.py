@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import labels, scalars
 from tidemark.operators import depth, interpret, reports, trades
-from tidemark.plans.decision_queries import _ALL, _COMMITTED, _CTX, _OUT, _committed, _contexts, _decided, _outcomes, _trends, _TRENDS
+from tidemark.plans.decision_queries import _ALL, _COMMITTED, _CTX, _OUT, _REASON, _committed, _contexts, _decided, _outcomes, _trends, _TRENDS
 from tidemark.plans.registry import ALERTS, LEVELS, SIGNALS, TRADES, query
 from tidemark.plans.trade_queries import CFG, r6
 from tidemark.operators import outcomes as outc
@@ -116,11 +116,11 @@ _SHORT = ["1m_delta_negative", "delta_1m < 0"], ["5m_delta_bias", "bs"], ["imbal
 _lists = {k: "[" + ", ".join(_gate(*g) for g in gates) + "]" for k, gates in {"long": (*_LONG, ["5m_delta_bias", "bl"]), "short": _SHORT, "both": (*_LONG, *_SHORT)}.items()}
 
 
-@query("p18_u5_gates", f"""WITH {_ALL} SELECT symbol, ms, array_to_string(list_sort(CASE WHEN valid = false THEN ['book_synced=FAIL'] WHEN snap_ms IS NULL THEN ['freshness=FAIL'] WHEN warming THEN ['warmup_complete=FAIL'] WHEN lp > 0 AND lp = sp THEN {_lists['both']}
-  WHEN lp > sp THEN {_lists['long']} WHEN sp > lp THEN {_lists['short']} WHEN bl AND bearish THEN {_lists['long']} WHEN bs AND bullish THEN {_lists['short']} ELSE {_lists['both']} END), ';') AS gates FROM tp""")
+@query("p18_u5_gates", f"""WITH RECURSIVE {_ALL}, {_COMMITTED} SELECT symbol, ms, array_to_string(list_sort(CASE WHEN valid = false THEN ['book_synced=FAIL'] WHEN snap_ms IS NULL THEN ['freshness=FAIL'] WHEN warming THEN ['warmup_complete=FAIL'] WHEN committed = 'COOLDOWN' THEN ['cooldown_inactive=FAIL'] WHEN lp > 0 AND lp = sp THEN {_lists['both']}
+  WHEN lp > sp THEN {_lists['long']} WHEN sp > lp THEN {_lists['short']} WHEN bl AND bearish THEN {_lists['long']} WHEN bs AND bullish THEN {_lists['short']} ELSE {_lists['both']} END), ';') AS gates FROM tp JOIN (SELECT symbol, ms, committed FROM co) USING (symbol, ms)""")
 def p18(spark, d):
     text = F.transform(F.array_sort(F.map_entries("gates")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return _decided(spark, d).select("symbol", "ms", F.array_join(text, ";").alias("gates"))
+    return _committed(spark, d).select("symbol", "ms", F.array_join(text, ";").alias("gates"))
 
 
 @query("a29_k7_interpretation_ranks", f"""WITH {TRADES}, {SIGNALS}, la AS (SELECT symbol, arg_max('CONFIRMED_' || direction, ms * 100000000 + signal_id) AS action FROM signals WHERE symbol <> 'view' GROUP BY symbol),
@@ -207,7 +207,7 @@ def s3(spark, d):
     return readers.level_changes(x).select("symbol", F.col("u").alias("last_id"), "side", "price", "qty")
 
 
-@query("s9_transition_log", f"""WITH RECURSIVE {_ALL}, {_COMMITTED} SELECT {_ISO.format(ms='co.ms')} AS timestamp, symbol, old_action, committed AS new_action, round(co.price, 6) AS price, CASE WHEN reason LIKE '%SUPPRESSED%' THEN reason END AS suppression_reason, reason
+@query("s9_transition_log", f"""WITH RECURSIVE {_ALL}, {_COMMITTED} SELECT {_ISO.format(ms='co.ms')} AS timestamp, symbol, old_action, committed AS new_action, round(co.price, 6) AS price, CASE WHEN {_REASON} LIKE '%SUPPRESSED%' THEN reason END AS suppression_reason, {_REASON} AS reason
 FROM co JOIN decided USING (symbol, ms) WHERE committed <> old_action""")
 def s9(spark, d):
     path = shared_dir(spark)

@@ -111,20 +111,26 @@ def _time(c: Column) -> Column:
 
 
 def sweeps(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """(sweep_id, symbol, time, direction, level, state, source) from lines of either width.
+    """The sweeps in the files of a folder (:func:`parse_sweeps`)."""
+    return parse_sweeps((spark.readStream if streaming else spark.read).text(path))
+
+
+def parse_sweeps(lines: DataFrame) -> DataFrame:
+    """(sweep_id, symbol, time, direction, level, state, source) from lines (``value``) of either width.
 
     Rows of 15 fields or more are positional (time, symbol, direction, level,
-    then state at 7, id at 13, source at 14); rows of five are the first
-    format, whose header is skipped. Others are dropped.
+    then state at 7, id at 13, source at 14); shorter ones are the first
+    format: the id is the fifth field, or is made of the first four where that
+    is missing. Headers and rows of under four fields are dropped.
     """
-    lines = (spark.readStream if streaming else spark.read).text(path)
     x = F.from_csv(F.col("value"), F.lit(", ".join(f"c{k} string" for k in range(15))), {"mode": "PERMISSIVE"})
-    rows = lines.select(x.alias("x"), F.size(F.split("value", ",")).alias("n")).where("(n = 5 or n >= 15) and lower(trim(x.c0)) <> 'timestamp'")
+    rows = lines.select(x.alias("x"), F.size(F.split("value", ",")).alias("n")).where("n >= 4 and lower(trim(x.c0)) <> 'timestamp'")
     wide = F.col("n") >= 15
     pick = lambda a, b: F.trim(F.when(wide, F.col(f"x.{a}")).otherwise(F.col(f"x.{b}") if b else F.lit(None)))
+    made = F.concat(F.lit("swp_"), F.concat_ws("_", *[F.trim(f"x.c{k}") for k in range(4)]))
     return rows.select(
-        pick("c13", "c4").alias("sweep_id"), F.lower(pick("c1", "c1")).alias("symbol"), _time(pick("c0", "c0")).alias("time"), F.upper(pick("c2", "c2")).alias("direction"),
-        pick("c3", "c3").try_cast("double").alias("level"), pick("c7", None).alias("state"), pick("c14", None).alias("source")).where("sweep_id <> '' and time is not null")
+        F.when(F.col("n") == 4, made).otherwise(pick("c13", "c4")).alias("sweep_id"), F.lower(pick("c1", "c1")).alias("symbol"), _time(pick("c0", "c0")).alias("time"), F.upper(pick("c2", "c2")).alias("direction"),
+        pick("c3", "c3").try_cast("double").alias("level"), F.when(wide, F.trim("x.c7")).when(F.col("n") > 7, F.trim("x.c7")).alias("state"), pick("c14", None).alias("source")).where("sweep_id <> '' and time is not null")
 
 
 def sweeps_to_replay(rows: DataFrame, now: Column, hours: float = 12.0) -> DataFrame:

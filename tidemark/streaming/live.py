@@ -7,14 +7,17 @@ batch operators on the same rows; late rows are dropped by the watermark.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tidemark.config import Config
+from tidemark.functions import bookstate
 from tidemark.operators.trades import volumes
 
 C = Config()
@@ -80,3 +83,152 @@ def live_book(depth: DataFrame) -> DataFrame:
     Only the highest epoch of a symbol counts for readers; sizes of 0 are levels that are gone.
     """
     return depth.groupBy("symbol", "epoch", "side", "price").agg(F.max_by("qty", "u").alias("qty"), F.max("u").alias("u"))
+
+
+class InOrder(StatefulProcessor):
+    """Holds a key's rows (``ms``, ``seq``, and ``body`` as JSON) until the watermark has passed them, then takes them in order.
+
+    Rows may come in any order within the watermark; each is taken once. Rows
+    that come after it are dropped by the stream. ``take(rows)`` gets the rows
+    that are due as (ms, seq, body) and gives output rows.
+    """
+
+    columns: list[str]
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms long, seq long", "body string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        times = set()
+        for part in rows:
+            for ms, seq, body in zip(part["ms"].tolist(), part["seq"].tolist(), part["body"].tolist(), strict=True):
+                self.waiting.updateValue((ms, seq), (body,))
+                times.add(ms)
+        for ms in times:
+            self.handle.registerTimer(ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        ready = sorted((*k, v[0]) for k, v in self.waiting.iterator() if k[0] <= due)
+        for ms, seq, _ in ready:
+            self.waiting.removeKey((ms, seq))
+        out = self.take(ready)
+        if out:
+            yield pd.DataFrame([(key[0], *x) for x in out], columns=self.columns)
+
+    def take(self, rows: list[tuple[int, int, str]]) -> list[tuple]:
+        raise NotImplementedError
+
+
+class LiveBook(InOrder):
+    """A symbol's book in state: a map of levels, the differences that wait for a snapshot, and where the book stands."""
+
+    columns = ["symbol", "ms", "seq", "verdict", "state", "best_bid", "best_ask", "n_levels"]
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.levels = handle.getMapState("levels", "side string, price double", "qty double")
+        self.buffer = handle.getListState("buffer", "body string")
+        self.standing = handle.getValueState("standing", "state string, last long")
+
+    def _read(self) -> dict:
+        s = bookstate.new_book()
+        if self.standing.exists():
+            s["state"], s["last"] = self.standing.get()
+        s["book"] = {(k[0], k[1]): v[0] for k, v in self.levels.iterator()}
+        s["buffer"] = [json.loads(x[0]) for x in self.buffer.get()] if self.buffer.exists() else []
+        return s
+
+    def take(self, rows: list[tuple[int, int, str]]) -> list[tuple]:
+        if not rows:
+            return []
+        s = self._read()
+        before, waited, out = dict(s["book"]), s["buffer"], []
+        for ms, seq, body in rows:
+            x = json.loads(body)
+            levels = [(v["side"], v["price"], v["qty"]) for v in x.get("levels") or ()]
+            out.append((ms, seq, *bookstate.on_message(s, x["kind"], x.get("first_u"), x["u"], x.get("pu"), levels)))
+        for k in before.keys() - s["book"].keys():
+            self.levels.removeKey(k)
+        for k, qty in s["book"].items():
+            if before.get(k) != qty:
+                self.levels.updateValue(k, (qty,))
+        if s["buffer"] is not waited:
+            self.buffer.put([(json.dumps(m),) for m in s["buffer"]]) if s["buffer"] else self.buffer.clear()
+        self.standing.update((s["state"], s["last"]))
+        return out
+
+
+def _in_order(rows: DataFrame, late: str) -> DataFrame:
+    """(symbol, ms, seq, body, event_time): what :class:`InOrder` takes; all other columns travel in ``body``."""
+    rest = [c for c in rows.columns if c not in ("symbol", "ms", "seq")]
+    slim = rows.select("symbol", "ms", "seq", F.to_json(F.struct(*rest)).alias("body"), F.timestamp_millis("ms").alias("event_time"))
+    return slim.withWatermark("event_time", late)
+
+
+def live_synced_books(messages: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """:func:`~tidemark.operators.folds.synced_books` on a stream of snapshots and differences, each message as soon as the watermark has passed it.
+
+    Needs a session whose state store has maps and timers
+    (``spark.sql.streaming.stateStore.providerClass``: RocksDB).
+    """
+    out = "symbol string, ms long, seq long, verdict string, state string, best_bid double, best_ask double, n_levels int"
+    return _in_order(messages, late).groupBy("symbol").transformWithStateInPandas(LiveBook(), out, "append", "EventTime")
+
+
+class LiveWalls(InOrder):
+    """Standing walls of a symbol in state; a wall is given out when a snapshot comes without it.
+
+    ``body`` holds a snapshot's ``levels`` (side, price, notional). A level is
+    a wall if it is worth at least ``least`` and ``multiple`` times the five
+    best bids; only the 100 best levels of a side count.
+    """
+
+    columns = ["symbol", "price", "side", "first_ms", "gone_ms", "updates", "most", "average", "current", "added", "removed", "refills"]
+
+    def __init__(self, least: float, multiple: float):
+        self.least, self.multiple = least, multiple
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.walls = handle.getMapState("walls", "price double", "side string, first_ms long, updates long, most double, total double, current double, added double, removed double, refills long")
+
+    def _large(self, levels: list[dict]) -> dict[float, tuple[str, float]]:
+        best = {side: sorted((x for x in levels if x["side"] == side), key=lambda x: x["price"], reverse=side == "BID")[:100] for side in ("BID", "ASK")}
+        threshold = max(self.least, self.multiple * sum(x["notional"] for x in best["BID"][:5]))
+        return {x["price"]: (side, x["notional"]) for side, rows in best.items() for x in rows if x["notional"] >= threshold}
+
+    def take(self, rows: list[tuple[int, int, str]]) -> list[tuple]:
+        standing = {k[0]: v for k, v in self.walls.iterator()}
+        before, out = dict(standing), []
+        for ms, _, body in rows:
+            large = self._large(json.loads(body)["levels"] or [])
+            for price in standing.keys() - large.keys():
+                side, first, updates, most, total, *rest = standing.pop(price)
+                out.append((price, side, first, ms, updates, most, total / updates, *rest))
+            for price, (side, value) in large.items():
+                if price not in standing:
+                    standing[price] = (side, ms, 1, value, value, value, 0.0, 0.0, 0)
+                    continue
+                side, first, updates, most, total, current, added, removed, refills = standing[price]
+                change, most = value - current, max(most, value)
+                refilled = current < most * 0.2 and change > most * 0.3
+                standing[price] = (side, first, updates + 1, most, total + value, value, added + max(change, 0), removed + max(-change, 0), refills + refilled)
+        for price in before.keys() - standing.keys():
+            self.walls.removeKey((price,))
+        for price, wall in standing.items():
+            if before.get(price) != wall:
+                self.walls.updateValue((price,), wall)
+        return out
+
+
+def live_walls(snapshots: DataFrame, cfg: Config = C, late: str = "10 seconds") -> DataFrame:
+    """Walls that have gone, from a stream of snapshots (symbol, ms, seq, levels: array of side, price, notional).
+
+    One row for each wall as of the snapshot without it, as :func:`~tidemark.operators.book.walls`
+    has them; walls that still stand are in the state. Sums are doubles.
+    """
+    out = "symbol string, price double, side string, first_ms long, gone_ms long, updates long, most double, average double, current double, added double, removed double, refills long"
+    return _in_order(snapshots, late).groupBy("symbol").transformWithStateInPandas(LiveWalls(cfg.wall_least, cfg.wall_multiple), out, "append", "EventTime")
