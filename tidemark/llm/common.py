@@ -23,7 +23,7 @@ BLANK_WORD = r"[^\x20\x09-\x0D]+"
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-__all__ = ["ALNUM", "BLANK_WORD", "LOWER", "discard", "hot_join", "lower_az", "materialise", "shared_dir", "short_shuffles", "table"]
+__all__ = ["ALNUM", "BLANK_WORD", "LOWER", "discard", "hot_join", "lower_az", "materialise", "set_aside", "shared_dir", "short_shuffles", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,22 @@ def materialise(df: DataFrame, base: str, name: str, codec: str = "snappy") -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns of these names (in any case) under names that nobody uses, and what they are called now.
+
+    For operators that need ``names`` themselves while a document's own columns stay.
+    """
+    used, moved = {c.lower() for c in (*docs.columns, *names)}, {}
+    for c in docs.columns:
+        if c.lower() in {n.lower() for n in names}:
+            new = f"_aside_{len(moved)}"
+            while new in used:
+                new += "_"
+            used.add(new)
+            moved[c] = new
+    return docs.withColumnsRenamed(moved), moved
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a table of the shared folder that no later step reads."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -290,7 +290,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     found = search_index(build_index(docs, base), benchmark, **kw)
     gone = materialise(found.where("n_hit > 0").select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct(), base, "contaminated")
     small = gone.count() <= BROADCAST_IDS
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_key"))
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_key"])
     return docs.join(F.broadcast(gone) if small else gone, same, "left_anti")
 
 

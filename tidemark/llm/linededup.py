@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, hot_join, materialise, shared_dir, table
+from tidemark.llm.common import LOWER, hot_join, materialise, set_aside, shared_dir, table
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,10 @@ def passages(docs: DataFrame, cfg: LineConfig | None = None, base: str | None =
     cfg = cfg or LineConfig()
     base = base or shared_dir(docs.sparkSession)
     units = materialise(line_units(docs), base, "units")
-    counts = materialise(units.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), base, "counts")
+    # Repeated rows hold a unit at the same place of the same text: a unit is repeated if two places differ.
+    place = F.xxhash64("_id", "_th", "at")
+    counts = units.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("least"), F.max(place).alias("most"))
+    counts = materialise(counts.where("least <> most").select("digest", "n"), base, "counts")
     limit = units.count() / cfg.hot_digests
     hot = counts.where(F.col("n") > limit).select("digest")
     repeated = hot_join(units, counts.select("digest"), hot, ["digest"]).distinct()
@@ -104,9 +107,12 @@ def dedup_lines(docs: DataFrame, cfg: LineConfig | None = None) -> DataFrame:
     original text, each with the one character after it; ``_repeated`` counts
     the units within passages, kept ones too; ``_first_id`` is the least doc_id
     that keeps one of them (null if there is none). Null and empty texts stay
-    as they are. Other columns stay; repeated rows stay repeated and share
-    their fate; an empty table gives an empty table.
+    as they are. Other columns stay, whatever their names, but for those three,
+    which are replaced; repeated rows stay repeated and share their fate; an
+    empty table gives an empty table.
     """
+    columns = [c for c in docs.columns if c.lower() not in ("_removed", "_repeated", "_first_id")]
+    docs, moved = set_aside(docs.select(*[f"`{c}`" for c in columns]), "_id", "_th", "_i", "_t", "spans", "repeated", "first_id")
     gone = removals(docs, cfg).select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), "spans", "repeated", "first_id")
     own = _identified(docs)
     out = own.join(gone, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left")
@@ -117,7 +123,7 @@ def dedup_lines(docs: DataFrame, cfg: LineConfig | None = None) -> DataFrame:
     )
     clean = F.when(F.size("_removed") > 0, F.array_join(kept, "")).otherwise(F.col("text"))
     out = out.withColumn("_removed", spans).withColumn("text", clean).withColumn("_repeated", F.coalesce("repeated", F.lit(0))).withColumn("_first_id", F.col("first_id"))
-    return out.select(*docs.columns, "_removed", "_repeated", "_first_id")
+    return out.select(*[f"`{c}`" for c in docs.columns], "_removed", "_repeated", "_first_id").withColumnsRenamed({v: k for k, v in moved.items()})
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
@@ -139,7 +145,7 @@ o AS (
          regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM u),
 n AS (SELECT doc_id, i, a, l, len(w) AS n, array_to_string(w, ' ') AS k FROM o WHERE len(w) > 0),
-c AS (SELECT *, count(*) OVER (PARTITION BY k) > 1 AS again, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM n),
+c AS (SELECT *, min({'d': doc_id, 'i': i}) OVER (PARTITION BY k) <> max({'d': doc_id, 'i': i}) OVER (PARTITION BY k) AS again, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM n),
 g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS isle FROM c WHERE again),
 p AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, isle) AS total FROM g),
 q AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, a) > 1 AS gone, first_value(doc_id) OVER (PARTITION BY k ORDER BY doc_id, a) AS first_id FROM p WHERE total >= 35),

@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANK_WORD, materialise, shared_dir, table
+from tidemark.llm.common import BLANK_WORD, materialise, set_aside, shared_dir, table
 
 #: Weights by rank of the source name, repeating.
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2.0, "mix-1"
+#: The columns that rates add to documents.
+RATES = ("_size", "_source_size", "_target", "_copies")
 #: A table of at most so many sources is broadcast (some 100 bytes each); larger ones are joined by shuffle.
 BROADCAST_SOURCES = 100_000
 #: Rows of the source table in one partition when names are ranked.
@@ -73,9 +75,13 @@ def mix_rates(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, cap: fl
     A null text has size 0 and a null source is a source of its own, the last
     in order. Sources of size 0 have target 0; their documents get no copy.
     The Bernoulli draw hashes the seed and doc_id (null: the text), so reruns
-    agree and repeated rows share their fate. Other columns stay as they are.
-    An empty table gives an empty table.
+    agree and repeated rows share their fate. Other columns stay as they are;
+    columns that already have one of the four names are replaced. An empty
+    table gives an empty table.
     """
+    docs, replaced = set_aside(docs, *RATES, "_source")
+    own = {k: v for k, v in replaced.items() if k.lower() == "_source"}
+    docs = docs.drop(*(v for k, v in replaced.items() if k not in own))
     base = shared_dir(docs.sparkSession)
     sizes = docs.select("source", count_words(F.col("text")).alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
     targets = source_targets(materialise(sizes, base, "sizes"), base, weights, share, cap)
@@ -87,7 +93,7 @@ def mix_rates(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, cap: fl
     key = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit("")))))
     draw = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(16.0**13)
     copies = F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("_copies", copies).drop("_source")
+    return joined.withColumn("_copies", copies).drop("_source").withColumnsRenamed({v: k for k, v in own.items()})
 
 
 def emit_copies(rated: DataFrame, columns: list[str]) -> DataFrame:
@@ -97,8 +103,10 @@ def emit_copies(rated: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def mix(docs: DataFrame, **kw) -> DataFrame:
-    """The mixed corpus: the columns of ``docs`` and ``copy``."""
-    return emit_copies(mix_rates(docs, **kw), [c for c in docs.columns if c != "copy"])
+    """The mixed corpus: the columns of ``docs``, whatever their names, and ``copy`` (which replaces one of that name)."""
+    docs = docs.drop("copy")
+    plain, moved = set_aside(docs, *RATES)
+    return emit_copies(mix_rates(plain, **kw), plain.columns).withColumnsRenamed({v: k for k, v in moved.items()})
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

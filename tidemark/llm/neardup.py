@@ -350,7 +350,7 @@ def drop_near_duplicates(docs: DataFrame, cfg: SketchConfig | None = None) -> Da
     cfg = cfg or SketchConfig()
     gone = _judged(docs, cfg).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
     gone = materialise(gone, shared_dir(docs.sparkSession), "gone")
-    same = (docs["doc_id"].cast("long") == F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_th"))
+    same = (docs["doc_id"].cast("long") == gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_th"])
     return docs.join(F.broadcast(gone) if gone.count() <= cfg.broadcast_ids else gone, same, "left_anti")
 
 

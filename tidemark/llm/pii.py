@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import set_aside, table
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -394,8 +394,10 @@ def redact(docs: DataFrame, cfg: FieldConfig | None = None) -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind in brackets.
 
     Overlapping spans become one, of the first one's kind. ``n_chars``, where
-    present, is counted anew. Null texts stay null.
+    present, is counted anew. Null texts stay null; other columns stay,
+    whatever their names.
     """
+    docs, moved = set_aside(docs, "_pii")
     cols = docs.columns
     cut = F.aggregate(
         "_pii",
@@ -409,7 +411,7 @@ def redact(docs: DataFrame, cfg: FieldConfig | None = None) -> DataFrame:
     out = find_pii(docs, cfg).withColumn("text", clean)
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.when(F.size("_pii") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*cols)
+    return out.select(*[f"`{c}`" for c in cols]).withColumnsRenamed({v: k for k, v in moved.items()})
 
 
 def count_kind(spans, kind: str):

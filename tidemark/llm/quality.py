@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, shared_dir, table
+from tidemark.llm.common import materialise, set_aside, shared_dir, table
 
 STATS_SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -250,8 +250,10 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, cfg: ForestConfig | Non
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, cfg: ForestConfig | None = None) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns."""
-    return quality_verdicts(docs, labels, cfg).where("_kept").select(*docs.columns)
+    """The rows of ``docs`` that are kept, with their own columns, whatever their names."""
+    docs, moved = set_aside(docs, "_stats", "base_failed", "anomaly", "_kept")
+    out = quality_verdicts(docs, labels, cfg).where("_kept").select(*[f"`{c}`" for c in docs.columns])
+    return out.withColumnsRenamed({v: k for k, v in moved.items()})
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
