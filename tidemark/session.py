@@ -16,8 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
-#: Texts in one Arrow batch: bounds what a Python worker and the JVM's buffers hold at once.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch: bounds what a Python worker holds at once, and the JVM outside its heap, whose
+#: buffers grow by doubling and are there twice while a batch is sent.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def session(app: str = "tidemark", **more: str) -> SparkSession:
@@ -53,12 +54,14 @@ def written(df: DataFrame) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Make a session ready for the operators.
 
-    Arrow batches get at most ``BATCH_ROWS`` rows. The package is sent to the
-    executors, once for each context, so that Python workers can import it.
+    Arrow batches get at most ``BATCH_ROWS`` rows and, but for single larger
+    rows, ``BATCH_BYTES``. The package is sent to the executors, once for each
+    context, so that Python workers can import it.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_tidemark_shipped", False):
         return
