@@ -37,7 +37,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, materialise, shared_dir, short_shuffles, table
+from tidemark.llm.common import discard, lean_shuffles, materialise, shared_dir, table
 
 TOKENIZER_A = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
@@ -54,7 +54,7 @@ MOST_PLACES = 4_000_000
 #: Segments in one output batch.
 ROWS = 20_000
 #: Parts in which segments are aligned one after the other: bounds the shuffle files that are there at once.
-SLICES = 6
+SLICES = 4
 
 COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
@@ -210,17 +210,16 @@ def _encode(path_a: str, path_b: str):
     return work
 
 
-def token_ends(tokens: DataFrame) -> DataFrame:
-    """One row for each w and position: the token of either side there (null beyond its last) and the byte that it ends at."""
-    dealt = tokens.select("w", "a", "a_size", "b", "b_size").repartition("w")
-    rows = dealt.select("w", F.posexplode(F.arrays_zip("a", "a_size", "b", "b_size")).alias("pos", "token"))
+def token_ends(tokens: DataFrame, side: str) -> DataFrame:
+    """(w, end, id as ``side``): one row for each token of one tokenizer, with the byte that it ends at."""
+    dealt = tokens.select("w", side, f"{side}_size").repartition("w")
+    rows = dealt.select("w", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_size").alias("size"))).alias("pos", "token"))
     so_far = Window.partitionBy("w").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    end = lambda side: F.sum(f"token.{side}_size").over(so_far).alias(f"{side}_end")
-    return rows.select("w", "token.a", end("a"), "token.b", end("b"))
+    return rows.select("w", F.sum("token.size").over(so_far).alias("end"), F.col("token.id").alias(side))
 
 
-def align_segments(ends: DataFrame) -> DataFrame:
-    """For each w of ``ends``: ``groups`` as text, n_a, n_b, n_groups, and ``links`` as an array of (a, b).
+def align_segments(tokens: DataFrame) -> DataFrame:
+    """For each w of ``tokens``: ``groups`` as text, n_a, n_b, n_groups, and ``links`` as an array of (a, b).
 
     Rows of both sides meet on (w, end). From the end of a segment backwards,
     the number of ends that both have is the group; and the last token seen of
@@ -229,21 +228,29 @@ def align_segments(ends: DataFrame) -> DataFrame:
     of the two changes: so each end makes one link, and a group without inner
     cuts costs its ends and not the product of its sides.
     """
-    side = lambda c: ends.where(F.col(c).isNotNull()).select("w", F.col(f"{c}_end").alias("end"), c)
-    both = side("a").join(side("b"), ["w", "end"], "full")
+    both = token_ends(tokens, "a").join(token_ends(tokens, "b"), ["w", "end"], "full")
     cut = F.col("a").isNotNull() & F.col("b").isNotNull()
     back = Window.partitionBy("w").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     rows = both.select(
-        "w", "end", "a", "b", (-F.sum(cut.cast("int")).over(back)).alias("group"),
-        F.struct(F.last("a", True).over(back).alias("a"), F.last("b", True).over(back).alias("b")).alias("link"),
+        "w", "end", (-F.sum(cut.cast("int")).over(back)).alias("group"), "a", "b",
+        F.last("a", True).over(back).alias("over_a"), F.last("b", True).over(back).alias("over_b"),
     )
-    ordered = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", c))))
-    grouped = rows.groupBy("w", "group").agg(ordered("a").alias("as"), ordered("b").alias("bs"), F.collect_list("link").alias("links"))
-    ids = lambda c, k: F.array_join(F.transform(c, lambda x: x[k].cast("string")), ",")
-    text = grouped.select("w", "group", F.concat(ids("as", "a"), F.lit("|"), ids("bs", "b")).alias("text"), F.size("as").alias("n_a"), F.size("bs").alias("n_b"), "links")
-    return text.groupBy("w").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "text"))), lambda x: x["text"]), ";").alias("groups"),
-        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.flatten(F.collect_list("links")).alias("links"),
+    ends = rows.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("group", "end", "a", "b", "over_a", "over_b"))).alias("ends"))
+    # One walk over a segment's ends: tokens of both sides are written down until the group changes.
+    more = lambda text, x: F.when(x.isNull(), text).when(text == "", x.cast("string")).otherwise(F.concat(text, F.lit(","), x.cast("string")))
+    closed = lambda s: F.when(s["a"] == "", s["text"]).otherwise(F.concat(s["text"], F.when(s["text"] == "", "").otherwise(F.lit(";")), s["a"], F.lit("|"), s["b"]))
+    state = lambda group, text, a, b: F.struct(group.alias("group"), text.alias("text"), a.alias("a"), b.alias("b"))
+    none = F.lit("")
+
+    def step(s, x):
+        return F.when(s["group"] == x["group"], state(x["group"], s["text"], more(s["a"], x["a"]), more(s["b"], x["b"]))).otherwise(
+            state(x["group"], closed(s), more(none, x["a"]), more(none, x["b"])))
+
+    count = lambda c: F.size(F.filter("ends", lambda x: x[c].isNotNull())).cast("long")
+    return ends.select(
+        "w", F.aggregate("ends", state(F.lit(1).cast("long"), none, none, none), step, closed).alias("groups"),
+        count("a").alias("n_a"), count("b").alias("n_b"), (-F.col("ends")[0]["group"]).alias("n_groups"),
+        F.transform("ends", lambda x: F.struct(x["over_a"].alias("a"), x["over_b"].alias("b"))).alias("links"),
     )
 
 
@@ -309,7 +316,7 @@ def align(docs: DataFrame, tokenizer_a: str = TOKENIZER_A, tokenizer_b: str = TO
     """
     spark = docs.sparkSession
     base = shared_dir(spark)
-    with short_shuffles(spark):
+    with lean_shuffles(spark):
         slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         chunks = materialise(slim.mapInArrow(_split(tokenizer_b, chunk_chars), CHUNK_SCHEMA), base, "chunks", "zstd")
         places = chunks.where("segment is not null")
@@ -317,10 +324,8 @@ def align(docs: DataFrame, tokenizer_a: str = TOKENIZER_A, tokenizer_b: str = TO
         tokens = materialise(different.mapInArrow(_encode(tokenizer_a, tokenizer_b), TOKEN_SCHEMA), base, "tokens")
         for i in range(SLICES):
             part = tokens.where(F.pmod(F.xxhash64("w"), F.lit(SLICES)) == i)
-            ends = materialise(token_ends(part), base, f"ends-{i}")
-            own = align_segments(ends).join(part.select("w", "segment", "n"), "w")
+            own = align_segments(part).join(part.select("w", "segment", "n"), "w")
             materialise(own, base, f"aligned/part={i}")
-            discard(spark, f"{base}/ends-{i}")
         aligned = spark.read.schema(own.schema).parquet(f"{base}/aligned/part=*")
         discard(spark, f"{base}/tokens")
         links = aligned.select("w", F.explode("links").alias("link")).select("w", "link.a", "link.b")

@@ -23,7 +23,7 @@ BLANK_WORD = r"[^\x20\x09-\x0D]+"
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-__all__ = ["ALNUM", "BLANK_WORD", "LOWER", "discard", "hot_join", "lower_az", "materialise", "set_aside", "shared_dir", "short_shuffles", "table"]
+__all__ = ["ALNUM", "BLANK_WORD", "LOWER", "discard", "hot_join", "lean_shuffles", "lower_az", "materialise", "set_aside", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,15 +64,17 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def short_shuffles(spark: SparkSession) -> Iterator[None]:
-    """While tables are written one after the other: the shuffle files of each go when it is written."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def lean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """While tables are written one after the other: shuffle files go when a table is written, and rows that lie together by one key aren't dealt anew to meet on it and another one."""
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def hot_join(rows: DataFrame, by_key: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:

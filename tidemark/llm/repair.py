@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, shared_dir, short_shuffles, table
+from tidemark.llm.common import lean_shuffles, materialise, shared_dir, table
 
 #: Rows and characters in one piece of a conversation: bounds what a worker holds of it.
 PIECE_ROWS, PIECE_CHARS = 4096, 8_000_000
@@ -371,7 +371,7 @@ def repair(turns: DataFrame, digest: bool = False, piece_rows: int = PIECE_ROWS,
     # Long texts would make long bounds of ranges; rows that agree in a prefix stay together.
     dealt = rows.repartitionByRange("conv_id", "turn", F.substring("role", 1, 32), F.substring("text", 1, 32))
     ordered = dealt.sortWithinPartitions("conv_id", "turn", "role", "text")
-    with short_shuffles(spark):
+    with lean_shuffles(spark):
         cut = materialise(ordered.mapInArrow(_cut(digest, piece_rows, piece_chars), PIECES), base, "cut")
         pieces = cut.where("part is not null").select("conv_id", "part", "piece", "turns", "roles", "texts", "copies")
         each = pieces.select("conv_id", "part", "piece", F.posexplode(F.arrays_zip("roles", "texts")).alias("at", "row"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, shared_dir, short_shuffles, table
+from tidemark.llm.common import lean_shuffles, materialise, shared_dir, table
 
 #: Components are floor(SCALE * x).
 SCALE = 1024
@@ -323,7 +323,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = 32, rin
     base = shared_dir(spark)
     rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "vector")
     asked = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), "vector")
-    with short_shuffles(spark):
+    with lean_shuffles(spark):
         space = fit_space(rows, pivots, rings, sample_rows)
         if space is None:
             return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
