@@ -78,11 +78,15 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], at: str, width:
     return out.select(*cols, F.coalesce("_near", "_beyond")["v"].alias(name))
 
 
-def last_seen(points: DataFrame, rows: DataFrame, keys: list[str], at: str, value: Column, name: str, width: int) -> DataFrame:
+def last_seen(points: DataFrame, rows: DataFrame, keys: list[str], at: str, value: Column, name: str, width: float, ahead: bool = False) -> DataFrame:
     """``points`` with ``value`` of the latest of ``rows`` at or before their time (both have ``keys`` and ``at``); the largest value of equal times.
 
-    One line of both within blocks; what blocks before have seen last comes from one row for each block.
+    ``ahead``: of the earliest at or after it. One line of both within blocks;
+    what blocks before have seen last comes from one row for each block.
     """
+    if ahead:
+        turned = lambda df: df.withColumn(at, -F.col(at))
+        return turned(last_seen(turned(points), turned(rows.withColumn("_v", value)), keys, at, F.col("_v"), name, width))
     cols = points.columns
     seen = F.struct(F.col(at).alias("t"), value.alias("v"))
     line = points.withColumns({"_own": F.lit(True), "_seen": F.lit(None)}).unionByName(rows.select(*keys, at, seen.alias("_seen"), F.lit(False).alias("_own")), allowMissingColumns=True)

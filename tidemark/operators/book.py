@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import Config
 from tidemark.functions import labels
 from tidemark.functions.scalars import price_bucket, ratio
-from tidemark.operators.blocks import range_pairs
+from tidemark.operators.blocks import last_seen, range_pairs
 
 C = Config()
 KEYS = ("symbol", "snap_ms")
@@ -195,3 +195,32 @@ def rest_imbalance(bids: Column, asks: Column) -> Column:
     """Imbalance of arrays of [price, size] texts; null where both sides are empty."""
     side = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + F.get(x, F.lit(0)).cast("double") * F.get(x, F.lit(1)).cast("double"))
     return F.when(side(bids) + side(asks) > 0, (side(bids) - side(asks)) / (side(bids) + side(asks)))
+
+
+def nearest_levels(points: DataFrame, levels: DataFrame, block_ms: int = 3_600_000) -> DataFrame:
+    """``points`` (symbol, ms, price, ...) with the level shown there: near_ms, near_side, near_price, near_qty.
+
+    The snapshot nearest in time (the earlier of two as near), and of its
+    levels the one nearest in price: of two as near a bid, then the one that
+    is nearer to the middle of the book. Both are looked for below and above
+    along one sorted line, so a point costs the same however many levels
+    there are. Nulls where the symbol has no book.
+    """
+    snaps = levels.select("symbol", F.col("snap_ms").alias("ms")).distinct()
+    x = last_seen(points, snaps, ["symbol"], "ms", F.col("ms"), "_prior", block_ms)
+    x = last_seen(x, snaps, ["symbol"], "ms", F.col("ms"), "_after", block_ms, ahead=True)
+    later = F.col("_prior").isNull() | (F.col("_after") - F.col("ms") < F.col("ms") - F.col("_prior"))
+    x = x.withColumn("near_ms", F.when(later, F.col("_after")).otherwise(F.coalesce("_prior", "_after"))).drop("_prior", "_after")
+    bid = F.col("side") == "BID"
+    # Larger is better: a bid, then the higher bid or the lower ask.
+    rows = levels.select("symbol", F.col("snap_ms").alias("near_ms"), F.col("price").cast("double").alias("_at"), F.struct(bid.alias("bid"), "price", "qty").alias("_level"))
+    x = x.withColumn("_at", F.col("price").cast("double"))
+    keys = ["symbol", "near_ms"]
+    x = last_seen(x, rows, keys, "_at", F.col("_level"), "_below", 1e12)
+    x = last_seen(x, rows, keys, "_at", F.col("_level"), "_above", 1e12, ahead=True)
+    below, above = F.col("_at") - F.col("_below.price").cast("double"), F.col("_above.price").cast("double") - F.col("_at")
+    # As near on both sides: the bid, and of two bids the upper, of two asks the lower one.
+    up = F.col("_below").isNull() | (above < below) | ((above == below) & F.col("_above.bid"))
+    x = x.withColumn("_near", F.when(up, F.coalesce("_above", "_below")).otherwise(F.col("_below")))
+    side = F.when(F.col("_near.bid"), "BID").when(~F.col("_near.bid"), "ASK")
+    return x.select(*points.columns, "near_ms", side.alias("near_side"), F.col("_near.price").alias("near_price"), F.col("_near.qty").alias("near_qty"))

@@ -81,9 +81,13 @@ def cumulative_delta(trades: DataFrame, cfg: Config = C) -> DataFrame:
 def bursts(trades: DataFrame, cfg: Config = C) -> DataFrame:
     """Each trade with the count of the recent window, the average of the slots before it, and whether it is a burst."""
     out = trailing_sums(trades, ["symbol"], "ms", {"n": F.lit(1).cast("long")}, {"recent": cfg.burst_recent_ms, "back": cfg.burst_back_ms}, cfg.block_ms)
-    slots = cfg.burst_back_ms / cfg.burst_recent_ms - 1
-    average = (F.col("n_back") - F.col("n_recent")) / slots
-    return out.withColumn("average", average).withColumn("burst", F.col("n_recent") > cfg.burst_multiple * F.greatest(F.lit(cfg.burst_floor), average))
+    return burst_columns(out, cfg)
+
+
+def burst_columns(counts: DataFrame, cfg: Config = C) -> DataFrame:
+    """``counts`` (n_recent, n_back) with the average of the slots before the recent one, and whether it is a burst."""
+    average = (F.col("n_back") - F.col("n_recent")) / (cfg.burst_back_ms / cfg.burst_recent_ms - 1)
+    return counts.withColumn("average", average).withColumn("burst", F.col("n_recent") > cfg.burst_multiple * F.greatest(F.lit(cfg.burst_floor), average))
 
 
 def large_trades(trades: DataFrame, cfg: Config = C) -> DataFrame:

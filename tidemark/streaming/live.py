@@ -90,10 +90,12 @@ class InOrder(StatefulProcessor):
 
     Rows may come in any order within the watermark; each is taken once. Rows
     that come after it are dropped by the stream. ``take(rows)`` gets the rows
-    that are due as (ms, seq, body) and gives output rows.
+    that are due as (ms, seq, body), in order, and gives output rows. Timers
+    stand on a grid, so that a burst of rows sets one and not one each.
     """
 
     columns: list[str]
+    grid_ms = 1_000
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -104,13 +106,13 @@ class InOrder(StatefulProcessor):
         for part in rows:
             for ms, seq, body in zip(part["ms"].tolist(), part["seq"].tolist(), part["body"].tolist(), strict=True):
                 self.waiting.updateValue((ms, seq), (body,))
-                times.add(ms)
+                times.add(-(-ms // self.grid_ms) * self.grid_ms)
         for ms in times:
             self.handle.registerTimer(ms)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
+        due = timerValues.getCurrentWatermarkInMs()
         ready = sorted((*k, v[0]) for k, v in self.waiting.iterator() if k[0] <= due)
         for ms, seq, _ in ready:
             self.waiting.removeKey((ms, seq))
@@ -224,6 +226,71 @@ class LiveWalls(InOrder):
         return out
 
 
+class LiveFlow(InOrder):
+    """Exact trailing sums of a symbol: the trades of the longest window in state, older ones evicted.
+
+    ``body`` holds side and notional in millionths. Trades of equal time see
+    each other, as windows of the batch form do.
+    """
+
+    def __init__(self, windows: dict[str, int]):
+        self.windows = windows
+        self.columns = ["symbol", "ms", "seq", "first_ms", *[f"{c}_{w}" for w in windows for c in ("buy", "sell", "n")]]
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.trades = handle.getMapState("trades", "ms long, seq long", "buy boolean, micros long")
+        self.begun = handle.getValueState("begun", "first_ms long")
+
+    def take(self, rows: list[tuple[int, int, str]]) -> list[tuple]:
+        if not rows:
+            return []
+        held = sorted((*k, *v) for k, v in self.trades.iterator())
+        first = self.begun.get()[0] if self.begun.exists() else rows[0][0]
+        new = [(ms, seq, x["side"] == "BUY", x["micros"]) for ms, seq, body in rows for x in [json.loads(body)]]
+        line, out = held + new, []
+        # In each window the trades of [at, now] of the line, and their sums.
+        at = dict.fromkeys(self.windows, 0)
+        sums = {w: [0, 0, 0] for w in self.windows}
+        def moved(w: str, trade: tuple, sign: int) -> None:
+            sums[w][0 if trade[2] else 1] += sign * trade[3]
+            sums[w][2] += sign
+        now = 0
+        while now < len(line):
+            end, ms = now, line[now][0]
+            while end < len(line) and line[end][0] == ms:
+                for w in self.windows:
+                    moved(w, line[end], 1)
+                end += 1
+            for w, length in self.windows.items():
+                while line[at[w]][0] < ms - length:
+                    moved(w, line[at[w]], -1)
+                    at[w] += 1
+            out += [(ms, line[i][1], first, *[x for w in self.windows for x in sums[w]]) for i in range(max(now, len(held)), end)]
+            now = end
+        keep = line[-1][0] - max(self.windows.values())
+        for ms, seq, *_ in held:
+            if ms < keep:
+                self.trades.removeKey((ms, seq))
+        for ms, seq, buy, micros in new:
+            if ms >= keep:
+                self.trades.updateValue((ms, seq), (buy, micros))
+        self.begun.update((first,))
+        return out
+
+
+def live_trailing(trades: DataFrame, windows: dict[str, int], late: str = "10 seconds") -> DataFrame:
+    """Each trade (symbol, agg_id, ms) with ``buy``, ``sell`` (exact notional) and ``n`` of every trailing window, and the time of the symbol's first trade.
+
+    Equals :func:`~tidemark.operators.blocks.trailing_sums` row by row, once the watermark has passed a trade.
+    """
+    rows = trades.select("symbol", "ms", F.col("agg_id").alias("seq"), "side", (F.col("notional") * 1_000_000).cast("long").alias("micros"))
+    out = "symbol string, ms long, seq long, first_ms long, " + ", ".join(f"buy_{w} long, sell_{w} long, n_{w} long" for w in windows)
+    sums = _in_order(rows, late).groupBy("symbol").transformWithStateInPandas(LiveFlow(windows), out, "append", "EventTime")
+    exact = lambda c: (F.col(c).cast("decimal(38,6)") / 1_000_000).cast("decimal(28,6)").alias(c)
+    return sums.select("symbol", "ms", F.col("seq").alias("agg_id"), "first_ms", *[c for w in windows for c in (exact(f"buy_{w}"), exact(f"sell_{w}"), F.col(f"n_{w}"))])
+
+
 def live_walls(snapshots: DataFrame, cfg: Config = C, late: str = "10 seconds") -> DataFrame:
     """Walls that have gone, from a stream of snapshots (symbol, ms, seq, levels: array of side, price, notional).
 
