@@ -152,3 +152,34 @@ def ask(requests: DataFrame, call: Callable[[str], str], provider: str, model: s
 
     out = requests.select("scope", "prompt").mapInPandas(answers, ANSWER)
     return out.withColumn("raw_text", strip_fence(F.col("raw_text"))).withColumn("error", redact_credentials(F.col("error")))
+
+
+#: Fixed by the services: where each one's response holds the answer.
+ANSWER_PATHS = {
+    "openai": "$.choices[0].message.content",
+    "deepseek": "$.choices[0].message.content",
+    "gemini": "$.candidates[0].content.parts[0].text",
+    "claude": "$.content[0].text",
+}
+
+
+def answers_of(responses: DataFrame) -> DataFrame:
+    """Stored responses (provider, body: JSON text, ...) with ``raw_text``, ``ok`` and ``error``.
+
+    The answer lies where the provider puts it and loses its fence. It is good
+    if it is JSON (whether of the right form :func:`validation_error` tells);
+    else the error says what is wrong, and the whole body stands in its place,
+    without credentials.
+    """
+    text = F.lit(None).cast("string")
+    for provider, path in ANSWER_PATHS.items():
+        text = F.when(F.lower("provider") == provider, F.get_json_object("body", path)).otherwise(text)
+    raw = strip_fence(text)
+    parsed = F.try_parse_json(raw)
+    error = (
+        F.when(~F.coalesce(F.lower("provider").isin(*ANSWER_PATHS), F.lit(False)), "Unknown provider.")
+        .when(raw.isNull(), "JSON Parse Error: the response holds no answer.")
+        .when(parsed.isNull(), "JSON Parse Error: the answer is no JSON.")
+    )
+    shown = F.when(error.isNull(), raw).otherwise(redact_credentials(F.col("body")))
+    return responses.withColumns({"raw_text": shown, "error": error}).withColumn("ok", F.col("error").isNull())

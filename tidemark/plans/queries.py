@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import decision_queries, replay_queries, source_queries, state_queries, trade_queries  # noqa: F401  all register
+from tidemark.plans import context_queries, decision_queries, replay_queries, source_queries, state_queries, trade_queries  # noqa: F401  all register
 from tidemark.plans.registry import QUERIES, SQL
 
 
