@@ -196,3 +196,30 @@ def test_recorded_books_come_back(spark, tmp_path):
     t = readers.trades_of(rows).first()
     assert (t.symbol, t.price, t.quantity, t.side, t.agg_id) == ("a", 60000.0, 2.0, "SELL", 1)
     assert json.loads(rows.where("stream like '%depth'").orderBy("receive_time").first().data)["pu"] == 0
+
+
+def test_counters_of_a_running_stream(spark, tmp_path):
+    from tidemark.operators import health
+
+    rows = [("a", "OK", 0), ("a", "GAP", 1), ("a", "OK", 1), ("b", "DUPLICATE", 0), ("z", "OK", 0)]
+    df = spark.createDataFrame(rows, "symbol string, verdict string, epoch long")
+    for i in range(3):
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    listener = health.HealthListener("depth")
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        watched = stream.observe("depth", *health.counters(["a", "b", "c"], F.length("verdict")))
+        watched.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        for _ in range(100):
+            if listener.totals.get("a", {}).get("messages") == 9:
+                break
+            import time
+
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.totals == {
+        "a": {"messages": 9, "gaps": 3, "duplicates": 0, "out_of_order": 0, "resyncs": 1, "latency": 3},
+        "b": {"messages": 3, "gaps": 0, "duplicates": 3, "out_of_order": 0, "resyncs": 0, "latency": 9},
+    }
