@@ -49,8 +49,11 @@ CUT = re.compile(rf"(?<=[^{WHITE}]) (?=[^{WHITE}])")
 #: White space but for the space itself.
 OTHER_WHITE = re.compile(r"[^\S ]|[\u180e\u200b\ufeff]")
 SPACE_MARK = "\u2581"
-#: Segments of a chunk, beyond which a new one begins: places stay below 2^24 with those that one text may add.
+#: Segments of a chunk, beyond which a new one begins.
 MOST_PLACES = 4_000_000
+#: A segment's key is its chunk, then its place, in one number, which sorts fast; a chunk's documents have the last place.
+PLACE_BITS, CHUNK_BITS = 28, 12
+LAST_PLACE = (1 << PLACE_BITS) - 1
 #: Segments in one output batch.
 ROWS = 20_000
 #: Parts in which segments are aligned one after the other: bounds the shuffle files that are there at once.
@@ -105,33 +108,33 @@ def _kept_whole(text: str, encoder) -> bool:
     return SPACE_MARK not in text and encoder.normalize(text) == SPACE_MARK + text.replace(" ", SPACE_MARK)
 
 
-CHUNK_SCHEMA = "chunk long, place int, segment string, n long, doc_id long, places binary"
+CHUNK_SCHEMA = "key long, segment string, n long, doc_id long, places binary"
 
 
 def _planes(places: np.ndarray) -> bytes:
-    """Places below 2^24 in three bytes each: all low ones first, then the high ones, which compress to little."""
-    return places.astype("<u2").tobytes() + (places >> 16).astype(np.uint8).tobytes()
+    """Places as 32-bit numbers: all low halves first, then the high ones, which compress to little."""
+    return places.astype("<u2").tobytes() + (places >> 16).astype("<u2").tobytes()
 
 
 def _places(raw: bytes) -> np.ndarray:
-    size = len(raw) // 3
-    return np.frombuffer(raw, "<u2", size).astype(np.int64) + (np.frombuffer(raw, np.uint8, size, 2 * size).astype(np.int64) << 16)
+    size = len(raw) // 4
+    return np.frombuffer(raw, "<u2", size).astype(np.int64) + (np.frombuffer(raw, "<u2", size, 2 * size).astype(np.int64) << 16)
 
 
 def _split(path_b: str, chunk_chars: int):
     """Worker: rows of documents (doc_id, places of their segments) and, for each chunk, of its different segments with their number."""
     names = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
 
-    def batch(chunk: int, **columns) -> pa.RecordBatch:
-        size = len(next(iter(columns.values())))
-        kinds = {"place": pa.int32(), "segment": pa.string(), "n": pa.int64(), "doc_id": pa.int64(), "places": pa.binary()}
-        arrays = [pa.array(np.full(size, chunk, np.int64))]
+    def batch(chunk: int, place, size: int, **columns) -> pa.RecordBatch:
+        kinds = {"segment": pa.string(), "n": pa.int64(), "doc_id": pa.int64(), "places": pa.binary()}
+        arrays = [pa.array(np.full(size, chunk << PLACE_BITS, np.int64) + place)]
         arrays += [pa.array(columns[k], kinds[k]) if k in columns else pa.nulls(size, kinds[k]) for k in names[1:]]
         return pa.RecordBatch.from_arrays(arrays, names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = _pieces(path_b)
-        chunk = TaskContext.get().partitionId() << 32
+        chunk = TaskContext.get().partitionId() << CHUNK_BITS
+        end = chunk + (1 << CHUNK_BITS)
         place: dict[str, int] = {}
         used: list[np.ndarray] = []
         size = 0
@@ -141,14 +144,14 @@ def _split(path_b: str, chunk_chars: int):
             counts = np.bincount(np.concatenate(used), minlength=len(found)) if used else np.zeros(0, np.int64)
             for i in range(0, len(found), ROWS):
                 part = found[i : i + ROWS]
-                yield batch(chunk, place=np.arange(i, i + len(part), dtype=np.int32), segment=part, n=counts[i : i + len(part)])
+                yield batch(chunk, np.arange(i, i + len(part)), len(part), segment=part, n=counts[i : i + len(part)])
 
         for rows in batches:
             ids, places = [], []
 
             def documents() -> Iterator[pa.RecordBatch]:
                 if ids:
-                    yield batch(chunk, doc_id=ids, places=places)
+                    yield batch(chunk, LAST_PLACE, len(ids), doc_id=ids, places=places)
 
             for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                 known, own = len(place), np.empty(0, np.int32)
@@ -169,6 +172,8 @@ def _split(path_b: str, chunk_chars: int):
                     yield from flush()
                     ids, places = [], []
                     chunk, size = chunk + 1, 0
+                    if chunk == end:
+                        raise ValueError(f"over {1 << CHUNK_BITS} chunks in one partition: read the texts in smaller ones")
                     place.clear()
                     used.clear()
             yield from documents()
@@ -263,14 +268,14 @@ def link_counts(aligned: DataFrame) -> DataFrame:
     return pairs.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b")))
 
 
-def _gather(digest: bool, names: list[str]):
-    """Worker: a chunk's segments come first, in order of place, then its documents."""
+def _gather(digest: bool):
+    """Worker over rows by key: a chunk's segments come first, in order of place, then its documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, texts, blocks, sums = None, [], [], None
         for rows in batches:
-            chunks = rows.column(0).to_numpy(zero_copy_only=False)
-            documents = ~np.asarray(rows.column(1).is_valid())
+            keys = rows.column(0).to_numpy(zero_copy_only=False)
+            chunks, documents = keys >> PLACE_BITS, (keys & LAST_PLACE) == LAST_PLACE
             edges = np.flatnonzero((np.diff(chunks) != 0) | (np.diff(documents.astype(np.int8)) != 0)) + 1
             for lo, hi in zip([0, *edges], [*edges, len(chunks)], strict=True):
                 if lo == hi:
@@ -279,18 +284,18 @@ def _gather(digest: bool, names: list[str]):
                     chunk, texts, blocks, sums = chunks[lo], [], [], None
                 part = rows.slice(lo, hi - lo)
                 if not documents[lo]:
-                    texts += part.column(2).to_pylist()
-                    blocks.append(np.stack([part.column(3 + i).to_numpy(zero_copy_only=False) for i in range(len(COUNTS))], axis=1).astype(np.int64))
+                    texts += part.column(1).to_pylist()
+                    blocks.append(np.stack([part.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(COUNTS))], axis=1).astype(np.int64))
                     continue
                 if sums is None:
                     sums = np.concatenate(blocks) if blocks else np.zeros((0, len(COUNTS)), np.int64)
                 total, out = np.zeros((hi - lo, len(COUNTS)), np.int64), []
-                for i, raw in enumerate(part.column(len(names)).to_pylist()):
+                for i, raw in enumerate(part.column(len(COUNTS) + 3).to_pylist()):
                     own = _places(raw)
                     total[i] = sums[own].sum(axis=0)
                     joined = b";".join([texts[j] for j in own.tolist()])
                     out.append(hashlib.sha256(joined).hexdigest() if digest and joined else joined.decode())
-                arrays = [part.column(len(names) - 1), *(pa.array(total[:, i]) for i in range(len(COUNTS))), pa.array(out, pa.string())]
+                arrays = [part.column(len(COUNTS) + 2), *(pa.array(total[:, i]) for i in range(len(COUNTS))), pa.array(out, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *COUNTS, "groups"])
 
     return work
@@ -334,16 +339,13 @@ def align(docs: DataFrame, tokenizer_a: str = TOKENIZER_A, tokenizer_b: str = TO
         )
         per_segment = materialise(aligned.drop("links", "n").join(sums, "w").drop("w"), base, "segments")
         discard(spark, f"{base}/aligned")
-        known = materialise(places.select("chunk", "place", "segment").join(per_segment, "segment").select("chunk", "place", "groups", *COUNTS), base, "known", "zstd")
+        known = materialise(places.select("key", "segment").join(per_segment, "segment").select("key", "groups", *COUNTS), base, "known", "zstd")
         discard(spark, f"{base}/segments")
-    names = ["chunk", "place", "groups", *COUNTS, "doc_id"]
     nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    documents = chunks.where("places is not null").select(
-        "chunk", nothing("int", "place"), nothing("binary", "groups"), *(nothing("long", c) for c in COUNTS), "doc_id", "places"
-    )
-    rows = known.withColumn("groups", F.col("groups").cast("binary")).select(*names[:-1], nothing("long", "doc_id"), nothing("binary", "places")).unionByName(documents)
-    dealt = rows.repartition("chunk").sortWithinPartitions("chunk", F.asc_nulls_last("place"))
-    return dealt.mapInArrow(_gather(digest, names), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups string")
+    documents = chunks.where("places is not null").select("key", nothing("binary", "groups"), *(nothing("long", c) for c in COUNTS), "doc_id", "places")
+    segments_known = known.select("key", F.col("groups").cast("binary").alias("groups"), *COUNTS, nothing("long", "doc_id"), nothing("binary", "places"))
+    dealt = segments_known.unionByName(documents).repartition(F.shiftright("key", PLACE_BITS)).sortWithinPartitions("key")
+    return dealt.mapInArrow(_gather(digest), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups string")
 
 
 def op13(spark, sf_dir: str) -> DataFrame:
