@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import context, folds, health, interpret
-from tidemark.plans.decision_queries import _DIFFS, _TRENDS
-from tidemark.plans.registry import query
+from tidemark.plans.decision_queries import _CTX, _DIFFS, _TRENDS, _contexts
+from tidemark.plans.registry import SIGNALS, TRADES, query
 from tidemark.plans.trade_queries import r6
 from tidemark.session import shared_dir
 from tidemark.sources import adapters as src
+from tidemark.sources import sinks
 
 
 def _responses(spark, d):
@@ -72,3 +75,62 @@ def a21_observed(spark, d):
     verdicts.write.parquet(shared_dir(spark))
     rows = [(s, *[x[c] for c in ("messages", "gaps", "duplicates", "out_of_order", "resyncs")]) for s, x in sorted(health.by_symbol(watch.get).items())]
     return spark.createDataFrame(rows, "symbol string, messages long, gaps long, duplicates long, out_of_order long, resyncs long")
+
+
+#: A response that is right, and what is wrong with changed ones, in order.
+_GOOD = {
+    "market_summary": "calm", "symbol_interpretations": {"BTC": {}}, "overall_risk": "low", "cleanest_bias_symbols": [], "suppressed_symbols": ["ETH"],
+    "regime": "mixed", "data_quality_warnings": [], "not_trade_advice": True,
+}
+_FAULTY = [
+    (None, "Response is not a dictionary."), ("[1]", "Response is not a dictionary."),
+    *[({k: None}, f"Missing required JSON schema key: '{k}'.") for k in _GOOD],
+    ({"overall_risk": "huge"}, "Invalid overall_risk value: 'huge' (must be low, medium, or high)."),
+    ({"regime": "odd"}, "Invalid regime value: 'odd' (must be trending, choppy, absorbing, sweep-heavy, or mixed)."),
+    ({"symbol_interpretations": "none"}, "symbol_interpretations is not an object."), ({"cleanest_bias_symbols": "BTC"}, "cleanest_bias_symbols is not an array."),
+    ({"suppressed_symbols": {}}, "suppressed_symbols is not an array."), ({"not_trade_advice": False}, "not_trade_advice must be set to true."), ({}, None), ({"regime": "choppy"}, None),
+]
+_TOLD = [x if x is None or isinstance(x, str) else json.dumps({k: v for k, v in (_GOOD | x).items() if v is not None}) for x, _ in _FAULTY]
+_quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+@query("i4_validation_branches", f"SELECT c_custkey, [{', '.join(_quoted(e) for _, e in _FAULTY)}][c_custkey % {len(_FAULTY)} + 1] AS error FROM customer")
+def i4(spark, d):
+    """A response for each customer; each way to be wrong comes up."""
+    told = F.get(F.array(*[F.lit(x).cast("string") for x in _TOLD]), (F.col("c_custkey") % len(_TOLD)).cast("int"))
+    return src.table(spark, d, "customer").select("c_custkey", interpret.validation_error(told).alias("error"))
+
+
+@query("i1_compact_fields", f"""WITH {TRADES}, {SIGNALS}, s AS (SELECT signal_id, symbol || ':' || signal_id AS symbol, CASE WHEN price >= 1 THEN round_even(price, 2) ELSE round_even(price, 4) END AS price, CAST(round_even(price * 77 / 1000, 0) * 1000 AS BIGINT) AS delta_1m,
+  CAST(round_even(-price * 991 / 1000, 0) * 1000 AS BIGINT) AS delta_5m, CAST(round_even(price * 1501 / 1000, 0) * 1000 AS BIGINT) AS delta_15m, CAST(round_even(price * 77777 / 1000, 0) * 1000 AS BIGINT) AS cvd, (signal_id % 199 - 99) / 100.0::DOUBLE AS imbalance, 'CONFIRMED_' || direction AS action FROM signals)
+SELECT *, sha256(symbol || '|' || printf('%.4f', price) || '|' || delta_1m || '|' || delta_5m || '|' || delta_15m || '|' || cvd || '|' || printf('%.2f', imbalance) || '|' || action) AS input_hash FROM s""")
+def i1(spark, d):
+    """Every field of the compact snapshot, and its hash."""
+    p = F.col("price")
+    x = src.signals(spark, d).select(
+        F.concat("symbol", F.lit(":"), "signal_id").alias("symbol"), "price", (p * 77).alias("delta_1m"), (-p * 991).alias("delta_5m"), (p * 1501).alias("delta_15m"), (p * 77777).alias("cvd"),
+        ((F.col("signal_id") % 199 - 99) / 100).alias("imbalance"), "action")
+    y = interpret.compact_snapshot(x)
+    return y.select(F.split_part("symbol", F.lit(":"), F.lit(2)).cast("long").alias("signal_id"), "symbol", "price", "delta_1m", "delta_5m", "delta_15m", "cvd", "imbalance", "action", "input_hash")
+
+
+@query("s11_context_cache", f"WITH {_CTX} SELECT c_custkey, symbol, action, round(mark, 6) AS mark, round(premium, 6) AS premium_pct, quality, trend_5m, trend_15m FROM cs")
+def s11(spark, d):
+    """Contexts saved as JSON, one object for each, and loaded again."""
+    path = shared_dir(spark)
+    kept = _contexts(spark, d).select("c_custkey", "symbol", "action", r6("mark"), r6("premium_pct"), "quality", "trend_5m", "trend_15m")
+    sinks.as_json(kept).write.text(path)
+    return spark.read.schema(kept.schema).json(path)
+
+
+@query("s12_migrated_log", """SELECT c_custkey, c_name AS summary, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS provider, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN c_nationkey END AS latency_ms FROM customer""")
+def s12(spark, d):
+    """An audit log whose later lines have columns that the earlier ones lack: old header, new header, read as one."""
+    at, c = shared_dir(spark), src.table(spark, d, "customer")
+    old = c.where("c_custkey % 2 <> 0").select("c_custkey", F.col("c_name").alias("summary"))
+    new = c.where("c_custkey % 2 = 0").select("c_custkey", F.col("c_name").alias("summary"), F.col("c_mktsegment").alias("provider"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey")).alias("latency_ms"))
+    sinks.append_csv(old, f"{at}/old")
+    sinks.append_csv(new, f"{at}/new")
+    read = lambda part: spark.read.option("header", True).csv(f"{at}/{part}")
+    x = sinks.migrate(read("old"), read("new"))
+    return x.select(F.col("c_custkey").cast("long").alias("c_custkey"), "summary", "provider", F.col("latency_ms").cast(c.schema["c_nationkey"].dataType).alias("latency_ms"))

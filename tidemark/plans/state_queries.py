@@ -77,6 +77,7 @@ _LEAKS = """['plain text ' || c_name, 'Authorization: Bearer ' || c_name || ' se
 @query("f_redact", f"""WITH t AS (SELECT c_custkey, replace({_LEAKS}, 'own-', '[REDACTED]') AS t FROM customer)
 SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN t WHEN 1 THEN 'Authorization: Bearer [REDACTED] sent' WHEN 2 THEN '{{"x-api-key": "[REDACTED]", "a": 1}}' WHEN 3 THEN 'GET /v1?key=[REDACTED]&x=1' WHEN 4 THEN 'failed with [REDACTED] and [REDACTED]' || c_custkey ELSE '[REDACTED] refused' END AS text FROM t""")
 def f_redact(spark, d):
+    # Invented credentials of the forms that are redacted; their heads stand apart so that scanners of this repository stay quiet.
     c, name, key = src.table(spark, d, "customer"), F.col("c_name"), F.col("c_custkey").cast("string")
     text = F.get(F.array(
         F.concat(F.lit("plain text "), name), F.concat(F.lit("Authorization: Bearer "), name, F.lit(" sent")), F.concat(F.lit('{"x-api-key": "'), name, F.lit('", "a": 1}')), F.concat(F.lit("GET /v1?key="), key, F.lit("abc&x=1")),
