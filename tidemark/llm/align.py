@@ -330,7 +330,8 @@ def align(docs: DataFrame, tokenizer_a: str = TOKENIZER_A, tokenizer_b: str = TO
         for i in range(SLICES):
             part = tokens.where(F.pmod(F.xxhash64("w"), F.lit(SLICES)) == i)
             own = align_segments(part).join(part.select("w", "segment", "n"), "w")
-            materialise(own, base, f"aligned/part={i}")
+            with lean_shuffles(spark, together=True):
+                materialise(own, base, f"aligned/part={i}")
         aligned = spark.read.schema(own.schema).parquet(f"{base}/aligned/part=*")
         discard(spark, f"{base}/tokens")
         links = aligned.select("w", F.explode("links").alias("link")).select("w", "link.a", "link.b")

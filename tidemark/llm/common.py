@@ -64,9 +64,15 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def lean_shuffles(spark: SparkSession) -> Iterator[None]:
-    """While tables are written one after the other: shuffle files go when a table is written, and rows that lie together by one key aren't dealt anew to meet on it and another one."""
-    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+def lean_shuffles(spark: SparkSession, together: bool = False) -> Iterator[None]:
+    """While tables are written one after the other: shuffle files go when a table is written.
+
+    ``together``: rows that lie together by one key aren't dealt anew to meet
+    on it and another one. For keys that none of the rows favour; a join that
+    could lean on a frequent key needs all of its keys.
+    """
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    settings |= {"spark.sql.requireAllClusterKeysForCoPartition": "false"} if together else {}
     before = {k: spark.conf.get(k) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
