@@ -60,3 +60,18 @@ def test_clean_rows_stay_whole(spark):
     assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=repr) == sorted((x for x in docs if not brute.decontaminated(x[1], known)[1]), key=repr)
     assert dc.drop_contaminated(d.limit(0), b).count() == 0
     assert dc.drop_contaminated(d, b.limit(0)).count() == d.count()
+
+
+def test_stored_blocks_lie_in_small_row_groups(spark):
+    """A reader decodes a whole row group at once, so a task's blocks may not all be in one."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(5)
+    docs = [(k, " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(20_000))) for k in range(150)]
+    index = dc.build_index(frames(spark, docs, [("a", "x")])[0].coalesce(1), shared_dir(spark), block_words=100_000)
+    files = [f for path in index.inputFiles() for f in glob.glob(path.removeprefix("file://"))]
+    groups = [pq.ParquetFile(f).metadata.row_group(k) for f in files for k in range(pq.ParquetFile(f).num_row_groups)]
+    assert sum(g.num_rows for g in groups) == index.count() == 30
+    assert max(g.total_byte_size for g in groups) < 24 << 20

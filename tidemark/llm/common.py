@@ -23,21 +23,26 @@ BLANK_WORD = r"[^\x20\x09-\x0D]+"
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-__all__ = ["ALNUM", "BLANK_WORD", "LOWER", "discard", "hot_join", "lean_shuffles", "lower_az", "materialise", "set_aside", "shared_dir", "table"]
+__all__ = ["ALNUM", "BLANK_WORD", "LARGE_ROWS", "LOWER", "discard", "hot_join", "lean_shuffles", "lower_az", "materialise", "set_aside", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, base: str, name: str, codec: str = "snappy") -> DataFrame:
+#: For tables whose rows are megabytes each. Parquet's writer looks at what it holds every 100 rows, and Spark's reader
+#: decodes up to a whole row group at once; so both look at each row and stop at 16 MB.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
+def materialise(df: DataFrame, base: str, name: str, codec: str = "snappy", more: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
     A lost executor costs no recomputation beyond the table, and later steps
-    see its true size.
+    see its true size. ``more`` has further options of the writer.
     """
     path = f"{base}/{name}"
-    df.write.mode("overwrite").option("compression", codec).parquet(path)
+    df.write.mode("overwrite").options(compression=codec, **(more or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ALNUM, materialise, shared_dir, table
+from tidemark.llm.common import ALNUM, LARGE_ROWS, materialise, shared_dir, table
 
 WINDOW = 10
 #: Test words in one block, which a task holds (some 40 bytes each); larger test sets take several passes.
@@ -85,7 +85,7 @@ def build_index(docs: DataFrame, base: str, *, block_words: int = INDEX_WORDS) -
             yield block()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.encode("text", "UTF-8").alias("text"))
-    return materialise(slim.mapInArrow(blocks, INDEX), base, f"postings-{uuid.uuid4().hex}")
+    return materialise(slim.mapInArrow(blocks, INDEX), base, f"postings-{uuid.uuid4().hex}", more=LARGE_ROWS)
 
 
 class TestWindows:
