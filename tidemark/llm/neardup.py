@@ -15,16 +15,18 @@
    among them, to which all others are tied. This only saves work for step 5. Classes
    that lack the same lowest values of the sketch they are tied to (copies cut
    in the same place) are tied to the shortest of them.
-5. What long lists still leave in different components goes through a prefix
-   filter over full shingle sets: pairs in different components that share one
-   of the values in which similar sets must meet, at ranks that leave room for
-   enough further ones, are estimated and verified; the likeliest pair of two
-   components first, then what that leaves apart.
+5. What long lists still leave in different components goes by families: each
+   list has a pivot, and classes are known by the values in which they differ
+   from it. Those similar to the pivot join its component. For any other pair
+   the sizes of the differences tell how many values both must have, and a
+   prefix filter over the differences finds it (see ``_across``); the likeliest
+   pair of two components is verified first, then what that leaves apart.
 
 Nothing is capped: steps 4 and 5 find the components of long lists, not all
-their links. Step 4's work is linear in a list. Step 5 compares the members of
-a list by their sizes and ranks first, so texts that only share a passage cost
-nothing more, however many they are. A pair of similarity 0.75 is lost only
+their links. Step 4's work is linear in a list. In step 5 copies edited each in
+its own places have too few common differences, which counting alone shows,
+and a class brings only so many of its rarest ones as the nearest other
+component leaves open. A pair of similarity 0.75 is lost only
 where its estimate is below ``least_estimate``.
 """
 
@@ -35,12 +37,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, materialise, shared_dir, table
 
 
+#: Small tables of links are written in files of so many rows rather than one for each partition.
+EDGES_IN_A_FILE = 50_000
+
+
 @dataclass(frozen=True)
 class SketchConfig:
     k: int = 64
@@ -147,22 +153,23 @@ def components(links: DataFrame, base: str, name: str) -> DataFrame:
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
     edges = materialise(both.where("x <> y").distinct(), base, f"{name}-edges")
     labels, k = None, 0
-    while edges.limit(1).count():
+    parts = edges.count() // EDGES_IN_A_FILE + 1  # of what the rounds write, which only shrinks
+    while not edges.isEmpty():
         rank = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
         near = edges.groupBy("x").agg(F.min(rank("y")).alias("m")).select(F.col("x").alias("v"), F.least("m", rank("x")).getField("to").alias("p"))
         far = near.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        step = materialise(near.join(far, "p").select("v", "q"), base, f"{name}-step-{k}")
+        step = materialise(near.join(far, "p").select("v", "q").coalesce(parts), base, f"{name}-step-{k}")
         labels = step.select(F.col("v").alias("node"), F.col("q").alias("root")) if labels is None else (
             labels.join(step, labels["root"] == step["v"], "left").select("node", F.coalesce("q", "root").alias("root")))
         x, y = step.select(F.col("v").alias("x"), F.col("q").alias("qx")), step.select(F.col("v").alias("y"), F.col("q").alias("qy"))
         moved = edges.join(x, "x").join(y, "y").where("qx <> qy").select(F.col("qx").alias("x"), F.col("qy").alias("y")).distinct()
-        edges = materialise(moved, base, f"{name}-edges-{k}")
+        edges = materialise(moved.coalesce(parts), base, f"{name}-edges-{k}")
         k += 1
     if labels is None:
         return edges.select(F.col("x").alias("node"), F.col("y").alias("comp"))
-    labels = materialise(labels, base, f"{name}-roots")
+    labels = materialise(labels.coalesce(parts), base, f"{name}-roots")
     least = labels.groupBy("root").agg(F.min("node").alias("comp"))
-    return materialise(labels.join(least, "root").select("node", "comp"), base, f"{name}-labels")
+    return materialise(labels.join(least, "root").select("node", "comp").coalesce(parts), base, f"{name}-labels")
 
 
 def _ties(members: DataFrame, choice: DataFrame) -> DataFrame:
@@ -197,54 +204,106 @@ def _merged(labels: DataFrame, links: DataFrame, base: str, name: str) -> DataFr
     return materialise(kept.unionByName(joined.join(labels, "node", "left_anti").select("node", "comp")), base, f"{name}-merged")
 
 
-def _across(bound: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, base: str, cfg: SketchConfig) -> DataFrame:
-    """(a, b, est, compx, compy): the pairs of classes of ``bound`` in different components that can be similar.
+def _families(own: DataFrame, labels: DataFrame, cfg: SketchConfig) -> DataFrame:
+    """(family, node): the families of each class, named after their pivot.
+
+    A long list that several components share has a pivot: of the members in
+    its largest component the most central one. The list belongs to the family
+    of the heaviest pivot among those of its pivot's lists. A class is in the
+    families of its lists, but for those of the fewest as long as they are less
+    than half of what the estimate asks for: two classes that leave out
+    different families still meet in one.
+    """
+    members = own.join(labels, "node", "left").select("node", "weight", F.coalesce("comp", "node").alias("comp"), F.explode("values").alias("value"))
+    by_comp = members.groupBy("value", "comp").agg(F.count("*").alias("c"), F.max(F.struct("weight", "node")).alias("best"))
+    pivots = by_comp.groupBy("value").agg(F.count("*").alias("comps"), F.max(F.struct("c", "best")).getField("best").alias("best")).where("comps > 1")
+    pivots = pivots.select("value", F.col("best.node").alias("pivot"), F.col("best.weight").alias("weight"))
+    held = members.select("node", "value").join(pivots, "value").groupBy("node", "pivot").agg(F.count("*").alias("c"), F.first("weight").alias("weight"))
+    some = held.select("pivot").distinct().withColumnRenamed("pivot", "node")
+    roots = held.join(some, "node", "left_semi").groupBy("node").agg(F.max(F.struct("weight", "pivot")).getField("pivot").alias("family"))
+    roots = roots.withColumnRenamed("node", "pivot")
+    counts = held.join(roots, "pivot", "left").groupBy("node", F.coalesce("family", "pivot").alias("family")).agg(F.sum("c").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("node").orderBy("c", "family"))
+    need = F.ceil(cfg.least_estimate * F.least(F.col("size"), F.lit(cfg.k)))
+    return counts.withColumn("upto", upto).join(own.select("node", "size"), "node").where(2 * F.col("upto") >= need).select("family", "node")
+
+
+def _differences(families: DataFrame, texts: DataFrame, base: str, cfg: SketchConfig) -> DataFrame:
+    """(family, node, n, far, near, d) with d the values that only one of the class and its family's pivot has.
+
+    Let the pivot have b values, of which the class lacks r, while it has a
+    others. Two classes of a family have b - r - r' values of the pivot and
+    those that are in both differences in common, so they are similar if and
+    only if 2 * (100 + percent) * (values in both differences) >= far + far',
+    where far = 200 * r + 2 * percent * a - (100 - percent) * b. ``near`` is
+    the most that a class similar to the pivot itself can have.
+    """
 
-    A prefix filter over full shingle sets. The values are put in one order:
-    first those that no two components have in common, then those with the
-    fewest pairs across. Let a pair's first common value be at ranks r of the
-    shorter set (n values) and q of the longer one (m values). They have at
-    most 1 + min(n - r, m - q) in common and need percent * (n + m) / (100 +
-    percent), so r and q lie in a prefix of their set. Members of a list are
-    compared by (size, rank) before any pair is formed.
+    @F.arrow_udf("struct<n:long,b:long,r:long,d:array<long>>")
+    def differ(own: pa.Array, pivots: pa.Array) -> pa.Array:
+        last: tuple = (None, None)  # neighbouring rows often share their pivot
+        n, b, r, d = [], [], [], []
+        for x, y in zip(own, pivots, strict=True):
+            y = y.as_py()
+            if y != last[0] or last[1] is None:
+                last = (y, shingle_set(y, cfg.shingle))
+            q, p = last[1], shingle_set(x.as_py(), cfg.shingle)
+            lost = np.setdiff1d(q, p, assume_unique=True)
+            n.append(len(p))
+            b.append(len(q))
+            r.append(len(lost))
+            d.append(np.concatenate([lost, np.setdiff1d(p, q, assume_unique=True)]))
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(b, pa.int64()), pa.array(r, pa.int64()), pa.array(d, pa.list_(pa.int64()))], ["n", "b", "r", "d"])
+
+    pivot = texts.select(F.col("node").alias("family"), F.encode("text", "UTF-8").alias("tp"))
+    both = families.join(texts.select("node", F.encode("text", "UTF-8").alias("tx")), "node").join(pivot, "family")
+    both = both.select("family", "node", differ.asNondeterministic()("tx", "tp").alias("s")).select("family", "node", "s.*")
+    far = 200 * F.col("r") + 2 * cfg.percent * (F.size("d") - F.col("r")) - (100 - cfg.percent) * F.col("b")
+    return materialise(both.select("family", "node", "n", far.alias("far"), ((100 - cfg.percent) * F.col("b")).alias("near"), "d"), base, "differences")
+
+
+def _across(diffs: DataFrame, labels: DataFrame, base: str, cfg: SketchConfig) -> DataFrame:
+    """(a, b): the pairs of classes of a family in different components that can be similar.
+
+    Classes similar to their pivot are in its component, the core, by now; of
+    the others each pair needs ``far + far' > 0``, so it has a value of both
+    differences, and a prefix filter over the differences finds it. Values are
+    ordered by how many classes of the family have them; those of one
+    component only count for nobody. Let a pair's first common value be at
+    ranks r and q of s and t values: they have at most 1 + min(s - r, t - q)
+    in common. A class looks for partners in the core and outside it by the
+    least ``far`` that there is, so that edited copies, which nearly always lie
+    apart, bring few values or none, and only those meet.
     """
-    marked = bound.join(labels, "node", "left").select("value", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = marked.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value")
-    size = reps.select("node", "n")
-    open_ = marked.join(mixed, "value").groupBy("node", "comp").agg(F.count("*").alias("c")).join(size, "node")
-    open_ = materialise(open_.where(F.col("c") >= cfg.least_estimate * F.least(F.col("n"), F.lit(cfg.k))), base, "open")
-
-    @F.arrow_udf("array<long>")
-    def shingles(column: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t.as_py(), cfg.shingle) for t in column], pa.list_(pa.int64()))
-
-    words = texts.join(open_.select("node", "comp", "n"), "node")
-    words = words.select("node", "comp", "n", shingles.asNondeterministic()(F.encode("text", "UTF-8")).alias("s"))
-    full = materialise(words.select("node", "comp", "n", F.explode("s").alias("value")), base, "full")
-    counts = full.groupBy("value", "comp").agg(F.count("*").alias("c")).groupBy("value")
-    counts = counts.agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("across")).where("across > 0")
-    ordered = full.join(counts, "value").groupBy("node", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("across", "value"))).alias("v"))
-    long_ = F.col("n") - F.ceil(cfg.percent * F.col("n") / 100) + 1
-    short = F.col("n") - F.ceil(2 * cfg.percent * F.col("n") / (100 + cfg.percent)) + 1
-    ranked = ordered.select("node", "comp", "n", F.posexplode(F.slice("v", F.lit(1), F.greatest(F.lit(0), long_ - F.col("n") + F.size("v")).cast("int"))).alias("i", "p"), F.size("v").alias("listed"))
-    ranked = ranked.select("node", "comp", "n", "p.value", (F.col("n") - F.col("listed") + F.col("i") + 1).alias("rank"))
-    ranked = materialise(ranked, base, "prefixes")
-
-    cells = ranked.groupBy("value", "n", "rank").agg(F.count("*").alias("c"))
-    x = cells.where(F.col("rank") <= short).select("value", F.col("n").alias("nx"), F.col("rank").alias("rx"), F.col("c").alias("cx"))
-    y = cells.select("value", F.col("n").alias("ny"), F.col("rank").alias("ry"), F.col("c").alias("cy"))
-    room = 1 + F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry"))
-    met = x.join(y, "value").where((F.col("nx") <= F.col("ny")) & _similar_size("nx", "ny", cfg) & ((100 + cfg.percent) * room >= cfg.percent * (F.col("nx") + F.col("ny"))))
-    met = met.withColumn("parts", F.ceil(F.col("cx") * F.col("cy") / 1e6).cast("int"))  # cells with many pairs are dealt over several tasks
-    met = materialise(met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), base, "cells")
-    x = met.join(ranked.select("value", F.col("n").alias("nx"), F.col("rank").alias("rx"), F.col("node").alias("x"), F.col("comp").alias("compx")), ["value", "nx", "rx"])
-    y = met.join(ranked.select("value", F.col("n").alias("ny"), F.col("rank").alias("ry"), F.col("node").alias("y"), F.col("comp").alias("compy")), ["value", "ny", "ry"])
-    key = ["value", "nx", "rx", "ny", "ry", "part"]
-    x = x.where(F.pmod(F.xxhash64("x"), F.col("parts")) == F.col("part")).select(*key, "x", "compx")
-    pairs = x.join(y.select(*key, "y", "compy"), key).where("compx <> compy")
-    comps = F.least("compx", "compy").alias("compx"), F.greatest("compx", "compy").alias("compy")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *comps).distinct()
-    return materialise(_estimated(pairs, reps, cfg), base, "third")
+    core = labels.select(F.col("node").alias("family"), F.col("comp").alias("core"))
+    known = diffs.join(labels, "node", "left").join(core, "family", "left")
+    known = known.withColumn("comp", F.coalesce("comp", "node")).withColumn("outer", F.col("comp") != F.coalesce("core", "family")).drop("core")
+    least = known.groupBy("family").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.when(~F.col("outer"), F.col("far"))).alias("least_core"), F.min(F.when(F.col("outer"), F.col("far"))).alias("least_outer"),
+    ).where("lo <> hi").drop("lo", "hi")
+    open_ = materialise(known.join(least, "family"), base, "open")
+    values = materialise(open_.select("family", "node", "comp", F.explode("d").alias("value")), base, "values")
+    counts = values.groupBy("family", "value").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("family", "value", "c")
+    ordered = values.select("family", "node", "value").join(counts, ["family", "value"]).groupBy("family", "node").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("v"))
+    ranked = ordered.join(open_.drop("d"), ["family", "node"]).withColumn("s", F.size("v"))
+    unit = 2 * (100 + cfg.percent)
+    sides = F.filter(F.array(
+        F.struct(F.lit("core").alias("side"), F.when(F.col("outer"), F.col("least_core")).otherwise(F.col("least_outer")).alias("other")),
+        F.struct(F.lit("outer").alias("side"), F.when(F.col("outer"), F.col("least_outer")).alias("other")),
+    ), lambda x: x["other"].isNotNull())
+    ranked = ranked.withColumn("m", F.explode(sides))
+    length = F.col("s") - F.greatest(F.lit(1), F.ceil((F.col("far") + F.col("m.other")) / unit)) + 1
+    ranked = ranked.withColumn("length", length.cast("int")).where("length > 0")
+    ranked = ranked.select("family", "node", "comp", "outer", "n", "far", "s", F.col("m.side").alias("side"), F.posexplode(F.slice("v", F.lit(1), F.col("length"))).alias("i", "p"))
+    ranked = materialise(ranked.select("family", "p.value", "side", "node", "comp", "outer", "n", "far", (F.col("s") - F.col("i")).alias("room")), base, "prefixes")
+
+    key = ["family", "value", "side"]
+    x = ranked.where("outer").select(*key, *(F.col(c).alias(f"{c}_x") for c in ("node", "comp", "n", "far", "room")))
+    y = ranked.where("not outer or side = 'outer'").select(*key, *(F.col(c).alias(f"{c}_y") for c in ("node", "comp", "n", "far", "room")))
+    once = (F.col("side") == "core") | (F.col("node_x") < F.col("node_y"))
+    can = once & (F.col("comp_x") != F.col("comp_y")) & _similar_size("n_x", "n_y", cfg) & (unit * F.least("room_x", "room_y") >= F.col("far_x") + F.col("far_y"))
+    pairs = x.join(y, key).where(can)
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), F.least("comp_x", "comp_y").alias("compx"), F.greatest("comp_x", "comp_y").alias("compy")).distinct()
 
 
 def near_duplicates(docs: DataFrame, cfg: SketchConfig | None = None) -> DataFrame:
@@ -282,7 +341,7 @@ def _judged(docs: DataFrame, cfg: SketchConfig) -> DataFrame:
         lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.greatest(x["n"], y["n"]).alias("n")))))).alias("p"))
     pairs = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("ov"), F.max("p.n").alias("n"))
     hot = shared.where(F.col("df") > cfg.hot)
-    heat = hot.groupBy("node").agg(F.count("*").alias("n_hot"), F.max("n").alias("size"), F.sum("df").alias("weight"), F.slice(F.array_sort(F.collect_list("value")), 1, cfg.ties).alias("low"))
+    heat = hot.groupBy("node").agg(F.count("*").alias("n_hot"), F.max("n").alias("size"), F.sum("df").alias("weight"), F.array_sort(F.collect_list("value")).alias("values"))
     heat = materialise(heat, base, "heat")
     # A pair shares its short lists and at most all long lists of the one with fewer: less than the estimate asks for can go unseen.
     ha, hb = heat.select(F.col("node").alias("a"), F.col("n_hot").alias("ha")), heat.select(F.col("node").alias("b"), F.col("n_hot").alias("hb"))
@@ -292,18 +351,17 @@ def _judged(docs: DataFrame, cfg: SketchConfig) -> DataFrame:
 
     # Others can't have the estimate asked for by long lists alone.
     own = heat.withColumn("share", F.col("n_hot") / F.least(F.col("size"), F.lit(cfg.k))).where(F.col("share") >= cfg.least_estimate)
-    bound = materialise(hot.join(own.select("node"), "node").select("value", "node"), base, "hot")
     level = F.floor(F.ln("size") / math.log(100 / cfg.percent))
-    weight = F.col("weight") / F.least(F.col("size"), F.lit(cfg.k))
-    low = own.select(F.explode("low").alias("value"), "node", weight.alias("weight"), level.alias("level"))
-    alone = low.withColumn("comp", F.col("node"))
+    own = own.withColumn("weight", F.col("weight") / F.least(F.col("size"), F.lit(cfg.k))).withColumn("level", level)
+    lowest = F.explode(F.slice("values", 1, cfg.ties)).alias("value")
+    alone = own.select(lowest, "node", "weight", "level", F.col("node").alias("comp"))
     tied = materialise(_estimated(_ties(alone, alone), reps, cfg, lacking=True), base, "tied")
 
     # first one candidate per class (the likeliest), then what is still apart
     best = pairs.groupBy(F.col("b").alias("node")).agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", F.col("node").alias("b"))
     first = materialise(best.unionByName(tied.select("a", "b")).distinct(), base, "first")
     every = pairs.select("a", "b").unionByName(first)
-    nodes = every.select(F.col("a").alias("node")).unionByName(every.select(F.col("b").alias("node"))).unionByName(bound.select("node")).distinct()
+    nodes = every.select(F.col("a").alias("node")).unionByName(every.select(F.col("b").alias("node"))).unionByName(own.select("node")).distinct()
     nodes = materialise(nodes.join(reps.select("node", "doc_id", "th"), "node"), base, "nodes")
     few = nodes.count() <= cfg.broadcast_ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(nodes) if few else nodes, "doc_id")
@@ -314,7 +372,7 @@ def _judged(docs: DataFrame, cfg: SketchConfig) -> DataFrame:
     rest = _apart(pairs.select("a", "b"), labels)
 
     # long lists: the members in other components than a list's second pivot are tied to it
-    marked = low.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    marked = own.join(labels, "node", "left").select(lowest, "node", "weight", "level", F.coalesce("comp", "node").alias("comp"))
     marked = materialise(marked, base, "hot-marked")
     largest = marked.groupBy("value", "level", "comp").agg(F.count("*").alias("c")).groupBy("value", "level").agg(F.max(F.struct("c", "comp")).getField("comp").alias("big"))
     held = _ties(marked, marked.join(largest, ["value", "level"]).where("comp <> big")).select("a", "b")
@@ -324,15 +382,20 @@ def _judged(docs: DataFrame, cfg: SketchConfig) -> DataFrame:
     cut = cut.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     held = _estimated(held.unionByName(_ties(cut, cut).select("a", "b")).distinct(), reps, cfg).select("a", "b")
     second = materialise(rest.unionByName(held).distinct(), base, "second")
-    if second.limit(1).count():
+    if not second.isEmpty():
         labels = _merged(labels, materialise(_verified(second, texts, cfg), base, "links-2"), base, "comp-2")
-    third = _across(bound, labels, reps, texts, base, cfg)
-    if third.limit(1).count():
+    diffs = _differences(_families(own, labels, cfg), texts, base, cfg)
+    central = diffs.where("far <= near and node <> family").select(F.least("family", "node").alias("a"), F.greatest("family", "node").alias("b"))
+    central = materialise(_apart(central, labels), base, "central")
+    if not central.isEmpty():
+        labels = _merged(labels, central, base, "comp-3")
+    third = materialise(_estimated(_across(diffs, labels, base, cfg), reps, cfg), base, "third")
+    if not third.isEmpty():
         likeliest = third.groupBy("compx", "compy").agg(F.max(F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b")
-        labels = _merged(labels, materialise(_verified(likeliest, texts, cfg), base, "links-3"), base, "comp-3")
+        labels = _merged(labels, materialise(_verified(likeliest, texts, cfg), base, "links-4"), base, "comp-4")
         fourth = materialise(_apart(third.select("a", "b"), labels).join(likeliest, ["a", "b"], "left_anti"), base, "fourth")
-        if fourth.limit(1).count():
-            labels = _merged(labels, materialise(_verified(fourth, texts, cfg), base, "links-4"), base, "comp-4")
+        if not fourth.isEmpty():
+            labels = _merged(labels, materialise(_verified(fourth, texts, cfg), base, "links-5"), base, "comp-5")
 
     # from classes back to rows
     least = labels.join(reps.select("node", "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("least"))
