@@ -120,3 +120,21 @@ def test_one_id_with_two_texts(spark):
     linked = spark.createDataFrame([(3, a + " h i j"), (5, a + " h i k"), (5, b), (9, a + " h i j k")], "doc_id long, text string")
     got = {(r.doc_id, r.n_shingles): r.component_id for r in neardup.near_duplicates(linked).collect()}
     assert got == {(3, 6): 3, (5, 6): 5, (5, 3): 5, (9, 7): 3}
+
+
+def test_copies_cut_in_their_own_places_are_not_paired(spark, monkeypatch):
+    """What the last pass compares must not grow with the square of a group of which many members are just too far apart."""
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(300)]
+
+    def cut(n):  # n words away, no two within five words
+        gone = {5 * i + at for i, at in enumerate(sorted(rng.sample(range(5, 240), n)), 1)}
+        return " ".join(w for i, w in enumerate(base) if i not in gone)
+
+    rows = list(enumerate([" ".join(base), *(cut(rng.randint(1, 3)) for _ in range(80)), *(cut(10) for _ in range(160))]))
+    tables, write = {}, neardup.materialise
+    monkeypatch.setattr(neardup, "materialise", lambda df, base, name, *more: tables.setdefault(name, write(df, base, name, *more)))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.components(rows)
+    assert len(set(got.values())) > 30
+    assert tables["third"].count() < 3500  # 4632 by prefixes of full sets, 2377 by differences from a pivot
