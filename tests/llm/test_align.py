@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,28 @@ def test_no_rows_and_no_texts(spark):
 def test_long_text_without_spaces(spark):
     text = "".join(random.Random(2).choices("abcdefgh日本", k=30_000))
     assert run(spark, [(1, text)]) == [(1, *plain([(1, text)])[0])]
+
+
+def worked(monkeypatch, work, columns):
+    """What a worker makes of one batch of ``columns``."""
+    monkeypatch.setattr(align, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    return list(work(iter([pa.record_batch(list(columns.values()), names=list(columns))])))
+
+
+def test_long_segments_leave_in_small_batches(monkeypatch):
+    r = random.Random(3)
+    texts = ["".join(r.choices("日本語文字列", k=5_000)) for _ in range(2000)]
+    split = worked(monkeypatch, align._split(align.TOKENIZER_B, align.CHUNK_CHARS), {"doc_id": list(range(2000)), "text": texts})
+    assert max(x.nbytes for x in split) < 17 << 20
+    assert [x for b in split for x in b.column("segment").to_pylist() if x] == texts
+    rows = {"segment": texts[:200] + ["short", texts[0] * 60, "last"], "n": list(range(203))}
+    encoded = worked(monkeypatch, align._encode(align.TOKENIZER_A, align.TOKENIZER_B), rows)
+    assert max(x.nbytes for x in encoded) < 17 << 20
+    assert [(x["segment"], x["n"], x["w"]) for b in encoded for x in b.to_pylist()] == [*zip(rows["segment"], rows["n"], range(203), strict=True)]
+
+
+def test_chunk_ends_after_a_million_segments(monkeypatch):
+    texts = [" ".join(map(str, range(i, i + 100_000))) for i in range(0, 1_500_000, 100_000)]
+    split = worked(monkeypatch, align._split(align.TOKENIZER_B, align.CHUNK_CHARS), {"doc_id": list(range(15)), "text": texts})
+    keys = [k for b in split for k, x in zip(b.column("key").to_pylist(), b.column("segment").to_pylist(), strict=True) if x]
+    assert sorted(Counter(k >> align.PLACE_BITS for k in keys).values()) == [500_000, 1_000_000]

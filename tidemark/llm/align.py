@@ -49,13 +49,15 @@ CUT = re.compile(rf"(?<=[^{WHITE}]) (?=[^{WHITE}])")
 #: White space but for the space itself.
 OTHER_WHITE = re.compile(r"[^\S ]|[\u180e\u200b\ufeff]")
 SPACE_MARK = "\u2581"
-#: Segments of a chunk, beyond which a new one begins.
-MOST_PLACES = 4_000_000
+#: Segments of a chunk, beyond which a new one begins: a worker holds some 150 bytes for each.
+MOST_PLACES = 1_000_000
 #: A segment's key is its chunk, then its place, in one number, which sorts fast; a chunk's documents have the last place.
 PLACE_BITS, CHUNK_BITS = 28, 12
 LAST_PLACE = (1 << PLACE_BITS) - 1
-#: Segments in one output batch.
-ROWS = 20_000
+#: Segments in one output batch, and their characters (16 MB at most) but for a single longer one.
+ROWS, BATCH_CHARS = 20_000, 1 << 22
+#: Characters that are encoded at once, but for a single longer segment: without spaces each takes up to 240 bytes meanwhile.
+ENCODE_CHARS = 1 << 18
 #: Parts in which segments are aligned one after the other: bounds the shuffle files that are there at once.
 SLICES = 4
 
@@ -108,6 +110,17 @@ def _kept_whole(text: str, encoder) -> bool:
     return SPACE_MARK not in text and encoder.normalize(text) == SPACE_MARK + text.replace(" ", SPACE_MARK)
 
 
+def _parts(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
+    """Bounds of parts of ``texts`` with at most ``ROWS`` texts and ``chars`` characters, but for single longer texts."""
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    lo = 0
+    while lo < len(texts):
+        fits = int(np.searchsorted(ends, chars + (ends[lo - 1] if lo else 0), "right"))
+        hi = max(lo + 1, min(lo + ROWS, fits))
+        yield lo, hi
+        lo = hi
+
+
 CHUNK_SCHEMA = "key long, segment string, n long, doc_id long, places binary"
 
 
@@ -142,9 +155,8 @@ def _split(path_b: str, chunk_chars: int):
         def flush() -> Iterator[pa.RecordBatch]:
             found = list(place)
             counts = np.bincount(np.concatenate(used), minlength=len(found)) if used else np.zeros(0, np.int64)
-            for i in range(0, len(found), ROWS):
-                part = found[i : i + ROWS]
-                yield batch(chunk, np.arange(i, i + len(part)), len(part), segment=part, n=counts[i : i + len(part)])
+            for lo, hi in _parts(found, BATCH_CHARS):
+                yield batch(chunk, np.arange(lo, hi), hi - lo, segment=found[lo:hi], n=counts[lo:hi])
 
         for rows in batches:
             ids, places = [], []
@@ -199,10 +211,7 @@ def _encode(path_a: str, path_b: str):
         (first, first_sizes), (second, second_sizes) = _byte_level(path_a), _pieces(path_b)
         number = TaskContext.get().partitionId() << 40
         names = [x.split()[0] for x in TOKEN_SCHEMA.split(", ")]
-        for rows in batches:
-            texts = rows.column(0).to_pylist()
-            if not texts:
-                continue
+        for rows, texts in ((x.slice(lo, hi - lo), own[lo:hi]) for x in batches for own in [x.column(0).to_pylist()] for lo, hi in _parts(own, ENCODE_CHARS)):
             a, a_size, a_bytes = lists([x.ids for x in first.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)], first_sizes)
             b, b_size, b_bytes = lists(second.encode(texts, num_threads=1), second_sizes)
             whole = np.array([1 + len(x.encode()) for x in texts])
