@@ -49,7 +49,7 @@ CUT = re.compile(rf"(?<=[^{WHITE}]) (?=[^{WHITE}])")
 #: White space but for the space itself.
 OTHER_WHITE = re.compile(r"[^\S ]|[\u180e\u200b\ufeff]")
 SPACE_MARK = "\u2581"
-#: Segments of a chunk, beyond which a new one begins: a worker holds some 150 bytes for each.
+#: Segments of a chunk, beyond which a new one begins: a worker holds 150 to 200 bytes for each.
 MOST_PLACES = 1_000_000
 #: A segment's key is its chunk, then its place, in one number, which sorts fast; a chunk's documents have the last place.
 PLACE_BITS, CHUNK_BITS = 28, 12
