@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,27 +25,41 @@ def forward_excursion(signals: DataFrame, trades: DataFrame, horizons: dict[str,
     """Signals (signal_id, symbol, ms, action, price) with best, worst and final move and win per horizon.
 
     Trades in (t, t + h] count; without any, moves are 0 and the signal is no
-    win. Values are rounded to 4 digits. Lowest, highest and last price of the
-    cells that lie whole within a horizon come from a table of cells; only the
-    cells at a horizon's ends are read trade by trade.
+    win. Values are rounded to 4 digits. Signals and ends of horizons lie on
+    one time line with the trades, cut into cells: what a horizon holds is the
+    rest of its first cell, the whole cells between, and its last cell up to
+    its end. Each is a running value, so a row costs the same however many
+    trades a horizon holds.
     """
+    w = min(cell_ms, *horizons.values())  # so that a horizon never ends in its first cell
+    cell = lambda at: F.floor(at / w)
     s = signals.withColumn("direction", direction(F.col("action")))
-    t = trades.select("symbol", F.floor(F.col("ms") / cell_ms).alias("cell"), F.struct(F.col("ms").alias("at"), "agg_id", F.col("price").alias("p")).alias("last"))
-    cells = t.groupBy("symbol", "cell").agg(F.min("last.p").alias("lo"), F.max("last.p").alias("hi"), F.max("last").alias("last"))
-    cell = lambda at: F.floor(at / cell_ms)
-    own = s.select("signal_id", "symbol", "ms", cell(F.col("ms")).alias("first"))
-    far = F.col("ms") + max(horizons.values())
-    inner = own.withColumn("cell", F.explode(F.sequence(F.col("first") + 1, F.greatest(F.col("first") + 1, cell(far))))).join(cells, ["symbol", "cell"]).withColumn("one", F.lit(False))
-    ends = F.array_distinct(F.array("first", *[cell(F.col("ms") + h) for h in horizons.values()]))
-    outer = own.withColumn("cell", F.explode(ends)).join(t, ["symbol", "cell"]).where(F.col("last.at") > F.col("ms"))
-    outer = outer.withColumns({"lo": F.col("last.p"), "hi": F.col("last.p"), "one": F.lit(True)})
-    aggs = []
+    t = trades.where("symbol is not null and ms is not null").select("symbol", F.col("ms").alias("at"), F.col("agg_id").alias("id"), F.lit(None).cast("string").alias("point"), F.col("price").alias("p"))
+    point = lambda n, ms: F.struct((F.col("ms") + ms).alias("at"), F.lit(n).alias("point"))
+    points = signals.where("symbol is not null and ms is not null").select("symbol", F.col("signal_id").alias("id"), F.explode(F.array(point("", 0), *[point(h, ms) for h, ms in horizons.items()])).alias("_p"))
+    line = points.select("symbol", "_p.at", "id", "_p.point").unionByName(t, allowMissingColumns=True).withColumn("cell", cell(F.col("at")))
+    # Of equal times trades come before points, both ways: they count at a horizon's end and not at its start.
+    order = ["at", F.col("point").isNotNull(), "id"]
+    so_far = Window.partitionBy("symbol", "cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    to_come = Window.partitionBy("symbol", "cell").orderBy(*[F.desc(c) if isinstance(c, str) else c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    held = lambda over, last: F.struct(F.min("p").over(over).alias("lo"), F.max("p").over(over).alias("hi"), last("p", ignorenulls=True).over(over).alias("last"))
+    met = line.withColumn("_before", held(so_far, F.last)).withColumn("_after", held(to_come, F.first)).where("point is not null")
+    met = met.select("symbol", "cell", "id", "point", "at", F.when(F.col("point") == "", F.col("_after")).otherwise(F.col("_before")).alias("_end"))
+    # A horizon ends so many cells after its first, or one more where it is no multiple of a cell.
+    reaches = sorted({n for ms in horizons.values() for n in (ms // w, -(-ms // w))})
+    met = met.join(_cells_ahead(t, points.where("_p.point = ''").select("symbol", cell(F.col("_p.at")).alias("cell")), cell, reaches), ["symbol", "cell"], "left")
+    parts = []
     for h, ms in horizons.items():
-        whole = (F.col("cell") > F.col("first")) & ((F.col("cell") + 1) * cell_ms - 1 <= F.col("ms") + ms)
-        counts = F.when(F.col("one"), ~whole & (F.col("last.at") <= F.col("ms") + ms)).otherwise(whole)
-        aggs += [F.min(F.when(counts, F.col("lo"))).alias(f"lo_{h}"), F.max(F.when(counts, F.col("hi"))).alias(f"hi_{h}"), F.max(F.when(counts, F.col("last"))).getField("p").alias(f"last_{h}")]
-    found = inner.unionByName(outer).groupBy("signal_id").agg(*aggs)
-    out, cols = s.join(found, "signal_id", "left"), s.columns
+        reach = cell(F.col("at") + ms) - F.col("cell")
+        inner = F.coalesce(*[F.when(reach == n, F.col(f"_ahead_{n}")) for n in reaches])
+        start = F.struct(F.least("_end.lo", inner["lo"]).alias("lo"), F.greatest("_end.hi", inner["hi"]).alias("hi"), F.coalesce(inner["last"], "_end.last").alias("last"))
+        parts.append(F.when(F.col("point") == "", start).alias(f"_first_{h}"))
+    ends = met.select("id", "point", "_end", *parts).groupBy(F.col("id").alias("signal_id"))
+    aggs = []
+    for h in horizons:
+        one, other = f"_first_{h}", F.when(F.col("point") == h, F.col("_end"))
+        aggs += [F.min(F.least(f"{one}.lo", other["lo"])).alias(f"lo_{h}"), F.max(F.greatest(f"{one}.hi", other["hi"])).alias(f"hi_{h}"), F.coalesce(F.max(other["last"]), F.max(f"{one}.last")).alias(f"last_{h}")]
+    out, cols = s.join(ends.agg(*aggs), "signal_id", "left"), s.columns
     made = {}
     for h in horizons:
         low, high, last = (_moves(F.col("price"), F.col(f"{c}_{h}"), F.col("direction")) for c in ("lo", "hi", "last"))
@@ -53,6 +69,26 @@ def forward_excursion(signals: DataFrame, trades: DataFrame, horizons: dict[str,
     return out.select(*cols, *[c.alias(n) for n, c in made.items()])
 
 
+def _cells_ahead(trades: DataFrame, wanted: DataFrame, cell: Callable[[Column], Column], reaches: list[int]) -> DataFrame:
+    """Wanted (symbol, cell), each once, with ``_ahead_n``: lowest, highest and last price of the cells after it and before the n-th after it.
+
+    Cells are copied into the blocks that look ahead to them, so that none
+    needs a symbol's whole history.
+    """
+    far = max(reaches)
+    price = F.when(F.col("p").isNotNull(), F.struct("at", "id"))
+    cells = trades.groupBy("symbol", cell(F.col("at")).alias("cell")).agg(F.struct(F.min("p").alias("lo"), F.max("p").alias("hi"), F.max_by("p", price).alias("last")).alias("v"))
+    line = cells.unionByName(wanted.distinct().withColumn("wanted", F.lit(True)), allowMissingColumns=True)
+    line = line.groupBy("symbol", "cell").agg(F.first("v", ignorenulls=True).alias("v"), F.bool_or("wanted").alias("wanted"))
+    block = lambda c: F.floor(c / far)
+    line = line.withColumn("_block", F.explode(F.sequence(block(F.col("cell") - far), block(F.col("cell")))))
+    ahead = lambda n: Window.partitionBy("symbol", "_block").orderBy("cell").rangeBetween(1, n - 1)
+    held = lambda n: F.struct(F.min("v.lo").over(ahead(n)).alias("lo"), F.max("v.hi").over(ahead(n)).alias("hi"), F.last("v.last", ignorenulls=True).over(ahead(n)).alias("last"))
+    nothing = F.lit(None).cast("struct<lo:double,hi:double,last:double>")
+    own = line.withColumns({f"_ahead_{n}": held(n) if n > 1 else nothing for n in reaches}).where((F.col("_block") == block(F.col("cell"))) & F.col("wanted"))
+    return own.select("symbol", "cell", *[f"_ahead_{n}" for n in reaches])
+
+
 def performance_report(outcomes: DataFrame, horizons: dict[str, int] = HORIZONS) -> DataFrame:
     """(horizon, signals, precision, best, worst, final): averages over all signals."""
     parts = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), *[F.col(f"{c}_{h}").alias(c) for c in ("best", "worst", "final", "win")]) for h in horizons])).alias("x")
