@@ -49,7 +49,7 @@ def rows_made(spark, run):
     return out, most
 
 
-@pytest.mark.parametrize("name", ["a17_performance_report"])
+@pytest.mark.parametrize("name", ["a17_performance_report", "j7_a16_forward_excursion"])
 def test_rows_grow_with_the_table_and_not_with_pairs(spark, dense, name):
     want = of_sql(name, dense)
     columns = [c[0] for c in want.description]
