@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from tidemark.operators import outcomes
 
 EVENTS = 3_000
 
@@ -56,3 +57,20 @@ def test_rows_grow_with_the_table_and_not_with_pairs(spark, dense, name):
     got, most = rows_made(spark, lambda: __spark_entry__.queries()[name](spark, dense).select(*columns).collect())
     assert plain(got) == plain(want.fetchall())
     assert EVENTS <= most < 10 * EVENTS
+
+
+def test_prices_at_a_horizon_take_frames_that_only_grow(spark, dense):
+    name = "j8_horizon_prices"
+    df = __spark_entry__.queries()[name](spark, dense)
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    want = of_sql(name, dense)
+    got = df.select(*[c[0] for c in want.description]).collect()
+    assert plain(got) == plain(want.fetchall())
+
+
+def test_trades_without_a_price_are_passed_over(spark):
+    s = spark.createDataFrame([(1, "btc", 0, "CONFIRMED_LONG", 10.0)], "signal_id long, symbol string, ms long, action string, price double")
+    t = spark.createDataFrame([("btc", 1, 60_000, None), ("btc", 2, 61_000, 11.0), ("btc", 3, 70_000, None)], "symbol string, agg_id long, ms long, price double")
+    assert outcomes.horizon_prices(s, t).first().after_1m == 11.0
+    assert outcomes.forward_excursion(s, t).first().final_5m == 10.0

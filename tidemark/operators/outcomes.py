@@ -102,7 +102,7 @@ def horizon_prices(signals: DataFrame, trades: DataFrame, after: dict[str, int]
     """Signals with the price of the first trade at or after each horizon, within ``wait_ms``; null if not reached.
 
     Horizons and trades are put on one time line, cut into blocks that a trade
-    reaches back into, and each horizon takes the next trade on it.
+    reaches back into, and each horizon takes the next trade (with a price) on it.
     """
     after = after or {"1m": 60_000, "5m": 300_000, "15m": 900_000}
     width = cfg.block_ms
@@ -112,9 +112,10 @@ def horizon_prices(signals: DataFrame, trades: DataFrame, after: dict[str, int]
     t = trades.select("symbol", F.col("ms").alias("at"), "agg_id", F.col("price").alias("t_price"))
     t = t.withColumn("_block", F.explode(F.sequence(block(F.col("at") - wait_ms), block(F.col("at")))))
     line = points.unionByName(t, allowMissingColumns=True)
-    ahead = Window.partitionBy("symbol", "_block").orderBy("at", F.col("agg_id").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing)
-    trade = F.when(F.col("agg_id").isNotNull(), F.struct("at", F.col("t_price").alias("price")))
-    met = line.withColumn("_next", F.first(trade, ignorenulls=True).over(ahead)).where("horizon is not null")
+    # Backwards in time, so that the frame only grows: one that shrinks is summed up anew for each row.
+    ahead = Window.partitionBy("symbol", "_block").orderBy(F.desc("at"), F.col("agg_id").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    trade = F.when(F.col("agg_id").isNotNull() & F.col("t_price").isNotNull(), F.struct("at", F.col("t_price").alias("price")))
+    met = line.withColumn("_next", F.last(trade, ignorenulls=True).over(ahead)).where("horizon is not null")
     met = met.withColumn("_price", F.when(F.col("_next.at") - F.col("at") <= wait_ms, F.col("_next.price")))
     found = met.groupBy("signal_id").agg(*[F.max(F.when(F.col("horizon") == h, F.col("_price"))).alias(f"after_{h}") for h in after])
     return signals.join(found, "signal_id", "left")
