@@ -50,7 +50,7 @@ def rows_made(spark, run):
     return out, most
 
 
-@pytest.mark.parametrize("name", ["a17_performance_report", "j7_a16_forward_excursion", "s13_performance_log", "s10_s20_signal_log"])
+@pytest.mark.parametrize("name", ["a17_performance_report", "j7_a16_forward_excursion", "s13_performance_log", "s10_s20_signal_log", "a18_bias_performance"])
 def test_rows_grow_with_the_table_and_not_with_pairs(spark, dense, name):
     want = of_sql(name, dense)
     columns = [c[0] for c in want.description]
