@@ -89,38 +89,98 @@ class InOrder(StatefulProcessor):
     """Holds a key's rows (``ms``, ``seq``, and ``body`` as JSON) until the watermark has passed them, then takes them in order.
 
     Rows may come in any order within the watermark; each is taken once. Rows
-    that come after it are dropped by the stream. ``take(rows)`` gets the rows
-    that are due as (ms, seq, body), in order, and gives output rows. Timers
-    stand on a grid, so that a burst of rows sets one and not one each.
+    that come after it are dropped by the stream. Rows wait in chunks of a
+    minute's rows, by the time of a chunk's first row, so that a call to the
+    state store moves many; only the chunks that are due are read. One timer
+    stands at a time, for the earliest row.
+
+    When rows are due, ``load()`` reads what the key has stored besides,
+    ``take(state, rows)`` gets it with a minute's due rows as (ms, seq, body),
+    in order, and gives output rows, and ``save(state)`` stores it again.
     """
 
     columns: list[str]
     grid_ms = 1_000
+    minute_ms = 60_000
+    #: Rows of a chunk, and of what is given out at once; rows that are held before they go to the state store.
+    chunk_rows, held_rows = 5_000, 50_000
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms long, seq long", "body string")
+        self.waiting = handle.getMapState("waiting", "first_ms long, part long", "rows string")
+        self.standing_timer = handle.getValueState("standing_timer", "parts long, timer long")
+
+    def _timer(self, first: int, timer: int | None) -> int:
+        at = -(-first // self.grid_ms) * self.grid_ms
+        if timer is None or at < timer:
+            self.handle.registerTimer(at)
+            return at
+        return timer
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = set()
+        parts, timer = self.standing_timer.get() if self.standing_timer.exists() else (0, None)
+        held, n = {}, 0
+
+        def put() -> None:
+            nonlocal parts, timer
+            for x in held.values():
+                for i in range(0, len(x), self.chunk_rows):
+                    chunk = x[i : i + self.chunk_rows]
+                    first = min(ms for ms, _ in chunk)
+                    self.waiting.updateValue((first, parts), ("[" + ",".join(row for _, row in chunk) + "]",))
+                    parts, timer = parts + 1, self._timer(first, timer)
+            held.clear()
+
         for part in rows:
             for ms, seq, body in zip(part["ms"].tolist(), part["seq"].tolist(), part["body"].tolist(), strict=True):
-                self.waiting.updateValue((ms, seq), (body,))
-                times.add(-(-ms // self.grid_ms) * self.grid_ms)
-        for ms in times:
-            self.handle.registerTimer(ms)
+                held.setdefault(ms // self.minute_ms, []).append((ms, f"[{ms},{seq},{body}]"))
+            n += len(part)
+            if n >= self.held_rows:
+                put()
+                n = 0
+        put()
+        self.standing_timer.update((parts, timer))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = timerValues.getCurrentWatermarkInMs()
-        ready = sorted((*k, v[0]) for k, v in self.waiting.iterator() if k[0] <= due)
-        for ms, seq, _ in ready:
-            self.waiting.removeKey((ms, seq))
-        out = self.take(ready)
+        chunks, minutes = sorted(self.waiting.keys()), {}
+        left = [first for first, _ in chunks if first > due]
+        for first, part in chunks:
+            if first <= due:
+                minutes.setdefault(first // self.minute_ms, []).append((first, part))
+        state, out = self.load() if minutes else None, []
+        for minute in sorted(minutes):
+            ready = {}
+            for first, part in sorted(minutes[minute], key=lambda x: x[1]):  # of rows that come twice the last counts
+                later = []
+                for row in json.loads(self.waiting.getValue((first, part))[0]):
+                    if row[0] <= due:
+                        ready[row[0], row[1]] = row[2]
+                    else:
+                        later.append(row)
+                self.waiting.removeKey((first, part))
+                if later:
+                    left.append(min(row[0] for row in later))
+                    self.waiting.updateValue((left[-1], part), (json.dumps(later),))
+            out += self.take(state, [(*k, ready[k]) for k in sorted(ready)])
+            if len(out) >= self.chunk_rows:
+                yield pd.DataFrame([(key[0], *x) for x in out], columns=self.columns)
+                out = []
+        if minutes:
+            self.save(state)
+        parts, _ = self.standing_timer.get()
+        self.standing_timer.update((parts, self._timer(min(left), None) if left else None))
         if out:
             yield pd.DataFrame([(key[0], *x) for x in out], columns=self.columns)
 
-    def take(self, rows: list[tuple[int, int, str]]) -> list[tuple]:
+    def load(self):
+        raise NotImplementedError
+
+    def take(self, state, rows: list[tuple[int, int, dict]]) -> list[tuple]:
+        raise NotImplementedError
+
+    def save(self, state) -> None:
         raise NotImplementedError
 
 
@@ -135,32 +195,32 @@ class LiveBook(InOrder):
         self.buffer = handle.getListState("buffer", "body string")
         self.standing = handle.getValueState("standing", "state string, last long")
 
-    def _read(self) -> dict:
+    def load(self) -> tuple[dict, dict, list]:
         s = bookstate.new_book()
         if self.standing.exists():
             s["state"], s["last"] = self.standing.get()
         s["book"] = {(k[0], k[1]): v[0] for k, v in self.levels.iterator()}
         s["buffer"] = [json.loads(x[0]) for x in self.buffer.get()] if self.buffer.exists() else []
-        return s
+        return s, dict(s["book"]), list(s["buffer"])
 
-    def take(self, rows: list[tuple[int, int, str]]) -> list[tuple]:
-        if not rows:
-            return []
-        s = self._read()
-        before, waited, out = dict(s["book"]), s["buffer"], []
-        for ms, seq, body in rows:
-            x = json.loads(body)
+    def take(self, state: tuple[dict, dict, list], rows: list[tuple[int, int, dict]]) -> list[tuple]:
+        s, out = state[0], []
+        for ms, seq, x in rows:
             levels = [(v["side"], v["price"], v["qty"]) for v in x.get("levels") or ()]
             out.append((ms, seq, *bookstate.on_message(s, x["kind"], x.get("first_u"), x["u"], x.get("pu"), levels)))
+        return out
+
+    def save(self, state: tuple[dict, dict, list]) -> None:
+        s, before, waited = state
         for k in before.keys() - s["book"].keys():
             self.levels.removeKey(k)
         for k, qty in s["book"].items():
             if before.get(k) != qty:
                 self.levels.updateValue(k, (qty,))
-        if s["buffer"] is not waited:
-            self.buffer.put([(json.dumps(m),) for m in s["buffer"]]) if s["buffer"] else self.buffer.clear()
+        now = [json.dumps(m) for m in s["buffer"]]
+        if now != [json.dumps(m) for m in waited]:
+            self.buffer.put([(m,) for m in now]) if now else self.buffer.clear()
         self.standing.update((s["state"], s["last"]))
-        return out
 
 
 def _in_order(rows: DataFrame, late: str) -> DataFrame:
@@ -202,11 +262,14 @@ class LiveWalls(InOrder):
         threshold = max(self.least, self.multiple * sum(x["notional"] for x in best["BID"][:5]))
         return {x["price"]: (side, x["notional"]) for side, rows in best.items() for x in rows if x["notional"] >= threshold}
 
-    def take(self, rows: list[tuple[int, int, str]]) -> list[tuple]:
+    def load(self) -> tuple[dict, dict]:
         standing = {k[0]: v for k, v in self.walls.iterator()}
-        before, out = dict(standing), []
+        return standing, dict(standing)
+
+    def take(self, state: tuple[dict, dict], rows: list[tuple[int, int, dict]]) -> list[tuple]:
+        standing, out = state[0], []
         for ms, _, body in rows:
-            large = self._large(json.loads(body)["levels"] or [])
+            large = self._large(body["levels"] or [])
             for price in standing.keys() - large.keys():
                 side, first, updates, most, total, *rest = standing.pop(price)
                 out.append((price, side, first, ms, updates, most, total / updates, *rest))
@@ -218,12 +281,15 @@ class LiveWalls(InOrder):
                 change, most = value - current, max(most, value)
                 refilled = current < most * 0.2 and change > most * 0.3
                 standing[price] = (side, first, updates + 1, most, total + value, value, added + max(change, 0), removed + max(-change, 0), refills + refilled)
+        return out
+
+    def save(self, state: tuple[dict, dict]) -> None:
+        standing, before = state
         for price in before.keys() - standing.keys():
             self.walls.removeKey((price,))
         for price, wall in standing.items():
             if before.get(price) != wall:
                 self.walls.updateValue((price,), wall)
-        return out
 
 
 class LiveFlow(InOrder):
@@ -239,45 +305,60 @@ class LiveFlow(InOrder):
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.trades = handle.getMapState("trades", "ms long, seq long", "buy boolean, micros long")
+        self.trades = handle.getMapState("trades", "minute long", "rows string")
         self.begun = handle.getValueState("begun", "first_ms long")
 
-    def take(self, rows: list[tuple[int, int, str]]) -> list[tuple]:
-        if not rows:
-            return []
-        held = sorted((*k, *v) for k, v in self.trades.iterator())
-        first = self.begun.get()[0] if self.begun.exists() else rows[0][0]
-        new = [(ms, seq, x["side"] == "BUY", x["micros"]) for ms, seq, body in rows for x in [json.loads(body)]]
-        line, out = held + new, []
-        # In each window the trades of [at, now] of the line, and their sums.
-        at = dict.fromkeys(self.windows, 0)
-        sums = {w: [0, 0, 0] for w in self.windows}
-        def moved(w: str, trade: tuple, sign: int) -> None:
-            sums[w][0 if trade[2] else 1] += sign * trade[3]
-            sums[w][2] += sign
-        now = 0
+    def load(self) -> dict:
+        kept = {k[0]: v[0] for k, v in self.trades.iterator()}
+        # In each window the trades of the line from ``at`` on, and their sums.
+        s = {"first": self.begun.get()[0] if self.begun.exists() else None, "minutes": set(kept), "since": None, "line": [], "at": dict.fromkeys(self.windows, 0), "sums": {w: [0, 0, 0] for w in self.windows}}
+        self._pass(s, [tuple(x) for minute in sorted(kept) for x in json.loads(kept[minute])])
+        return s
+
+    def _pass(self, s: dict, new: list[tuple]) -> list[tuple]:
+        """The sums at each of ``new``, which follow the line's trades and join them; trades that no window holds any more leave it."""
+        line, at, sums, out = s["line"], s["at"], s["sums"], []
+        now = len(line)
+        line += new
         while now < len(line):
             end, ms = now, line[now][0]
             while end < len(line) and line[end][0] == ms:
-                for w in self.windows:
-                    moved(w, line[end], 1)
                 end += 1
             for w, length in self.windows.items():
-                while line[at[w]][0] < ms - length:
-                    moved(w, line[at[w]], -1)
-                    at[w] += 1
-            out += [(ms, line[i][1], first, *[x for w in self.windows for x in sums[w]]) for i in range(max(now, len(held)), end)]
+                mine, i = sums[w], at[w]
+                for _, _, buy, micros in line[now:end]:
+                    mine[0 if buy else 1] += micros
+                while line[i][0] < ms - length:
+                    mine[0 if line[i][2] else 1] -= line[i][3]
+                    i += 1
+                at[w], mine[2] = i, end - i
+            found = [x for w in self.windows for x in sums[w]]
+            out += [(ms, line[i][1], s["first"], *found) for i in range(now, end)]
             now = end
-        keep = line[-1][0] - max(self.windows.values())
-        for ms, seq, *_ in held:
-            if ms < keep:
-                self.trades.removeKey((ms, seq))
-        for ms, seq, buy, micros in new:
-            if ms >= keep:
-                self.trades.updateValue((ms, seq), (buy, micros))
-        self.begun.update((first,))
+        gone = min(at.values())
+        del line[:gone]
+        for w in at:
+            at[w] -= gone
         return out
 
+    def take(self, state: dict, rows: list[tuple[int, int, dict]]) -> list[tuple]:
+        if state["first"] is None:
+            state["first"] = rows[0][0]
+        if state["since"] is None:
+            state["since"] = rows[0][0] // self.minute_ms
+        return self._pass(state, [(ms, seq, x["side"] == "BUY", x["micros"]) for ms, seq, x in rows])
+
+    def save(self, state: dict) -> None:
+        minutes = {}
+        for trade in state["line"]:
+            minutes.setdefault(trade[0] // self.minute_ms, []).append(trade)
+        for minute in state["minutes"] - minutes.keys():
+            self.trades.removeKey((minute,))
+        for minute, trades in minutes.items():
+            if minute >= state["since"]:
+                self.trades.updateValue((minute,), (json.dumps(trades),))
+        self.begun.update((state["first"],))
+
 
 def live_trailing(trades: DataFrame, windows: dict[str, int], late: str = "10 seconds") -> DataFrame:
     """Each trade (symbol, agg_id, ms) with ``buy``, ``sell`` (exact notional) and ``n`` of every trailing window, and the time of the symbol's first trade.
