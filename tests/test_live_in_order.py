@@ -111,3 +111,10 @@ def test_of_rows_that_come_twice_the_last_counts():
     body = lambda micros: json.dumps({"side": "BUY", "micros": micros})
     out, _ = played(live.LiveFlow({"w": 100}), [([(10, 1, body(5)), (1_900, 2, body(1))], -1), ([(10, 1, body(7))], -1), ([], 1_000), ([(1_900, 2, body(3))], 1_100), ([], 5_000)])
     assert [part for part in out if part] == [[("a", 10, 1, 10, 7, 0, 1)], [("a", 1_900, 2, 10, 3, 0, 1)]]
+
+
+def test_live_bursts_call_the_store_for_chunks_of_rows():
+    rows, windows = trades(2_000, 5, 900_000), {"recent": 10_000, "back": 300_000}
+    out, calls = played(live.LiveFlow(windows), [(rows[i : i + 500], -1) for i in range(0, 2_000, 500)] + [([], 10_000_000)])
+    assert sorted(out[-1]) == sums_of(rows, windows)
+    assert calls < 300
