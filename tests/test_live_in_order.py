@@ -118,3 +118,26 @@ def test_live_bursts_call_the_store_for_chunks_of_rows():
     out, calls = played(live.LiveFlow(windows), [(rows[i : i + 500], -1) for i in range(0, 2_000, 500)] + [([], 10_000_000)])
     assert sorted(out[-1]) == sums_of(rows, windows)
     assert calls < 300
+
+
+def test_a_live_book_calls_the_store_for_chunks_of_messages():
+    r, last, rows = random.Random(7), 0, []
+    for i in range(4_000):
+        level = {"side": r.choice(["BID", "ASK"]), "price": float(r.randint(95, 105)), "qty": float(r.randint(0, 2))}
+        if i % 200 == 10:
+            rows.append((i * 100, 0, json.dumps({"kind": "snapshot", "u": last, "levels": [level]})))
+            continue
+        pu, last = last, last + r.randint(1, 3)
+        rows.append((i * 100, 0, json.dumps({"kind": "difference", "first_u": pu + 1, "u": last, "pu": pu + 4 if r.random() < 0.02 else pu, "levels": [level]})))
+    s, want = bookstate.new_book(), []
+    for ms, seq, body in rows:
+        x = json.loads(body)
+        want.append(("a", ms, seq, *bookstate.on_message(s, x["kind"], x.get("first_u"), x["u"], x.get("pu"), [(v["side"], v["price"], v["qty"]) for v in x["levels"]])))
+    coming = rows[:]
+    r.shuffle(coming)
+    whole, calls = played(live.LiveBook(), [(coming, -1), ([], 10_000_000)])
+    assert list(map(str, (x[:5] + x[7:] for x in whole[1]))) == list(map(str, (x[:5] + x[7:] for x in want)))
+    assert calls < 300
+    steps = [(rows[i : i + 150], rows[min(i + 149, len(rows) - 1)][0] - 3_000) for i in range(0, len(rows), 150)]
+    given = [x for part in played(live.LiveBook(), [*steps, ([], 10_000_000)])[0] for x in part]
+    assert [x[:5] + x[7:] for x in given] == [x[:5] + x[7:] for x in whole[1]]
